@@ -8,19 +8,6 @@ SPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
-# Character references decoded without leaving the JVM.
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),  # last, so that "&amp;lt;" gives "&lt;"
-]
-
 # Fixed value: the published cl100k split pattern. Its pieces concatenate back
 # to the input.
 PRETOKEN = (
@@ -38,12 +25,6 @@ def strip_space(text):
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def decode_entities(text):
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
 def content_hash(text):
     return F.sha2(text, 256)
 

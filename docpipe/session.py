@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_LOCAL = {}
+
 
 def build_session(app="docpipe", master=None, shuffle_partitions=None, **conf):
     builder = (
@@ -30,8 +32,8 @@ def scratch_dir(spark, label):
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="docpipe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL.setdefault("dir", None) or tempfile.mkdtemp(prefix="docpipe-")
+        _LOCAL["dir"] = base
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
