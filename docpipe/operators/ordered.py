@@ -28,7 +28,8 @@ def epoch_micros(ts, data_type):
 
 
 def segment_column(df, column, rows_per_segment=DEFAULTS.rows_per_segment):
-    """Add `_seg`, non-decreasing in `column`, of about equal row counts.
+    """`df` with `_seg`, non-decreasing in `column`, of about equal row counts;
+    None where one segment is enough.
 
     The cut points come from one aggregate over that column alone.
     """
@@ -43,7 +44,7 @@ def segment_column(df, column, rows_per_segment=DEFAULTS.rows_per_segment):
     ).first()
     wanted = min(_GRID, -(-rows // rows_per_segment))
     if wanted < 2:
-        return df.withColumn("_seg", F.lit(0.0))
+        return None
     points = sorted({cuts[round(i * _GRID / wanted) - 1] for i in range(1, wanted)})
     splitter = Bucketizer(
         splits=[float("-inf"), *points, float("inf")], inputCol="_position", outputCol="_seg", handleInvalid="keep"
@@ -61,8 +62,10 @@ class Ordered:
     rows_per_segment: int = DEFAULTS.rows_per_segment
 
     def __post_init__(self):
-        self.cut = segment_column(self.df, self.order[0], self.rows_per_segment)
-        self.inner = Window.partitionBy(*self.keys, "_seg").orderBy(*self.order)
+        cut = segment_column(self.df, self.order[0], self.rows_per_segment)
+        self.whole = cut is None
+        self.cut = self.df if self.whole else cut
+        self.inner = Window.partitionBy(*self.keys, *([] if self.whole else ["_seg"])).orderBy(*self.order)
         self.outer = Window.partitionBy(*self.keys).orderBy("_seg")
         self.before = self.outer.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -78,6 +81,9 @@ class Ordered:
         """Add prev_<column>, the value in the row before (null in the first row)."""
         row = F.struct(*columns)
         rows = self.cut.withColumn("_prev", F.lag(row).over(self.inner))
+        if self.whole:
+            prev = F.col("_prev")
+            return rows.select(*self.df.columns, *[prev[c].alias(f"prev_{c}") for c in columns])
         last = self.cut.groupBy(*self.keys, "_seg").agg(F.max_by(row, F.struct(*self.order)).alias("_last"))
         carry = (
             last.withColumn("_carry", F.lag("_last").over(self.outer))
@@ -90,6 +96,8 @@ class Ordered:
     def row_number(self, name="row_number"):
         """Add the 1-based position of each row inside its key."""
         rows = self.cut.withColumn("_n", F.row_number().over(self.inner).cast("bigint"))
+        if self.whole:
+            return rows.withColumnRenamed("_n", name)
         sizes = self.cut.groupBy(*self.keys, "_seg").agg(F.count("*").alias("_rows"))
         carry = (
             sizes.withColumn("_carry", F.sum("_rows").over(self.before))
@@ -102,6 +110,8 @@ class Ordered:
         """Add the largest `value` (a column) up to and including each row."""
         to_here = self.inner.rowsBetween(Window.unboundedPreceding, 0)
         rows = self.cut.withColumn("_max", F.max(value).over(to_here))
+        if self.whole:
+            return rows.withColumnRenamed("_max", name)
         tops = self.cut.groupBy(*self.keys, "_seg").agg(F.max(value).alias("_top"))
         carry = (
             tops.withColumn("_carry", F.max("_top").over(self.before))
