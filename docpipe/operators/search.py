@@ -17,6 +17,7 @@ from docpipe.schemas import HIT_COLUMNS
 from docpipe.session import scratch_dir
 
 _CELLS_PER_SLICE = 4_000_000  # scores held at once by a task
+_MAX_BROADCAST_HITS = 500_000  # (query, rank, id, score) rows, about 60 MB
 
 
 def valid_queries(queries, settings=DEFAULTS):
@@ -77,25 +78,20 @@ def _search(corpus, queries, top_k, id_col, payload, vector, block_rows, centroi
 
     block = queries.limit(block_rows + 1).toArrow()
     if block.num_rows <= block_rows:
-        hits = _hits(corpus, block, queries.schema, id_col, vector, centroids, nprobe)
+        hits = _hits(corpus, block, queries.schema, id_col, payload, vector, centroids, nprobe)
     else:
         parts = -(-2 * queries.count() // block_rows)
         path = scratch_dir(spark, "hits")
         for part in range(parts):
             mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
             if mine.num_rows:
-                _hits(corpus, mine, queries.schema, id_col, vector, centroids, nprobe).write.mode("append").parquet(path)
+                found = _hits(corpus, mine, queries.schema, id_col, payload, vector, centroids, nprobe)
+                found.write.mode("append").parquet(path)
         hits = spark.read.parquet(path)
-
-    if not payload:
-        return hits.select("query_id", "rank", id_col, "score")
-    # Text and titles are fetched for the hits only; hits number at most
-    # block_rows * max_top_k per block, so the join side stays small.
-    details = corpus.select(id_col, *payload)
-    return hits.join(details, id_col).select("query_id", "rank", id_col, *payload, "score")
+    return hits
 
 
-def _hits(corpus, block, query_schema, id_col, vector, centroids, nprobe):
+def _hits(corpus, block, query_schema, id_col, payload, vector, centroids, nprobe):
     """The best rows per query of one query block: scored in place, then merged."""
     import numpy as np
 
@@ -123,12 +119,19 @@ def _hits(corpus, block, query_schema, id_col, vector, centroids, nprobe):
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     k = int(limits.max()) if block.num_rows else 1
-    return (
+    hits = (
         scored.withColumn("rank", F.row_number().over(best))
         .where((F.col("rank") <= k) & (F.col("rank") <= F.col("top_k")))
         .select("query_id", F.col("rank").cast("bigint").alias("rank"), id_col,
                 F.round("score", 4).alias("score"))
     )
+    if not payload:
+        return hits
+    # Text and titles are fetched for the hits alone, with a second, vector-free
+    # scan. One block has at most n_queries * k hits; that bound decides the join.
+    if block.num_rows * k <= _MAX_BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    return rows.select(id_col, *payload).join(hits, id_col).select("query_id", "rank", id_col, *payload, "score")
 
 
 def _probe_mask(matrix, centroids, nprobe):
