@@ -117,9 +117,13 @@ def evaluate(samples, rules=RULES, step=30, lookback="5 minutes"):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def active_alerts(states):
-    """The newest state of each alert series where it is pending or firing, most severe first."""
-    latest = states.groupBy("alertname", "severity", "component", "series").agg(
+def active_alerts(states, at, step=30):
+    """Alert series pending or firing at time `at`, most severe first.
+
+    Series without an evaluation in the last `step` seconds have resolved.
+    """
+    fresh = states.where((F.col("ts") <= at) & (F.col("ts") > at - F.expr(f"interval {step} seconds")))
+    latest = fresh.groupBy("alertname", "severity", "component", "series").agg(
         F.max("ts").alias("ts"), F.max_by("state", "ts").alias("state"),
         F.max_by("active_since", "ts").alias("active_since"),
     )

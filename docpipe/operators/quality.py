@@ -1,7 +1,5 @@
 """Field defaults and table constraints."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from docpipe.config import DEFAULTS
