@@ -5,7 +5,6 @@ batch as complete. A batch writes only its own changes; `compact` folds what has
 gathered into a base version, which later reads start from.
 """
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docpipe.operators.changes import latest_seen
@@ -25,29 +24,26 @@ class BatchFolder:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
-    def committed(self, spark):
-        """Ids of complete batches, ascending."""
+    def committed(self, spark, after=-1, before=None):
+        """Ids of complete batches in (after, before), ascending."""
         root, fs, jvm = self._fs(spark)
         if not fs.exists(root):
             return []
-        ids = []
-        for entry in fs.listStatus(root):
-            name = entry.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-            if name.startswith("batch=") and fs.exists(done):
-                ids.append(int(name.split("=", 1)[1]))
-        return sorted(ids)
+        names = [entry.getPath().getName() for entry in fs.listStatus(root)]
+        ids = sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("batch="))
+        wanted = [i for i in ids if i > after and (before is None or i < before)]
+        return [i for i in wanted if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={i}/_SUCCESS"))]
 
     def write(self, df, batch_id, partition_by=()):
         """Write one batch; a batch already complete (a retry) is left as it is."""
-        if batch_id in self.committed(df.sparkSession):
+        if self.committed(df.sparkSession, batch_id - 1, batch_id + 1):
             return
         rows = df.select(*self.schema.names)
         rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/batch={batch_id}")
 
     def read(self, spark, after=-1, before=None):
         """Rows of the complete batches in (after, before), with their batch_id."""
-        ids = [i for i in self.committed(spark) if i > after and (before is None or i < before)]
+        ids = self.committed(spark, after, before)
         schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
         if not ids:
             rows = spark.createDataFrame([], schema)
@@ -73,12 +69,18 @@ class SeenPages:
         self.log = BatchFolder(f"{path}/log", SEEN_PAGE)
         self.base = BatchFolder(f"{path}/base", SEEN_PAGE)
 
-    def read(self, spark, before=None):
-        """State as left by all batches before `before`: one row per url."""
-        bases = [b for b in self.base.committed(spark) if before is None or b < before]
+    def read(self, spark, before=None, urls=None):
+        """State as left by all batches before `before`: one row per url.
+
+        With `urls` only their state is looked up, so that a small batch joins a
+        scan instead of aggregating the whole log.
+        """
+        bases = self.base.committed(spark, before=before)
         start = bases[-1] if bases else -1
         log = self.log.read(spark, after=start, before=before)
         rows = self.base.read(spark, after=start - 1, before=start + 1).unionByName(log) if bases else log
+        if urls is not None:
+            rows = rows.join(urls, "url", "left_semi")
         return latest_seen(rows, "batch_id")
 
     def write(self, changes, batch_id):
@@ -110,7 +112,7 @@ class VectorTable:
     def read(self, spark, keep_versions=False):
         bases = self.base.committed(spark)
         start = bases[-1] if bases else -1
-        fresh = [i for i in self.delta.committed(spark) if i > start]
+        fresh = self.delta.committed(spark, after=start)
         base = self.base.read(spark, after=start - 1, before=start + 1) if bases else None
         if not fresh and base is not None:
             return base.drop("batch_id")  # straight scan, partition pruning by cell
@@ -128,7 +130,3 @@ class VectorTable:
         done = self.delta.committed(spark)
         if done and done[-1] not in self.base.committed(spark):
             self.base.write(self.read(spark), done[-1], self.partition_by)
-
-
-def empty_chunk_table(spark):
-    return spark.createDataFrame([], CHUNK_VECTOR)

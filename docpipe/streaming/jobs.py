@@ -64,8 +64,10 @@ def change_query(snapshots, pages_path, seen, checkpoint, once=True, seconds=DEF
 
     def step(batch, batch_id):
         spark = batch.sparkSession
-        known = seen.read(spark, before=batch_id)
-        out.write(page_versions(nonempty(batch), known, ["crawled_at", "content_hash"]), batch_id)
+        pages = nonempty(batch).persist()  # used for the state lookup and the comparison
+        known = seen.read(spark, before=batch_id, urls=pages.select("url"))
+        out.write(page_versions(pages, known, ["crawled_at", "content_hash"]), batch_id)
+        pages.unpersist()
         emitted = out.read(spark, after=batch_id - 1, before=batch_id + 1)
         newest = emitted.groupBy("url").agg(
             F.max_by("content_hash", F.struct("crawled_at", "content_hash")).alias("content_hash"))
@@ -120,33 +122,11 @@ def without_redelivery(events, ts="crawled_at", retention=DEFAULTS.retention):
     """Drop repeats of (url, content_hash) within the retention time.
 
     For redelivered messages only: a page that returns to earlier content looks
-    the same, so change detection uses `change_query` or `stateful_changes`.
+    the same, so change detection is left to `change_query`.
     """
     return events.withWatermark(ts, retention).dropDuplicatesWithinWatermark(["url", "content_hash"])
 
 
-def stateful_changes(pages):
-    """Change detection with the last hash of each url in Spark's state store.
-
-    An alternative to `change_query` for many urls: a batch touches only the
-    state of the urls it contains.
-    """
-    schema = T.StructType([f for f in pages.schema.fields if f.name in PAGE_TABLE.names])
-
-    def emit(key, frames, state):
-        import pandas as pd
-
-        seen = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["crawled_at", "content_hash"], kind="stable")
-        before = rows["content_hash"].shift(1)
-        before.iloc[0] = seen
-        state.update((rows["content_hash"].iloc[-1],))
-        yield rows[rows["content_hash"] != before][schema.names]
-
-    return pages.select(*schema.names).groupBy("url").applyInPandasWithState(
-        emit, schema, "content_hash string", "append", "NoTimeout")
-
-
 def stage_counts(events, window="10 minutes", keys=("event_type",), ts="ts", late=DEFAULTS.retention):
     """Closed windows of event counts, for append mode."""
     typed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
