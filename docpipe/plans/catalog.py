@@ -1,5 +1,6 @@
 """The registered queries: each reads whole tables and returns a DataFrame."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docpipe.functions import tokens as K
@@ -335,10 +336,8 @@ def text_search(spark, sf):
 def _language_cells(corpus):
     """Cells around the mean direction of each language, numbered by its code."""
     means = V.mean_vectors(corpus, "lang", "embedding")
-    names = [r.lang for r in means.select("lang").orderBy("lang").collect()]
-    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang")) - 1
-    cells = means.select(number.cast("int").alias("cell"), "embedding")
-    return index.collect_centroids(cells)
+    number = F.row_number().over(Window.orderBy("lang")) - 1  # one row per language
+    return index.collect_centroids(means.select(number.alias("cell"), "embedding"))
 
 
 def _cell_corpus(spark, sf):
@@ -508,3 +507,11 @@ def alert_states(spark, sf):
     checks = _events(spark, sf).groupBy("user_id", F.window("ts", "1 day")["start"].alias("ts")).agg(
         (F.count_if(F.col("event_type") == "error") > 0).alias("active"))
     return _us(alerts.alert_states(checks, ["user_id"], day, day), "ts", "active_since")
+
+
+@query
+def page_search(spark, sf):
+    """The whole path: extract and chunk every page, then search with the benchmark texts."""
+    pages = extract.nonempty(_extracted(spark, sf))
+    corpus = embed.HashEmbedder().transform(chunks.chunk_rows(pages, created_at=F.lit(0)))
+    return search.search_text(corpus, _benchmark_queries(spark, sf), embed.HashEmbedder())
