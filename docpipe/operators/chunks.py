@@ -25,12 +25,13 @@ def token_windows(df, text="text", size=DEFAULTS.chunk_size, overlap=DEFAULTS.ch
     last = F.when(n > size, F.ceil((n - size) / F.lit(stride))).otherwise(0).cast("int")
     starts = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     windows = F.transform(starts, lambda i: F.slice("_tokens", i * stride + 1, size))
+    # The outer explode matters: for an inner one the optimizer adds a "size > 0"
+    # filter on the scan, which tokenizes every text again for each window.
     sliced = (
-        df.where(F.col(text).isNotNull())
-        .select(*keep, tokenizer.encode(F.col(text)).alias("_tokens"))
-        .select(*keep, windows.alias("_windows"))
-        .select(*keep, F.size("_windows").cast("bigint").alias("total_chunks"),
-                F.posexplode("_windows").alias("_pos", "_window"))
+        df.select(*keep, tokenizer.encode(F.col(text)).alias("_tokens"))
+        .select(*keep, windows.alias("_windows"), (last + 1).cast("bigint").alias("total_chunks"))
+        .select(*keep, "total_chunks", F.posexplode_outer("_windows").alias("_pos", "_window"))
+        .where(F.col("_window").isNotNull())
     )
     return sliced.select(
         *keep,

@@ -72,8 +72,10 @@ def sparse_buckets(df, key, text="text", dim=DEFAULTS.embedding_dim):
     Counts are combined on the map side, so a hot key costs at most `dim` rows
     per map task.
     """
-    exploded = df.select(key, F.explode(words(F.col(text))).alias("word"))
+    # Outer explode: an inner one would make the optimizer split each text twice.
+    exploded = df.select(key, F.explode_outer(words(F.col(text))).alias("word"))
     return (
-        exploded.groupBy(key, word_bucket(F.col("word"), dim).alias("bucket"))
+        exploded.where(F.col("word").isNotNull())
+        .groupBy(key, word_bucket(F.col("word"), dim).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )

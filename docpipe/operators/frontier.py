@@ -18,9 +18,9 @@ def sitemap_children(documents, xml="xml"):
 
 def _locations(documents, xml, root, entry):
     found = F.xpath(F.col(xml), F.lit(f"/{root}/{entry}/loc/text()"))
-    return documents.select("sitemap", F.posexplode(found).alias("pos", "url")).select(
-        "sitemap", "pos", F.trim("url").alias("url")
-    )
+    # Outer explode: an inner one would make the optimizer parse each document twice.
+    entries = documents.select("sitemap", F.posexplode_outer(found).alias("pos", "url"))
+    return entries.where(F.col("url").isNotNull()).select("sitemap", "pos", F.trim("url").alias("url"))
 
 
 def url_filter(urls, fragment, url="url"):

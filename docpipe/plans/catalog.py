@@ -243,8 +243,8 @@ def vector_dims(spark, sf):
 
 @query
 def l2_normalize(spark, sf):
-    rows = read_table(spark, sf, "embeddings").select("vec_id", F.posexplode(V.l2_normalize(F.col("embedding"))))
-    return rows.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("col", 6).alias("value"))
+    rows = read_table(spark, sf, "embeddings").select("vec_id", F.posexplode_outer(V.l2_normalize(F.col("embedding"))))
+    return rows.where("col is not null").select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("col", 6).alias("value"))
 
 
 @query
@@ -506,7 +506,8 @@ def alert_states(spark, sf):
     day = 86400
     checks = _events(spark, sf).groupBy("user_id", F.window("ts", "1 day")["start"].alias("ts")).agg(
         (F.count_if(F.col("event_type") == "error") > 0).alias("active"))
-    return _us(alerts.alert_states(checks, ["user_id"], day, day), "ts", "active_since")
+    states = _us(alerts.alert_states(checks, ["user_id"], day, day), "ts", "active_since")
+    return states.withColumn("active_since_us", F.coalesce("active_since_us", F.lit(-1)))
 
 
 @query

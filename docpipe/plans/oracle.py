@@ -367,7 +367,7 @@ ORACLE = {
     "stalled_series": """SELECT user_id, epoch_us(time_bucket(INTERVAL '1 day', ts)) AS start_us FROM events GROUP BY 1, 2
         HAVING count(*) FILTER (event_type = 'purchase') = 0 AND count(*) FILTER (event_type = 'view') > 0""",
     "alert_states": f"""WITH {_ALERTS} SELECT user_id, epoch_us(ts) AS ts_us, active,
-        CASE WHEN active THEN epoch_us(since) END AS active_since_us,
+        CASE WHEN active THEN epoch_us(since) ELSE -1 END AS active_since_us,
         CASE WHEN NOT active THEN 'inactive' WHEN ts - since >= INTERVAL '1 day' THEN 'firing' ELSE 'pending' END AS state
         FROM islands""",
 }
