@@ -22,7 +22,9 @@ _PAGE = T.StructType([
 
 def with_title_and_text(df, html="html", url="url"):
     """Add `title`, `text` and `parse_error`; all null where there is no html."""
-    page = df.withColumn("_page", read_page(F.col(html), F.col(url)))
+    # Marked non-deterministic so that filters on the result are not pushed below
+    # it, where the optimizer would parse every page a second time.
+    page = df.withColumn("_page", read_page.asNondeterministic()(F.col(html), F.col(url)))
     return page.select(
         *df.columns,
         F.col("_page.title").alias("title"),

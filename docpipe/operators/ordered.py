@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from docpipe.config import DEFAULTS
 
-_GRID = 2000
+_MAX_SEGMENTS = 2000
 
 
 def epoch_micros(ts, data_type):
@@ -31,21 +31,20 @@ def segment_column(df, column, rows_per_segment=DEFAULTS.rows_per_segment):
     """`df` with `_seg`, non-decreasing in `column`, of about equal row counts;
     None where one segment is enough.
 
-    The cut points come from one aggregate over that column alone.
+    Row count and cut points each come from one aggregate over that column alone.
     """
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         position = epoch_micros(F.col(column), kind).cast("double")
     else:
         position = F.col(column).cast("double")
-    grid = [i / _GRID for i in range(1, _GRID)]
-    rows, cuts = df.select(position.alias("p")).agg(
-        F.count("p"), F.percentile_approx("p", grid, 10 * _GRID)
-    ).first()
-    wanted = min(_GRID, -(-rows // rows_per_segment))
+    values = df.select(position.alias("p"))
+    wanted = min(_MAX_SEGMENTS, -(-values.count() // rows_per_segment))
     if wanted < 2:
         return None
-    points = sorted({cuts[round(i * _GRID / wanted) - 1] for i in range(1, wanted)})
+    shares = ", ".join(f"{i / wanted:.6f}" for i in range(1, wanted))
+    (cuts,) = values.agg(F.expr(f"percentile_approx(p, array({shares}), {20 * wanted})")).first()
+    points = sorted(set(cuts))
     splitter = Bucketizer(
         splits=[float("-inf"), *points, float("inf")], inputCol="_position", outputCol="_seg", handleInvalid="keep"
     )

@@ -10,8 +10,9 @@ from docpipe.operators import alerts, changes, chunks, embed, extract, frontier,
 from docpipe.operators import metrics as M
 from docpipe.operators.ordered import epoch_micros
 from docpipe.schemas import BUCKETS, PAGE_EVENT
+from docpipe.session import materialize
 from docpipe.sources import events as E
-from docpipe.sources.tables import document_pages, page_snapshots, read_table
+from docpipe.sources.tables import document_pages, documents, page_snapshots, read_table
 
 CRAWLED_AT = "2024-01-31 00:00:00"
 QUERIES = {}
@@ -119,7 +120,7 @@ def unchanged_pages(spark, sf):
 @query
 def page_versions(spark, sf):
     """Documents as successive contents of one address per source and language."""
-    docs = read_table(spark, sf, "documents")
+    docs = documents(spark, sf)
     address = F.concat(F.lit("doc://"), "source", F.lit("/"), "lang")
     versions = docs.select(address.alias("url"), "doc_id", F.sha2("text", 256).alias("content_hash"))
     seen = versions.groupBy("url").agg(F.min_by("content_hash", "doc_id").alias("content_hash"))
@@ -190,7 +191,7 @@ def constraint_violations(spark, sf):
 # --- chunks -----------------------------------------------------------------------
 
 def _windows(spark, sf, size, overlap):
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     return chunks.token_windows(docs, "text", size, overlap)
 
 
@@ -217,7 +218,7 @@ def chunk_token_counts(spark, sf):
 @query
 def pretoken_windows(spark, sf):
     """Windows over lossless cl100k pieces (no SQL counterpart)."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     return chunks.token_windows(docs, "text", tokenizer=K.tokenizer("pretoken"))
 
 
@@ -300,15 +301,15 @@ def kmeans_cells(spark, sf):
 
 @query
 def hash_embed_sparse(spark, sf):
-    return embed.sparse_buckets(read_table(spark, sf, "documents"), "doc_id")
+    return embed.sparse_buckets(documents(spark, sf), "doc_id")
 
 
 @query
 def hash_embed_dense(spark, sf):
     """The non-zero components of each document's unit vector."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     vectors = embed.HashEmbedder().transform(docs)
-    cells = vectors.select("doc_id", F.posexplode("embedding")).where("col <> 0")
+    cells = vectors.select("doc_id", F.posexplode_outer("embedding")).where("col <> 0")
     return cells.select(
         "doc_id", F.col("pos").cast("bigint").alias("bucket"),
         F.round(F.col("col").cast("double"), 6).alias("weight"))
@@ -341,7 +342,8 @@ def _language_cells(corpus):
 
 
 def _cell_corpus(spark, sf):
-    corpus = _corpus(spark, sf)
+    """The vector table, stored once: cells, scoring and hit lookup each scan it."""
+    corpus = materialize(_corpus(spark, sf), "corpus")
     centroids = _language_cells(corpus)
     return index.assign_cells(corpus, centroids), centroids
 
@@ -404,7 +406,7 @@ def chunks_per_page_histogram(spark, sf):
 
 @query
 def embed_batches(spark, sf):
-    docs = read_table(spark, sf, "documents").select("source", "doc_id")
+    docs = documents(spark, sf).select("source", "doc_id")
     return M.embed_batches(docs, ["source"], ["doc_id"])
 
 

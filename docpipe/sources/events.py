@@ -15,12 +15,13 @@ def parse_events(raw, schema, value="value", mandatory=()):
     """
     listed = F.concat(F.lit("["), F.col(value), F.lit("]"))
     decoded = F.from_json(listed, T.ArrayType(schema), {"allowSingleQuotes": "false"})
-    event = F.when(F.size(decoded) == 1, F.get(decoded, F.lit(0)))
-    staged = raw.withColumn("_event", event)
-    missing = [F.when(F.col(f"_event.{c}").isNull(), F.lit(f"missing_{c}")) for c in mandatory]
-    reason = F.coalesce(F.when(F.col("_event").isNull(), F.lit("malformed")), *missing) if missing else (
-        F.when(F.col("_event").isNull(), F.lit("malformed")))
-    return staged.select(*raw.columns, F.col("_event.*"), reason.alias("reason"))
+    # The outer explode of one element decodes each message exactly once; as a plain
+    # column the decoding would be repeated for every field and filter.
+    staged = raw.select(*raw.columns, F.explode_outer(F.array(decoded)).alias("_events"))
+    event = F.when(F.size("_events") == 1, F.get("_events", F.lit(0)))
+    checks = [F.when(event.isNull(), F.lit("malformed"))]
+    checks += [F.when(event[c].isNull(), F.lit(f"missing_{c}")) for c in mandatory]
+    return staged.select(*raw.columns, *[event[c].alias(c) for c in schema.names], F.coalesce(*checks).alias("reason"))
 
 
 def read_events(raw, schema, value="value", mandatory=()):

@@ -7,14 +7,28 @@ def read_table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df):
+    """Rows of a table too small to give every core a split, dealt out evenly.
+
+    Meant before text-heavy stages. Tables with enough splits are left alone, so
+    a large one is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def page_snapshots(spark, folder):
     """(page_id, url, html) of a crawl."""
-    return read_table(spark, folder, "pages")
+    return spread(read_table(spark, folder, "pages"))
+
+
+def documents(spark, folder):
+    return spread(read_table(spark, folder, "documents"))
 
 
 def document_pages(spark, folder):
     """Documents as page events: a url per document, its text and text hash."""
-    docs = read_table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return docs.select(
         "doc_id", "source", "lang",
         F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
