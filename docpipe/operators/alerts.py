@@ -77,6 +77,19 @@ def _on_grid(samples, step):
     )
 
 
+def with_bounds(bucket_samples):
+    """Bucket counters with `le` as a number and the other labels as `series`."""
+    le = F.when(F.col("le") == "+Inf", F.lit(M.INF)).otherwise(F.col("le").try_cast("double"))
+    return M.as_series(_drop_label(bucket_samples, "le")).withColumn("le", le)
+
+
+def error_share(request_samples, window, slide=None):
+    """Failed requests over all requests, per series and window."""
+    by_status = M.as_series(_drop_label(request_samples, "status"))
+    grown = M.increase(by_status, ["series", "status"], window, slide)
+    return M.ratio(grown, F.col("status") == "error", ["series", "start", "end"], F.col("increase"))
+
+
 def check(samples, rule, step=30, lookback="5 minutes"):
     """(series, ts, active) of one rule on a grid of `step` seconds.
 
@@ -89,14 +102,10 @@ def check(samples, rule, step=30, lookback="5 minutes"):
         return _on_grid(M.as_series(mine), step).select(
             "series", "ts", (F.col("value") > rule.threshold).alias("active"))
     if rule.kind == "p99":
-        buckets = M.as_series(_drop_label(mine, "le")).withColumn(
-            "le", F.when(F.col("le") == "+Inf", F.lit(M.INF)).otherwise(F.col("le").cast("double")))
-        p99 = M.bucket_quantile(buckets, ["series"], 0.99, lookback, slide)
+        p99 = M.bucket_quantile(with_bounds(mine), ["series"], 0.99, lookback, slide)
         return p99.select("series", F.col("end").alias("ts"), (F.col("value") > rule.threshold).alias("active"))
     if rule.kind == "errors":
-        by_status = M.as_series(_drop_label(mine, "status"))
-        grown = M.increase(by_status, ["series", "status"], lookback, slide)
-        share = M.ratio(grown, F.col("status") == "error", ["series", "end"], F.col("increase"))
+        share = error_share(mine, lookback, slide)
         return share.select("series", F.col("end").alias("ts"), (F.col("ratio") > rule.threshold).alias("active"))
     if rule.kind == "stalled":
         idle = _on_grid(M.as_series(mine), step).where("value = 0")

@@ -10,9 +10,11 @@ from docpipe.operators import alerts, changes, chunks, embed, extract, frontier,
 from docpipe.operators import metrics as M
 from docpipe.operators.ordered import epoch_micros
 from docpipe.schemas import BUCKETS, PAGE_EVENT
-from docpipe.session import materialize
+from docpipe.session import materialize, scratch_dir
 from docpipe.sources import events as E
+from docpipe.sources.state import BatchFolder, SeenPages
 from docpipe.sources.tables import document_pages, documents, page_snapshots, read_table
+from docpipe.streaming import jobs
 
 CRAWLED_AT = "2024-01-31 00:00:00"
 QUERIES = {}
@@ -518,3 +520,34 @@ def page_search(spark, sf):
     pages = extract.nonempty(_extracted(spark, sf))
     corpus = embed.HashEmbedder().transform(chunks.chunk_rows(pages, created_at=F.lit(0)))
     return search.search_text(corpus, _benchmark_queries(spark, sf), embed.HashEmbedder())
+
+
+# --- streams ----------------------------------------------------------------------
+
+def _table_stream(spark, sf, name):
+    """A table of the folder as a streaming file source."""
+    reader = spark.readStream.schema(read_table(spark, sf, name).schema)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query
+def stream_closed_windows(spark, sf):
+    """Daily counts whose window the watermark has passed, in append mode."""
+    counts = jobs.stage_counts(_table_stream(spark, sf, "events"), "1 day")
+    out = scratch_dir(spark, "windows")
+    (counts.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint")
+     .trigger(availableNow=True).start(out).awaitTermination())
+    return _us(spark.read.schema(counts.schema).parquet(out), "start", "end")
+
+
+@query
+def stream_page_chunks(spark, sf):
+    """Pages through the change and chunk streams, from an empty state."""
+    out = scratch_dir(spark, "stages")
+    crawled = F.lit(CRAWLED_AT).cast("timestamp_ntz").cast("timestamp")
+    snapshots = _table_stream(spark, sf, "pages").select("url", "html", crawled.alias("crawled_at"))
+    jobs.change_query(snapshots, f"{out}/pages", SeenPages(f"{out}/seen"), f"{out}/c1").awaitTermination()
+    pages = BatchFolder(f"{out}/pages", jobs.PAGE_TABLE).stream(spark)
+    jobs.chunk_query(pages, f"{out}/chunks", f"{out}/c2", created_at=F.lit(0)).awaitTermination()
+    rows = BatchFolder(f"{out}/chunks", jobs.CHUNK_TABLE).read(spark)
+    return rows.drop("version", "batch_id")

@@ -370,4 +370,10 @@ ORACLE = {
         CASE WHEN active THEN epoch_us(since) ELSE -1 END AS active_since_us,
         CASE WHEN NOT active THEN 'inactive' WHEN ts - since >= INTERVAL '1 day' THEN 'firing' ELSE 'pending' END AS state
         FROM islands""",
+    "stream_closed_windows": """SELECT epoch_us(start) AS start_us, epoch_us(start + INTERVAL '1 day') AS end_us, event_type,
+        count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type FROM events)
+        WHERE start + INTERVAL '1 day' <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '24 hours' FROM events)
+        GROUP BY start, event_type""",
+    "stream_page_chunks": f"""WITH {_PAGE_CHUNKS} SELECT chunk_id, url, title, chunk_index, total_chunks, text,
+        content_hash, created_at FROM chunk""",
 }

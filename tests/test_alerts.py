@@ -77,3 +77,27 @@ def test_hold_times(evaluated):
 def test_resolved_series_are_not_active(evaluated):
     late = F.lit(T0 + timedelta(hours=3)).cast("timestamp")
     assert A.active_alerts(evaluated, late).count() == 0
+
+
+def test_dashboard_panels(spark):
+    from docpipe.plans import dashboard as D
+
+    every = range(0, 601, 30)
+    data = metric("crawler_pages_emitted_total", [(t, t / 30) for t in every])
+    data += metric("crawler_pages_skipped_total", [(t, t / 10) for t in every])
+    data += metric("crawler_pages_crawled_total", [(t, t / 5) for t in every])
+    data += metric("kafka_log_size_bytes", [(t, 1000 + t) for t in every], topic="page.crawled")
+    data += metric("query_api_requests_total", [(t, t) for t in every], status="success")
+    data += metric("query_api_requests_total", [(t, t / 4) for t in every], status="error")
+    for le, share in [("1", 0.0), ("2", 1.0), ("+Inf", 1.0)]:
+        data += metric("chunker_chunks_per_page_bucket", [(t, share * t) for t in every], le=le)
+    samples = spark.createDataFrame(data, SAMPLE).cache()
+    assert D.panel(samples, "pages_emitted").first().increase == 20.0
+    assert D.panel(samples, "log_size").first().value == 1600.0
+    assert D.panel(samples, "skip_ratio").orderBy("start").first().ratio == pytest.approx(0.5)
+    assert D.panel(samples, "error_rate").orderBy("start").first().ratio == pytest.approx(0.2)
+    shares = {r["quantile"]: r["value"] for r in D.panel(samples, "chunks_per_page").where("value is not null").collect()}
+    assert shares[0.5] == pytest.approx(1.5) and shares[0.95] == pytest.approx(1.95)
+    for name in D.panel_names():
+        D.panel(samples, name).schema
+    assert D.alerts_panel(samples, F.lit(T0), rules=A.RULES[:1]).count() == 0
