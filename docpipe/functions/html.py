@@ -35,6 +35,7 @@ def with_title_and_text(df, html="html", url="url"):
 
 @F.pandas_udf(_PAGE)
 def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+    from html.entities import html5
     from html.parser import HTMLParser
 
     void = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,23 +43,63 @@ def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
 
     class Reader(HTMLParser):
         def __init__(self):
-            super().__init__(convert_charrefs=True)
+            super().__init__(convert_charrefs=False)
             self.open = []
             self.hidden = 0      # how many open elements hide their content
+            self.run = []        # text since the last mark
             self.title = None
             self.found = {}      # root tag -> its text pieces
             self.active = {}     # slot -> stack depth of the element that fills it
 
+        def flush(self):
+            if self.run and not self.hidden:
+                text = "".join(self.run)
+                for slot in self.active:
+                    if slot == "title":
+                        self.title.append(text.strip())
+                    else:
+                        self.found[slot].append(text)
+            self.run = []
+
+        def handle_data(self, data):
+            self.run.append(data)
+
+        def handle_entityref(self, name):
+            # Names count with or without the semicolon; unknown ones stay text.
+            self.run.append(html5.get(name + ";") or html5.get(name) or "&" + name)
+
+        def handle_charref(self, name):
+            try:
+                number = int(name[1:], 16) if name[0] in "xX" else int(name)
+                # Numbers below 256 are read in the Windows code page, as browsers do.
+                char = bytes([number]).decode("cp1252", "ignore") if number < 256 else ""
+                self.run.append(char or chr(number))
+            except (ValueError, OverflowError):
+                self.run.append("\ufffd")
+
+        def handle_comment(self, data):
+            self.flush()
+
+        handle_decl = handle_pi = handle_comment
+
+        def unknown_decl(self, data):
+            self.flush()
+            if data.upper().startswith("CDATA["):
+                self.run.append(data[6:])
+                self.flush()
+
         def handle_starttag(self, tag, attrs):
+            self.flush()
             if tag in void:
                 return
             self.open.append(tag)
             self.hidden += tag in hidden
-            visible = not self.hidden
-            if visible and tag == "title" and self.title is None:
+            if self.hidden:
+                return
+            if tag == "title" and self.title is None:
                 self.title = []
                 self.active["title"] = len(self.open)
-            if visible and tag in ROOTS and tag not in self.found:
+            if tag in ROOTS and tag not in self.found:
                 self.found[tag] = []
                 self.active[tag] = len(self.open)
 
@@ -68,6 +109,7 @@ def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
                 self.handle_endtag(tag)
 
         def handle_endtag(self, tag):
+            self.flush()
             if tag not in self.open:
                 return
             while True:
@@ -77,15 +119,6 @@ def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
                     break
             self.active = {s: d for s, d in self.active.items() if d <= len(self.open)}
 
-        def handle_data(self, data):
-            if self.hidden:
-                return
-            for slot in self.active:
-                if slot == "title":
-                    self.title.append(data.strip())
-                else:
-                    self.found[slot].append(data)
-
     def read(markup, address):
         if markup is None:
             return None, None, None
@@ -93,6 +126,7 @@ def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
             reader = Reader()
             reader.feed(markup)
             reader.close()
+            reader.flush()
         except Exception:
             return None, None, True
         title = address if reader.title is None else "".join(reader.title)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docpipe.config import DEFAULTS
 from docpipe.operators.ordered import Ordered
+from docpipe.session import small
 
 
 def latest_seen(log, order="version"):
@@ -24,8 +25,16 @@ def with_seen_hash(pages, seen):
     return pages.join(state, "url", "left")
 
 
-def changed_pages(pages, seen):
-    """Pages whose url is new or whose stored hash differs."""
+def changed_pages(pages, seen, late=False):
+    """Pages whose url is new or whose stored hash differs.
+
+    late: compare urls and hashes alone first, then fetch the changed rows with a
+    second scan. Worth it where `pages` is a stored table with few changes, as
+    the texts of unchanged pages are then never shuffled.
+    """
+    if late:
+        keys = changed_pages(pages.select("url", "content_hash"), seen).distinct()
+        return pages.join(small(keys), ["url", "content_hash"], "left_semi")
     return (
         with_seen_hash(pages, seen)
         .where(~F.col("content_hash").eqNullSafe(F.col("seen_hash")))

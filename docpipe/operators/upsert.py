@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docpipe.session import small
+
 
 def newest_per_key(rows, key="chunk_id", order=("created_at",)):
     """One row per key, the newest. The rank filter also runs before the shuffle,
@@ -29,6 +31,15 @@ def drop_stale(rows, version=("created_at", "batch_id")):
 
 
 def replace_pages(current, incoming, key="chunk_id", order=("created_at", "batch_id"), keep_versions=False):
-    """Upsert, then remove chunks of superseded page content unless kept on purpose."""
-    merged = upsert(current, incoming, key, order)
-    return merged if keep_versions else drop_stale(merged, order)
+    """Upsert, then remove chunks of superseded page content unless kept on purpose.
+
+    `current` has one row per key, and a key belongs to one url. Only rows whose
+    url comes in again are merged; the others pass through, without a shuffle as
+    long as the incoming urls are few enough to broadcast.
+    """
+    urls = small(incoming.select("url").distinct())
+    untouched = current.join(urls, "url", "left_anti")
+    merged = upsert(current.join(urls, "url", "left_semi"), incoming, key, order)
+    if not keep_versions:
+        merged = drop_stale(merged, order)
+    return untouched.unionByName(merged)

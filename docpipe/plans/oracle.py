@@ -10,6 +10,8 @@ _DROPPED = "|".join(
 
 
 def _decoded(text):
+    """Character references that occur in the pages; "&amp" may lack its semicolon."""
+    text = rf"regexp_replace({text}, '&amp([^a-zA-Z0-9;]|$)', '&amp;\1', 'g')"
     for name, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
         text = f"replace({text}, '{name}', '{char}')"
     return text

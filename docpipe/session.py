@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL = {}
 
@@ -42,3 +43,11 @@ def materialize(df, label):
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df, max_rows=2_000_000):
+    """`df` marked for broadcast where a bounded count proves it small.
+
+    Meant for key columns; beyond the limit the join shuffles as usual.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

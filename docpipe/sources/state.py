@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from docpipe.operators.changes import latest_seen
 from docpipe.operators.upsert import replace_pages
 from docpipe.schemas import CHUNK_VECTOR, SEEN_PAGE
+from docpipe.session import small
 
 
 class BatchFolder:
@@ -80,7 +81,7 @@ class SeenPages:
         log = self.log.read(spark, after=start, before=before)
         rows = self.base.read(spark, after=start - 1, before=start + 1).unionByName(log) if bases else log
         if urls is not None:
-            rows = rows.join(urls, "url", "left_semi")
+            rows = rows.join(small(urls.distinct()), "url", "left_semi")
         return latest_seen(rows, "batch_id")
 
     def write(self, changes, batch_id):
@@ -124,9 +125,12 @@ class VectorTable:
     def compact(self, spark):
         """Write the merged table, partitioned by cell, as the new base.
 
-        Rows of a cell spread over the writing tasks as they come: no shuffle by
-        cell, so an uneven cell gives more files, not a slow task.
+        Rebalancing puts each cell into few files and splits cells that are larger
+        than the rest, so no task writes an uneven share.
         """
         done = self.delta.committed(spark)
         if done and done[-1] not in self.base.committed(spark):
-            self.base.write(self.read(spark), done[-1], self.partition_by)
+            rows = self.read(spark)
+            if self.partition_by:
+                rows = rows.hint("rebalance", *self.partition_by)
+            self.base.write(rows, done[-1], self.partition_by)

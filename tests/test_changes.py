@@ -21,6 +21,7 @@ def test_versions_inside_one_run(spark, rows, per_segment):
 def test_changed_and_unchanged_split_the_pages(spark, rows):
     pages, seen = frames(spark, [("u1", 1, "A"), ("u2", 1, "Y"), ("u3", 1, "Z")])
     assert rows(changes.changed_pages(pages, seen).select("url")) == [("u2",), ("u3",)]
+    assert rows(changes.changed_pages(pages, seen, late=True).select("url")) == [("u2",), ("u3",)]
     assert rows(changes.unchanged_pages(pages, seen).select("url")) == [("u1",)]
 
 

@@ -20,6 +20,9 @@ CASES = {
     "nested_article": ("<article>a<article>b</article>c</article>d", "nested_article", "a b c"),
     "unicode_space": ("<body>a  b&nbsp;c　</body>", "unicode_space", "a b c"),
     "references": ("<body>&lt;b&gt; &#233; &#x41; &eacute; &amp;lt;</body>", "references", "<b> é A é &lt;"),
+    "loose_references": ("<body>a&amp b &copy, &bogus c &#150; &#x1F600;</body>", "loose_references", "a& b ©, &bogus c – 😀"),
+    "cdata": ("<body>a<![CDATA[x]]>b</body>", "cdata", "a x b"),
+    "one_node": ("<body>a&amp;b<i>c</i>d</body>", "one_node", "a&b c d"),
     "gt_in_attribute": ('<body><a title="x>y">t</a></body>', "gt_in_attribute", "t"),
     "bare_lt": ("<body>1 < 2 <b>ok</b></body>", "bare_lt", "1 < 2 ok"),
     "void": ("<body>a<br>b<br/>c</body>", "void", "a b c"),
