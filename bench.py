@@ -39,12 +39,13 @@ def main():
     wanted = sys.argv[1:] or HEADLINE
     spark.read.parquet(f"{sf_dir}/pages.parquet").count()  # start-up is not part of a query
 
-    times, rows = {}, {}
+    cold, times, rows = {}, {}, {}
     for name in wanted:
-        started = time.perf_counter()
-        rows[name] = rows_of(QUERIES[name](spark, sf_dir))
-        times[name] = round(time.perf_counter() - started, 3)
-        print(name, times[name], rows[name], file=sys.stderr, flush=True)
+        for taken in (cold, times):
+            started = time.perf_counter()
+            rows[name] = rows_of(QUERIES[name](spark, sf_dir))
+            taken[name] = round(time.perf_counter() - started, 3)
+        print(name, cold[name], times[name], rows[name], file=sys.stderr, flush=True)
 
     derived = {}
     if "chunk_rows" in times:
@@ -54,9 +55,12 @@ def main():
     if "text_search" in times:
         queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
         derived["text_queries_per_second"] = round(queries / times["text_search"], 1)
+        if "chunk_rows" in rows:
+            derived["query_chunk_pairs_per_second"] = round(queries * rows["chunk_rows"] / times["text_search"])
     print(json.dumps({
-        "metric": "docpipe headline queries, one cold run each", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "rows": rows, "derived": derived, "sf": os.path.basename(sf_dir.rstrip("/")),
+        "metric": "docpipe headline queries, second run of each in one session",
+        "value": round(sum(times.values()), 3), "unit": "sec",
+        "queries": times, "first_run": cold, "rows": rows, "derived": derived, "sf": os.path.basename(sf_dir.rstrip("/")),
         "cpus": int(cpus),
     }))
 

@@ -35,8 +35,17 @@ def preview(text, length=60):
 
 
 def iso_utc(ts):
-    """ISO-8601 with microseconds and offset, as written on the wire."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    """ISO-8601 in UTC with microseconds, as written on the wire, whatever the
+    time zone of the session."""
+    micros = F.unix_micros(ts)
+    day = F.floor(micros / F.lit(86_400_000_000)).cast("int")
+    clock = F.pmod(micros, F.lit(86_400_000_000))
+    second = F.floor(clock / F.lit(1_000_000))
+    return F.format_string(
+        "%sT%02d:%02d:%02d.%06d+00:00",
+        F.date_from_unix_date(day).cast("string"),
+        F.floor(second / F.lit(3600)), F.floor(second / F.lit(60)) % 60, second % 60, clock % 1_000_000,
+    )
 
 
 def words(text):

@@ -1,5 +1,8 @@
 """Change detection against the pages already seen."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from docpipe.config import DEFAULTS
@@ -49,11 +52,22 @@ def unchanged_pages(pages, seen):
 def page_versions(pages, seen, order, rows_per_segment=DEFAULTS.rows_per_segment):
     """Changes inside one run: each row is compared with the version before it,
     the first one with the stored hash. A url that goes A, B, A emits each step.
+
+    The comparison runs on keys and hashes alone, copies of one version collapsed
+    on the map side; whole rows are fetched for the changes. `pages` is scanned
+    twice, so it should be a stored or persisted table.
     """
-    ordered = Ordered(pages, ["url"], list(order), rows_per_segment).previous(["content_hash"])
+    keys = ["url", *order]
+    keys += [c for c in ["content_hash"] if c not in keys]
+    versions = pages.select(*keys).distinct()
+    ordered = Ordered(versions, ["url"], list(order), rows_per_segment).previous(["content_hash"])
     known = with_seen_hash(ordered, seen)
     before = F.coalesce("prev_content_hash", "seen_hash")
-    return known.where(~F.col("content_hash").eqNullSafe(before)).drop("prev_content_hash", "seen_hash")
+    changed = small(known.where(~F.col("content_hash").eqNullSafe(before)).select(*keys))
+    if set(pages.columns) == set(keys):
+        return changed.select(*pages.columns)
+    same = reduce(and_, [pages[k].eqNullSafe(changed[k]) for k in keys])
+    return pages.join(changed, same, "left_semi").dropDuplicates(keys)
 
 
 def crawl_outcomes(pages, seen):

@@ -41,12 +41,13 @@ def histogram(df, value, buckets, by=()):
     return wide.select(*by, F.inline(cells), "total", "count")
 
 
-def histogram_quantile(buckets, quantile, by=(), le="le", n="n"):
-    """Quantile from cumulative buckets, linear inside a bucket.
+def histogram_quantiles(buckets, quantiles, by=(), le="le", n="n"):
+    """Quantiles {name: share} from cumulative buckets, linear inside a bucket.
 
     The first bucket starts at 0 (or at its bound, when that is not positive),
     the +Inf bucket answers with the last finite bound, and an empty histogram
-    gives null. The window spans the buckets of one histogram only.
+    gives null. The window spans the buckets of one histogram only, and the
+    aggregate reuses its partitioning.
     """
     order = Window.partitionBy(*by).orderBy(le)
     whole = Window.partitionBy(*by)
@@ -55,20 +56,25 @@ def histogram_quantile(buckets, quantile, by=(), le="le", n="n"):
         .withColumn("_below", F.coalesce(F.lag(n).over(order), F.lit(0)))
         .withColumn("_all", F.max(n).over(whole))
     )
-    rank = F.lit(float(quantile)) * F.col("_all")
-    low = F.coalesce("_low", F.least(F.lit(0.0), F.col(le)))
-    share = (rank - F.col("_below")) / (F.col(n) - F.col("_below"))
-    value = (
-        F.when(F.col(le) == INF, F.col("_low"))
-        .when(F.col("_low").isNull() & (F.col(le) <= 0), F.col(le))
-        .when(F.col(n) == F.col("_below"), low)
-        .otherwise(low + (F.col(le) - low) * share)
-    )
-    hit = marked.where((F.col("_all") > 0) & (F.col(n) >= rank))
-    found = hit.groupBy(*by).agg(F.min_by(value, le).alias("value"))
-    if not by:
-        return found
-    return buckets.select(*by).distinct().join(found, list(by), "left")
+    bound, count, below = F.col(le), F.col(n), F.col("_below")
+    low = F.coalesce("_low", F.least(F.lit(0.0), bound))
+
+    def first_reached(share):
+        rank = F.lit(float(share)) * F.col("_all")
+        value = (
+            F.when(bound == INF, F.col("_low"))
+            .when(F.col("_low").isNull() & (bound <= 0), bound)
+            .when(count == below, low)
+            .otherwise(low + (bound - low) * (rank - below) / (count - below))
+        )
+        return F.min_by(value, F.when((F.col("_all") > 0) & (count >= rank), bound))
+
+    return marked.groupBy(*by).agg(*[first_reached(q).alias(name) for name, q in quantiles.items()])
+
+
+def histogram_quantile(buckets, quantile, by=(), le="le", n="n"):
+    """One quantile, as `value`."""
+    return histogram_quantiles(buckets, {"value": quantile}, by, le, n)
 
 
 # --- counters over time -------------------------------------------------------
@@ -77,7 +83,12 @@ def counter_steps(samples, series, ts="ts", value="value", tie=(), rows_per_segm
     """Add prev_<ts> and `step`, the growth since the sample before.
 
     A value below its predecessor is a restart: the counter grew by the new value.
+    `tie` orders samples of one time. Without it copies of a sample are collapsed
+    on the map side, as nothing else could split them.
     """
+    if not tie:
+        samples = samples.select(*series, ts, value).distinct()
+        tie = [value]
     steps = Ordered(samples, list(series), [ts, *tie], rows_per_segment).previous([ts, value])
     v, prev = F.col(value), F.col(f"prev_{value}")
     return steps.withColumn("step", F.when(prev.isNotNull(), F.when(v < prev, v).otherwise(v - prev)))

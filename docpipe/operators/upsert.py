@@ -21,8 +21,8 @@ def upsert(current, incoming, key="chunk_id", order=("created_at", "batch_id")):
 def drop_stale(rows, version=("created_at", "batch_id")):
     """Keep only the chunks of each url's newest content.
 
-    The newest hash per url is found from three narrow columns; the join back
-    splits skewed urls at run time.
+    The newest hash per url is found from a few narrow columns, combined on the
+    map side; the join back splits skewed urls at run time.
     """
     newest = rows.groupBy("url").agg(
         F.max_by("content_hash", F.struct(*version, "content_hash")).alias("content_hash")
@@ -39,7 +39,8 @@ def replace_pages(current, incoming, key="chunk_id", order=("created_at", "batch
     """
     urls = small(incoming.select("url").distinct())
     untouched = current.join(urls, "url", "left_anti")
-    merged = upsert(current.join(urls, "url", "left_semi"), incoming, key, order)
-    if not keep_versions:
-        merged = drop_stale(merged, order)
-    return untouched.unionByName(merged)
+    both = current.join(urls, "url", "left_semi").unionByName(incoming)
+    # The newest content of a url is the same before and after merging its chunks,
+    # so stale rows leave before the shuffle by key.
+    live = both if keep_versions else drop_stale(both, order)
+    return untouched.unionByName(newest_per_key(live, key, order))

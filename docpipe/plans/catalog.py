@@ -16,7 +16,7 @@ from docpipe.sources.state import BatchFolder, SeenPages
 from docpipe.sources.tables import document_pages, documents, page_snapshots, read_table
 from docpipe.streaming import jobs
 
-CRAWLED_AT = "2024-01-31 00:00:00"
+CRAWLED_AT = 1706659200  # 2024-01-31 00:00 UTC
 QUERIES = {}
 
 
@@ -156,7 +156,7 @@ def skip_ratio(spark, sf):
 
 @query
 def page_events_json(spark, sf):
-    pages = _extracted(spark, sf).withColumn("crawled_at", iso_utc(F.lit(CRAWLED_AT).cast("timestamp_ntz").cast("timestamp")))
+    pages = _extracted(spark, sf).withColumn("crawled_at", iso_utc(F.timestamp_seconds(F.lit(CRAWLED_AT))))
     return E.page_messages(pages)
 
 
@@ -388,11 +388,8 @@ def latency_histogram(spark, sf):
 def latency_quantiles(spark, sf):
     seconds = _events(spark, sf).withColumn("seconds", F.col("value") / 1000)
     hist = M.histogram(seconds, "seconds", BUCKETS["query_api_latency_seconds"], ["event_type"])
-    out = None
-    for name, q in [("p50", 0.5), ("p95", 0.95), ("p99", 0.99)]:
-        part = M.histogram_quantile(hist, q, ["event_type"]).select("event_type", F.round("value", 6).alias(name))
-        out = part if out is None else out.join(part, "event_type")
-    return out
+    found = M.histogram_quantiles(hist, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["event_type"])
+    return found.select("event_type", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
 @query
@@ -544,7 +541,7 @@ def stream_closed_windows(spark, sf):
 def stream_page_chunks(spark, sf):
     """Pages through the change and chunk streams, from an empty state."""
     out = scratch_dir(spark, "stages")
-    crawled = F.lit(CRAWLED_AT).cast("timestamp_ntz").cast("timestamp")
+    crawled = F.timestamp_seconds(F.lit(CRAWLED_AT))
     snapshots = _table_stream(spark, sf, "pages").select("url", "html", crawled.alias("crawled_at"))
     jobs.change_query(snapshots, f"{out}/pages", SeenPages(f"{out}/seen"), f"{out}/c1").awaitTermination()
     pages = BatchFolder(f"{out}/pages", jobs.PAGE_TABLE).stream(spark)

@@ -16,6 +16,7 @@ from docpipe.operators.chunks import chunk_rows
 from docpipe.operators.extract import extract_pages, nonempty
 from docpipe.operators.index import assign_cells
 from docpipe.operators.metrics import windowed_counts
+from docpipe.operators.ordered import epoch_micros
 from docpipe.operators.quality import quarantine, with_event_defaults
 from docpipe.sources.events import parse_events
 from docpipe.sources.state import BatchFolder
@@ -129,7 +130,8 @@ def without_redelivery(events, ts="crawled_at", retention=DEFAULTS.retention):
 
 def stage_counts(events, window="10 minutes", keys=("event_type",), ts="ts", late=DEFAULTS.retention):
     """Closed windows of event counts, for append mode."""
-    typed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    moment = F.timestamp_micros(epoch_micros(F.col(ts), events.schema[ts].dataType))
+    typed = events.withColumn(ts, moment).withWatermark(ts, late)
     return windowed_counts(typed, window, keys, ts=ts)
 
 

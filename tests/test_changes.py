@@ -18,6 +18,14 @@ def test_versions_inside_one_run(spark, rows, per_segment):
     assert rows(got) == [("u1", 2, "B"), ("u1", 3, "A"), ("u3", 1, "Z")]
 
 
+def test_copies_and_whole_rows(spark, rows):
+    data = [("u1", 1, "A", "a"), ("u1", 2, "B", "b"), ("u1", 2, "B", "b"), ("u1", 3, "A", "a"), ("u3", None, "Z", "z")]
+    pages = spark.createDataFrame(data, "url string, seq int, content_hash string, text string")
+    seen = spark.createDataFrame(SEEN, "url string, content_hash string")
+    got = changes.page_versions(pages, seen, ["seq"])
+    assert rows(got) == sorted([("u1", 2, "B", "b"), ("u1", 3, "A", "a"), ("u3", None, "Z", "z")], key=repr)
+
+
 def test_changed_and_unchanged_split_the_pages(spark, rows):
     pages, seen = frames(spark, [("u1", 1, "A"), ("u2", 1, "Y"), ("u3", 1, "Z")])
     assert rows(changes.changed_pages(pages, seen).select("url")) == [("u2",), ("u3",)]

@@ -3,6 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from docpipe.functions.text import iso_utc
 from docpipe.operators import quality, upsert
 from docpipe.schemas import CHUNK_EVENT, PAGE_EVENT
 from docpipe.sources import events as E
@@ -43,6 +44,19 @@ def test_page_message_round_trip(spark):
     assert good.count() == 1 and dead.count() == 0
 
 
+def test_times_on_the_wire_are_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        micros = [1706659200000005, 1710054000000000, -1]
+        df = spark.createDataFrame([(m,) for m in micros], "m bigint").select("m", iso_utc(F.timestamp_micros("m")).alias("t"))
+        assert {r.m: r.t for r in df.collect()} == {
+            micros[0]: "2024-01-31T00:00:00.000005+00:00", micros[1]: "2024-03-10T07:00:00.000000+00:00",
+            -1: "1969-12-31T23:59:59.999999+00:00"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_page_files_keep_the_order_of_a_hot_url(spark, tmp_path):
     pages = spark.range(4000).select(
         F.when(F.col("id") % 3 == 0, F.concat(F.lit("u"), F.col("id").cast("string"))).otherwise("hot").alias("url"),
