@@ -63,9 +63,10 @@ def page_versions(pages, seen, order, rows_per_segment=DEFAULTS.rows_per_segment
     ordered = Ordered(versions, ["url"], list(order), rows_per_segment).previous(["content_hash"])
     known = with_seen_hash(ordered, seen)
     before = F.coalesce("prev_content_hash", "seen_hash")
-    changed = small(known.where(~F.col("content_hash").eqNullSafe(before)).select(*keys))
+    changed = known.where(~F.col("content_hash").eqNullSafe(before)).select(*keys)
     if set(pages.columns) == set(keys):
         return changed.select(*pages.columns)
+    changed = small(changed)
     same = reduce(and_, [pages[k].eqNullSafe(changed[k]) for k in keys])
     return pages.join(changed, same, "left_semi").dropDuplicates(keys)
 

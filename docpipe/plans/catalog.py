@@ -231,8 +231,8 @@ def upsert_chunks(spark, sf):
     revised = F.when(F.col("lang") == "fr", F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text"))
     second = pages.where(F.col("lang").isin("de", "fr")).withColumn("text", revised).withColumn(
         "content_hash", F.sha2("text", 256))
-    current = chunks.chunk_rows(pages, created_at=F.lit(1)).withColumn("batch_id", F.lit(0))
-    incoming = chunks.chunk_rows(second, created_at=F.lit(2)).withColumn("batch_id", F.lit(1))
+    current = materialize(chunks.chunk_rows(pages, created_at=F.lit(1)).withColumn("batch_id", F.lit(0)), "current")
+    incoming = materialize(chunks.chunk_rows(second, created_at=F.lit(2)).withColumn("batch_id", F.lit(1)), "incoming")
     return upsert.replace_pages(current, incoming).select(
         "chunk_id", "url", "chunk_index", "total_chunks", "text", "content_hash", "created_at")
 
