@@ -35,6 +35,7 @@ def with_title_and_text(df, html="html", url="url"):
 
 @F.pandas_udf(_PAGE)
 def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+    from collections import Counter
     from html.entities import html5
     from html.parser import HTMLParser
 
@@ -45,6 +46,7 @@ def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
         def __init__(self):
             super().__init__(convert_charrefs=False)
             self.open = []
+            self.depth = Counter()  # open elements per tag
             self.hidden = 0      # how many open elements hide their content
             self.run = []        # text since the last mark
             self.title = None
@@ -93,6 +95,7 @@ def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
             if tag in void:
                 return
             self.open.append(tag)
+            self.depth[tag] += 1
             self.hidden += tag in hidden
             if self.hidden:
                 return
@@ -110,10 +113,11 @@ def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
 
         def handle_endtag(self, tag):
             self.flush()
-            if tag not in self.open:
+            if not self.depth[tag]:
                 return
             while True:
                 last = self.open.pop()
+                self.depth[last] -= 1
                 self.hidden -= last in hidden
                 if last == tag:
                     break

@@ -170,7 +170,10 @@ def rolling_throughput(events, series, seconds=DEFAULTS.throughput_window_second
 
     One row per series and distinct time. Times are counted first, then every
     span of `seconds` is its own window group that also sees the span before it,
-    so a group never exceeds two spans however long a series runs.
+    so a group never exceeds two spans however long a series runs. Inside a group
+    each time adds its count and takes it back once it has left the window; one
+    running sum of these steps gives the answer in linear time, where a sliding
+    frame would add up the whole window again for every row.
     """
     width = seconds * 1_000_000
     micros = epoch_micros(F.col(ts), events.schema[ts].dataType)
@@ -178,11 +181,17 @@ def rolling_throughput(events, series, seconds=DEFAULTS.throughput_window_second
         events.select(*series, F.col(ts).alias("ts"), micros.alias("_us"))
         .groupBy(*series, "ts", "_us").agg(F.count("*").alias("_n"))
     )
-    span = F.floor(F.col("_us") / F.lit(width))
-    placed = counted.withColumn("_span", F.explode(F.array(span, span + 1))).withColumn("_own", F.col("_span") == span)
-    back = Window.partitionBy(*series, "_span").orderBy("_us").rangeBetween(-width, 0)
+    us, n = F.col("_us"), F.col("_n")
+    span = F.floor(us / F.lit(width))
+    steps = F.array(
+        F.struct(span.alias("span"), us.alias("at"), n.alias("step"), F.lit(True).alias("own")),
+        F.struct((span + 1).alias("span"), us.alias("at"), n.alias("step"), F.lit(False).alias("own")),
+        F.struct((span + 1).alias("span"), (us + width + 1).alias("at"), (-n).alias("step"), F.lit(False).alias("own")),
+    )
+    placed = counted.select(*series, "ts", F.explode(steps).alias("_s")).select(*series, "ts", "_s.*")
+    so_far = Window.partitionBy(*series, "span").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     return (
-        placed.withColumn("n", F.sum("_n").over(back)).where("_own")
+        placed.withColumn("n", F.sum("step").over(so_far)).where("own")
         .select(*series, "ts", "n", (F.col("n") / F.lit(float(seconds))).alias("per_second"))
     )
 

@@ -54,3 +54,13 @@ def test_filter_does_not_parse_twice(spark):
     plan = nonempty(extract_pages(pages))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("read_page(") == 1
     assert nonempty(extract_pages(pages)).count() == 1
+
+
+def test_unclosed_tags_stay_linear(spark):
+    import time
+
+    page = "<body>" + "<p>x" * 40_000 + "</i>" * 40_000 + "</body>"
+    pages = spark.createDataFrame([("u", page)], "url string, html string")
+    started = time.time()
+    assert extract_pages(pages).first().text == " ".join("x" * 40_000)
+    assert time.time() - started < 15

@@ -87,6 +87,13 @@ def test_rolling_throughput_equals_brute_force(spark):
     assert got == {t: sum(1 for u in times if t - 60 <= u <= t) for t in set(times)}
 
 
+def test_rolling_throughput_adds_each_time_once(spark):
+    """A sliding frame would cost the square of the rows in a busy minute."""
+    df = samples(spark, [("a", 0, 1)])
+    plan = M.rolling_throughput(df, ["s"], 60)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
+
+
 def test_windowed_counts(spark, rows):
     df = samples(spark, [("a", 0, 1), ("a", 599, 1), ("a", 600, 1)])
     assert sorted(r.n for r in M.windowed_counts(df, "10 minutes", ["s"]).collect()) == [1, 2]
