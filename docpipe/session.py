@@ -29,12 +29,17 @@ def build_session(app="docpipe", master=None, shuffle_partitions=None, **conf):
 def scratch_dir(spark, label):
     """A fresh path below the cluster's shared checkpoint folder.
 
-    Only where no folder is configured (tests, a laptop) a local one is set.
+    The folder is `spark.checkpoint.dir`, else the one given to setCheckpointDir.
+    Only a local session (tests, a laptop) may do without: executors of a cluster
+    do not see each other's temporary folders, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _LOCAL.setdefault("dir", None) or tempfile.mkdtemp(prefix="docpipe-")
-        _LOCAL["dir"] = base
+        base = _LOCAL.get(id(spark.sparkContext)) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _LOCAL[id(spark.sparkContext)] = tempfile.mkdtemp(prefix="docpipe-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

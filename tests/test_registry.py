@@ -4,7 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from docpipe.plans.catalog import QUERIES
+from docpipe.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
 NO_SQL = {"pretoken_windows", "kmeans_cells"}
@@ -26,16 +28,16 @@ def normal(frame):
 
 
 def test_registries_agree():
-    assert set(queries()) - set(oracle_sql()) == NO_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE) == NO_SQL
+    assert set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    got = queries()[name](spark, SF).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
     assert len(got) > 0
     if name not in NO_SQL:
-        assert normal(got) == normal(db.execute(oracle_sql()[name]).df())
+        assert normal(got) == normal(db.execute(ORACLE[name]).df())
 
 
 def test_entry(spark):
