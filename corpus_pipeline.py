@@ -7,13 +7,20 @@ reads it again for the next one, so a lost executor costs part of one stage.
 
 from pyspark.sql import functions as F
 
-from docpipe.llm import bpe, mixing
+from docpipe.llm import bpe, mixing, secrets
 from docpipe.llm.common import read_table
 from docpipe.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def remove_secrets(spark, docs, sf_dir):
+    """Every secret becomes its rule's name in brackets; n_chars follows the text where it changes."""
+    found = secrets.find_secrets(docs.select(COLUMNS))
+    clean = secrets.redact(found)
+    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
 def mix_sources(spark, docs, sf_dir):
     """Documents as often as the mix takes them. Rows with the same id, text and source are one document."""
     docs = docs.select(COLUMNS)
@@ -34,6 +41,7 @@ def encode(spark, docs, sf_dir):
 
 
 STAGES = [
+    ("secret scan", remove_secrets),
     ("mixing sources", mix_sources),
     ("bpe encoding", encode),
 ]
