@@ -7,13 +7,21 @@ reads it again for the next one, so a lost executor costs part of one stage.
 
 from pyspark.sql import functions as F
 
-from docpipe.llm import bpe, mixing, secrets
+from docpipe.llm import bpe, mixing, quality, secrets
 from docpipe.llm.common import read_table
 from docpipe.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keep_good(spark, docs, sf_dir):
+    """Documents that the quality classifier does not reject."""
+    docs = docs.select(COLUMNS)
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    machine = quality.fit(docs.where(~quality.held_out(5, 0)), labels.where(~quality.held_out(5, 0)))
+    return quality.score(docs, machine).where("predicted = 1").select(COLUMNS)
+
+
 def remove_secrets(spark, docs, sf_dir):
     """Every secret becomes its rule's name in brackets; n_chars follows the text where it changes."""
     found = secrets.find_secrets(docs.select(COLUMNS))
@@ -41,6 +49,7 @@ def encode(spark, docs, sf_dir):
 
 
 STAGES = [
+    ("quality", keep_good),
     ("secret scan", remove_secrets),
     ("mixing sources", mix_sources),
     ("bpe encoding", encode),
