@@ -7,7 +7,7 @@ reads it again for the next one, so a lost executor costs part of one stage.
 
 from pyspark.sql import functions as F
 
-from docpipe.llm import bpe, mixing, quality, secrets
+from docpipe.llm import bpe, mixing, quality, secrets, shingle_join
 from docpipe.llm.common import read_table
 from docpipe.session import materialize
 
@@ -22,6 +22,14 @@ def keep_good(spark, docs, sf_dir):
     return quality.score(docs, machine).where("predicted = 1").select(COLUMNS)
 
 
+def drop_near_copies(spark, docs, sf_dir):
+    """The document with the smallest doc_id of each group of near duplicates; rows without doc_id stay."""
+    docs = docs.select(COLUMNS)
+    kept = shingle_join.similarity_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.select(COLUMNS).union(docs.where("doc_id is null"))
+
+
 def remove_secrets(spark, docs, sf_dir):
     """Every secret becomes its rule's name in brackets; n_chars follows the text where it changes."""
     found = secrets.find_secrets(docs.select(COLUMNS))
@@ -50,6 +58,7 @@ def encode(spark, docs, sf_dir):
 
 STAGES = [
     ("quality", keep_good),
+    ("near duplicates", drop_near_copies),
     ("secret scan", remove_secrets),
     ("mixing sources", mix_sources),
     ("bpe encoding", encode),

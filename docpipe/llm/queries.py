@@ -1,6 +1,6 @@
 """The registered queries of this subpackage: one per operator, on whole tables."""
 
-from docpipe.llm import bpe, chat_format, language_id, mixing, quality, secrets
+from docpipe.llm import bpe, chat_format, language_id, mixing, quality, secrets, shingle_join
 from docpipe.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op6_quality(spark, sf_dir):
     )
 
 
+def op7_ngram_join(spark, sf_dir):
+    return shingle_join.similarity_classes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,6 +38,6 @@ def op10_secrets(spark, sf_dir):
     return secrets.digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_chat_format, op4_mixing, op6_quality, op9_bpe, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_chat_format, op4_mixing, op6_quality, op7_ngram_join, op9_bpe, op10_secrets)}
 
 ORACLE = {}
