@@ -1,9 +1,13 @@
 """The registered queries of this subpackage: one per operator, on whole tables."""
 
-from docpipe.llm import bpe, chat_format, language_id, mixing, quality, secrets, shingle_join
+from docpipe.llm import bpe, chat_format, language_id, mixing, quality, secrets, shingle_join, vector_dedup
 from docpipe.llm.common import read_table
 
 
+def op1_near_vectors(spark, sf_dir):
+    return vector_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op2_language_id(spark, sf_dir):
     return language_id.languages(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -38,6 +42,6 @@ def op10_secrets(spark, sf_dir):
     return secrets.digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_chat_format, op4_mixing, op6_quality, op7_ngram_join, op9_bpe, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language_id, op3_chat_format, op4_mixing, op6_quality, op7_ngram_join, op9_bpe, op10_secrets)}
 
 ORACLE = {}
