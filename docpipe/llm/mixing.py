@@ -85,6 +85,8 @@ def mix(sized, weights=WEIGHTS, share=1.0, repeats=REPEATS, seed=SEED, bins=BINS
         targets.alias("t").join(ends.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left")
         .select("t.*", F.coalesce("last_bin", F.lit(bins + 1)).alias("last_bin"), "before")
     )
+    # One row per source, stored: its measured size decides how Spark joins it.
+    plan = materialize(plan, "plan")
     rows = keyed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
         "d.*", "p.source_size", "p.target", "p.epochs", "p.rest", "p.last_bin", "p.before")
     inside = rows.where(F.col("bin") == F.col("last_bin"))
