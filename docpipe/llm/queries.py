@@ -1,6 +1,6 @@
 """The registered queries of this subpackage: one per operator, on whole tables."""
 
-from docpipe.llm import bpe, chat_format, language_id, mixing, quality, secrets, shingle_join, vector_dedup
+from docpipe.llm import bpe, chat_format, language_id, mixing, multi_index, quality, secrets, shingle_join, vector_dedup
 from docpipe.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op7_ngram_join(spark, sf_dir):
     return shingle_join.similarity_classes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_multi_index(spark, sf_dir):
+    return multi_index.nearest_neighbours(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -42,6 +46,6 @@ def op10_secrets(spark, sf_dir):
     return secrets.digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language_id, op3_chat_format, op4_mixing, op6_quality, op7_ngram_join, op9_bpe, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language_id, op3_chat_format, op4_mixing, op6_quality, op7_ngram_join, op8_multi_index, op9_bpe, op10_secrets)}
 
 ORACLE = {}
