@@ -1,6 +1,6 @@
 """The registered queries of this subpackage: one per operator, on whole tables."""
 
-from docpipe.llm import bpe, chat_format, language_id, mixing, multi_index, quality, secrets, shingle_join, vector_dedup
+from docpipe.llm import bpe, chat_format, language_id, mixing, multi_index, quality, secrets, shingle_join, suffix_dedup, vector_dedup
 from docpipe.llm.common import read_table
 
 
@@ -23,6 +23,10 @@ def op4_mixing(spark, sf_dir):
     )
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_quality(spark, sf_dir):
     return quality.graded(
         read_table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -46,6 +50,6 @@ def op10_secrets(spark, sf_dir):
     return secrets.digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language_id, op3_chat_format, op4_mixing, op6_quality, op7_ngram_join, op8_multi_index, op9_bpe, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language_id, op3_chat_format, op4_mixing, op5_suffix_dedup, op6_quality, op7_ngram_join, op8_multi_index, op9_bpe, op10_secrets)}
 
 ORACLE = {}
