@@ -34,7 +34,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("docpipe-bench", f"local[{cpus}]", cpus, spark__ui__enabled="false",
-                          spark__ui__showConsoleProgress="false", spark__driver__memory="16g")
+                          spark__ui__showConsoleProgress="false", spark__driver__memory="16g", spark__docpipe__spread=cpus)
     spark.sparkContext.setLogLevel("ERROR")
     wanted = sys.argv[1:] or HEADLINE
     spark.read.parquet(f"{sf_dir}/pages.parquet").count()  # start-up is not part of a query

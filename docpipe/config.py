@@ -20,11 +20,7 @@ class Settings:
     nprobe: int = 16
     retention: str = "24 hours"
     throughput_window_seconds: int = 60
-
-    # Physical limits. Above them an operator switches strategy; no row is lost.
     query_block_rows: int = 4096        # query vectors one task holds at a time
-    max_centroids: int = 16384          # centroid rows allowed in a broadcast
-    rows_per_segment: int = 4_000_000   # rows of one ordered key sorted by one task
 
 
 DEFAULTS = Settings()

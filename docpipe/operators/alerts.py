@@ -68,13 +68,23 @@ def _drop_label(samples, label):
     return samples.withColumn(label, F.col("labels")[label]).withColumn("labels", rest)
 
 
-def _on_grid(samples, step):
-    """Last value per series and grid step, stamped with the end of the step."""
-    grid = F.window("ts", f"{step} seconds")
-    return (
-        samples.groupBy("series", grid.alias("_w")).agg(F.max_by("value", "ts").alias("value"))
-        .select("series", F.col("_w.end").alias("ts"), "value")
-    )
+STALE_SECONDS = 300
+
+
+def on_grid(samples, step, stale=STALE_SECONDS):
+    """The newest value per series at every grid time, at most `stale` seconds old.
+
+    Each sample answers the grid times from its own on, until it is stale; of several the
+    newest wins. Scrapes need not hit the grid, nor come once per step. Combined on
+    the map side. Of samples of one series and time the larger value counts.
+    """
+    kind = samples.schema["ts"].dataType
+    us, width = epoch_micros(F.col("ts"), kind), step * 1_000_000
+    first = F.ceil(us / F.lit(width))
+    last = F.ceil((us + F.lit(stale * 1_000_000)) / F.lit(width)) - 1
+    covered = samples.withColumn("_us", us).withColumn("_at", F.explode(F.sequence(first, last)))
+    newest = covered.where(last >= first).groupBy("series", "_at").agg(F.max(F.struct("_us", "value")).alias("_v"))
+    return newest.select("series", F.timestamp_micros(F.col("_at") * width).cast(kind).alias("ts"), F.col("_v.value").alias("value"))
 
 
 def with_bounds(bucket_samples):
@@ -90,7 +100,7 @@ def error_share(request_samples, window, slide=None):
     return M.ratio(grown, F.col("status") == "error", ["series", "start", "end"], F.col("increase"))
 
 
-def check(samples, rule, step=30, lookback="5 minutes"):
+def check(samples, rule, step=30, lookback="5 minutes", stale=STALE_SECONDS):
     """(series, ts, active) of one rule on a grid of `step` seconds.
 
     samples: (ts, metric, labels, value); bucket counters carry the label `le`,
@@ -99,7 +109,7 @@ def check(samples, rule, step=30, lookback="5 minutes"):
     mine = samples.where(F.col("metric") == rule.metric)
     slide = f"{step} seconds"
     if rule.kind == "gauge":
-        return _on_grid(M.as_series(mine), step).select(
+        return on_grid(M.as_series(mine), step, stale).select(
             "series", "ts", (F.col("value") > rule.threshold).alias("active"))
     if rule.kind == "p99":
         p99 = M.bucket_quantile(with_bounds(mine), ["series"], 0.99, lookback, slide)
@@ -108,17 +118,17 @@ def check(samples, rule, step=30, lookback="5 minutes"):
         share = error_share(mine, lookback, slide)
         return share.select("series", F.col("end").alias("ts"), (F.col("ratio") > rule.threshold).alias("active"))
     if rule.kind == "stalled":
-        idle = _on_grid(M.as_series(mine), step).where("value = 0")
-        waiting = _on_grid(M.as_series(samples.where(F.col("metric") == rule.other)), step).where("value > 0")
+        idle = on_grid(M.as_series(mine), step, stale).where("value = 0")
+        waiting = on_grid(M.as_series(samples.where(F.col("metric") == rule.other)), step, stale).where("value > 0")
         return M.both(idle, waiting, ["series", "ts"]).select("series", "ts", F.lit(True).alias("active"))
     raise ValueError(f"unknown rule kind: {rule.kind}")
 
 
-def evaluate(samples, rules=RULES, step=30, lookback="5 minutes"):
+def evaluate(samples, rules=RULES, step=30, lookback="5 minutes", stale=STALE_SECONDS):
     """States of all rules: (alertname, severity, component, series, ts, active_since, state)."""
     parts = []
     for rule in rules:
-        states = alert_states(check(samples, rule, step, lookback), ["series"], rule.hold_seconds, step)
+        states = alert_states(check(samples, rule, step, lookback, stale), ["series"], rule.hold_seconds, step)
         parts.append(states.select(
             F.lit(rule.name).alias("alertname"), F.lit(rule.severity).alias("severity"),
             F.lit(rule.component).alias("component"), "series", "ts", "active_since", "state",

@@ -5,9 +5,7 @@ from operator import and_
 
 from pyspark.sql import functions as F
 
-from docpipe.config import DEFAULTS
 from docpipe.operators.ordered import Ordered
-from docpipe.session import small
 
 
 def latest_seen(log, order="version"):
@@ -28,28 +26,27 @@ def with_seen_hash(pages, seen):
     return pages.join(state, "url", "left")
 
 
-def changed_pages(pages, seen, late=False):
-    """Pages whose url is new or whose stored hash differs.
+def with_content(pages):
+    """Pages that were fetched and read, and are not empty: the only ones that are compared."""
+    read = pages.where(F.col("content_hash").isNotNull())
+    return read.where("text <> ''") if "text" in pages.columns else read
 
-    late: compare urls and hashes alone first, then fetch the changed rows with a
-    second scan. Worth it where `pages` is a stored table with few changes, as
-    the texts of unchanged pages are then never shuffled.
-    """
-    if late:
-        keys = changed_pages(pages.select("url", "content_hash"), seen).distinct()
-        return pages.join(small(keys), ["url", "content_hash"], "left_semi")
+
+def changed_pages(pages, seen):
+    """Pages with content whose url is new or whose stored hash differs."""
     return (
-        with_seen_hash(pages, seen)
+        with_seen_hash(with_content(pages), seen)
         .where(~F.col("content_hash").eqNullSafe(F.col("seen_hash")))
         .drop("seen_hash")
     )
 
 
 def unchanged_pages(pages, seen):
-    return pages.join(seen.select("url", "content_hash"), ["url", "content_hash"], "left_semi")
+    """Pages with content whose stored hash is the same."""
+    return with_content(pages).join(seen.select("url", "content_hash"), ["url", "content_hash"], "left_semi")
 
 
-def page_versions(pages, seen, order, rows_per_segment=DEFAULTS.rows_per_segment):
+def page_versions(pages, seen, order, segments=None):
     """Changes inside one run: each row is compared with the version before it,
     the first one with the stored hash. A url that goes A, B, A emits each step.
 
@@ -60,13 +57,12 @@ def page_versions(pages, seen, order, rows_per_segment=DEFAULTS.rows_per_segment
     keys = ["url", *order]
     keys += [c for c in ["content_hash"] if c not in keys]
     versions = pages.select(*keys).distinct()
-    ordered = Ordered(versions, ["url"], list(order), rows_per_segment).previous(["content_hash"])
+    ordered = Ordered(versions, ["url"], list(order), segments).previous(["content_hash"])
     known = with_seen_hash(ordered, seen)
     before = F.coalesce("prev_content_hash", "seen_hash")
     changed = known.where(~F.col("content_hash").eqNullSafe(before)).select(*keys)
     if set(pages.columns) == set(keys):
         return changed.select(*pages.columns)
-    changed = small(changed)
     same = reduce(and_, [pages[k].eqNullSafe(changed[k]) for k in keys])
     return pages.join(changed, same, "left_semi").dropDuplicates(keys)
 

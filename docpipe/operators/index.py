@@ -7,31 +7,20 @@ from pyspark.sql import types as T
 
 from docpipe.config import DEFAULTS
 
-_TRAINING_ROWS_PER_CELL = 256
 
-
-def train_centroids(vectors, nlist=DEFAULTS.nlist, seed=42, max_iter=20, vector="embedding", rows=None):
-    """(cell, embedding): k-means centres of a bounded training sample.
-
-    Sampling bounds the training cost only; every vector is assigned afterwards.
-    """
-    wanted = nlist * _TRAINING_ROWS_PER_CELL
-    rows = vectors.count() if rows is None else rows
+def train_centroids(vectors, nlist=DEFAULTS.nlist, seed=42, max_iter=20, vector="embedding"):
+    """(cell, embedding): k-means centres of all rows."""
     train = vectors.select(array_to_vector(F.col(vector)).alias("features"))
-    if rows > wanted:
-        train = train.sample(fraction=min(1.0, 1.2 * wanted / rows), seed=seed)
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(train)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(centres, "cell int, embedding array<double>")
 
 
-def collect_centroids(centroids, vector="embedding", limit=DEFAULTS.max_centroids):
-    """Centroids as a unit matrix, row i = cell i. Their number is checked first."""
+def collect_centroids(centroids, vector="embedding"):
+    """Centroids as a unit matrix, row i = cell i. There are as many as the index has cells (`nlist`)."""
     from docpipe.operators.search import _unit_rows
 
-    table = centroids.select("cell", vector).limit(limit + 1).toArrow().sort_by("cell")
-    if table.num_rows > limit:
-        raise ValueError(f"more than {limit} centroids; raise nlist in steps or the limit")
+    table = centroids.select("cell", vector).toArrow().sort_by("cell")
     if table["cell"].to_pylist() != list(range(table.num_rows)):
         raise ValueError("cells must be numbered 0..n-1")
     lists = table[vector].combine_chunks()

@@ -79,7 +79,7 @@ def histogram_quantile(buckets, quantile, by=(), le="le", n="n"):
 
 # --- counters over time -------------------------------------------------------
 
-def counter_steps(samples, series, ts="ts", value="value", tie=(), rows_per_segment=DEFAULTS.rows_per_segment):
+def counter_steps(samples, series, ts="ts", value="value", tie=(), segments=None):
     """Add prev_<ts> and `step`, the growth since the sample before.
 
     A value below its predecessor is a restart: the counter grew by the new value.
@@ -89,19 +89,18 @@ def counter_steps(samples, series, ts="ts", value="value", tie=(), rows_per_segm
     if not tie:
         samples = samples.select(*series, ts, value).distinct()
         tie = [value]
-    steps = Ordered(samples, list(series), [ts, *tie], rows_per_segment).previous([ts, value])
+    steps = Ordered(samples, list(series), [ts, *tie], segments).previous([ts, value])
     v, prev = F.col(value), F.col(f"prev_{value}")
     return steps.withColumn("step", F.when(prev.isNotNull(), F.when(v < prev, v).otherwise(v - prev)))
 
 
-def increase(samples, series, window, slide=None, ts="ts", value="value", tie=(),
-             rows_per_segment=DEFAULTS.rows_per_segment):
+def increase(samples, series, window, slide=None, ts="ts", value="value", tie=(), segments=None):
     """Counter growth per series and window: (series.., start, end, increase).
 
     Steps count where both samples lie inside the window; no extrapolation to
     its edges. Sums are combined before the shuffle.
     """
-    steps = counter_steps(samples, series, ts, value, tie, rows_per_segment)
+    steps = counter_steps(samples, series, ts, value, tie, segments)
     spans = steps.withColumn("_w", F.window(ts, window, slide or window))
     inside = F.when(F.col(f"prev_{ts}") >= F.col("_w.start"), F.col("step")).otherwise(F.lit(0.0))
     return (
@@ -205,10 +204,9 @@ def windowed_counts(events, window, keys=(), slide=None, ts="ts"):
     )
 
 
-def embed_batches(rows, topic, order, batch_size=DEFAULTS.embed_batch_size,
-                  rows_per_segment=DEFAULTS.rows_per_segment):
+def embed_batches(rows, topic, order, batch_size=DEFAULTS.embed_batch_size, segments=None):
     """(topic.., batch_no, n): arrival-ordered batches of at most `batch_size` per topic."""
-    numbered = Ordered(rows, list(topic), list(order), rows_per_segment).row_number("_row")
+    numbered = Ordered(rows, list(topic), list(order), segments).row_number("_row")
     batch = F.floor((F.col("_row") - 1) / F.lit(batch_size)).cast("bigint")
     return numbered.groupBy(*topic, batch.alias("batch_no")).agg(F.count("*").alias("n"))
 

@@ -1,22 +1,20 @@
 """Row-order operators that stay balanced when one key holds most rows.
 
-A window over a key sorts all rows of that key in one task. Here the ordering
-column is cut into segments of equal row count first; windows run per
-(key, segment), and a small per-segment summary carries state across the cuts.
-The result equals that of the plain window.
+A window over a key sorts all rows of that key in one task. Here the rows are dealt
+out by ranges of (key, order) first, which Spark cuts at equal row counts, whatever
+the columns' types; windows run per (key, range), and a small summary per range
+carries state across the cuts. The result equals that of the plain window, at any
+size and by the same plan.
 """
 
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docpipe.config import DEFAULTS
-
-_MAX_SEGMENTS = 2000
+from docpipe.session import materialize
 
 
 def epoch_micros(ts, data_type):
@@ -27,44 +25,22 @@ def epoch_micros(ts, data_type):
     return F.unix_micros(ts)
 
 
-def segment_column(df, column, rows_per_segment=DEFAULTS.rows_per_segment):
-    """`df` with `_seg`, non-decreasing in `column`, of about equal row counts;
-    None where one segment is enough.
-
-    Row count and cut points each come from one aggregate over that column alone.
-    """
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        position = epoch_micros(F.col(column), kind).cast("double")
-    else:
-        position = F.col(column).cast("double")
-    values = df.select(position.alias("p"))
-    wanted = min(_MAX_SEGMENTS, -(-values.count() // rows_per_segment))
-    if wanted < 2:
-        return None
-    shares = ", ".join(f"{i / wanted:.6f}" for i in range(1, wanted))
-    (cuts,) = values.agg(F.expr(f"percentile_approx(p, array({shares}), {20 * wanted})")).first()
-    points = sorted(set(cuts))
-    splitter = Bucketizer(
-        splits=[float("-inf"), *points, float("inf")], inputCol="_position", outputCol="_seg", handleInvalid="keep"
-    )
-    return splitter.transform(df.withColumn("_position", position)).drop("_position")
-
-
 @dataclass
 class Ordered:
-    """Rows of `df` per `keys` in the order of `order`; `order[0]` drives the cuts."""
+    """Rows of `df` per `keys` in the order of `order`. `segments` is the number of
+    ranges (default: the session's shuffle partitions)."""
 
     df: Any
     keys: list
     order: list
-    rows_per_segment: int = DEFAULTS.rows_per_segment
+    segments: int | None = None
 
     def __post_init__(self):
-        cut = segment_column(self.df, self.order[0], self.rows_per_segment)
-        self.whole = cut is None
-        self.cut = self.df if self.whole else cut
-        self.inner = Window.partitionBy(*self.keys, *([] if self.whole else ["_seg"])).orderBy(*self.order)
+        by = [*self.keys, *self.order]
+        ranged = self.df.repartitionByRange(self.segments, *by) if self.segments else self.df.repartitionByRange(*by)
+        # Stored: the cuts are drawn from a sample, and rows and carries must agree on them.
+        self.cut = materialize(ranged.withColumn("_seg", F.spark_partition_id()), "ranges")
+        self.inner = Window.partitionBy(*self.keys, "_seg").orderBy(*self.order)
         self.outer = Window.partitionBy(*self.keys).orderBy("_seg")
         self.before = self.outer.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -80,9 +56,6 @@ class Ordered:
         """Add prev_<column>, the value in the row before (null in the first row)."""
         row = F.struct(*columns)
         rows = self.cut.withColumn("_prev", F.lag(row).over(self.inner))
-        if self.whole:
-            prev = F.col("_prev")
-            return rows.select(*self.df.columns, *[prev[c].alias(f"prev_{c}") for c in columns])
         last = self.cut.groupBy(*self.keys, "_seg").agg(F.max_by(row, F.struct(*self.order)).alias("_last"))
         carry = (
             last.withColumn("_carry", F.lag("_last").over(self.outer))
@@ -95,8 +68,6 @@ class Ordered:
     def row_number(self, name="row_number"):
         """Add the 1-based position of each row inside its key."""
         rows = self.cut.withColumn("_n", F.row_number().over(self.inner).cast("bigint"))
-        if self.whole:
-            return rows.withColumnRenamed("_n", name)
         sizes = self.cut.groupBy(*self.keys, "_seg").agg(F.count("*").alias("_rows"))
         carry = (
             sizes.withColumn("_carry", F.sum("_rows").over(self.before))
@@ -104,17 +75,3 @@ class Ordered:
         )
         joined = self._join_carry(rows, carry)
         return joined.select(*self.df.columns, (F.col("_n") + F.coalesce("_carry", F.lit(0))).alias(name))
-
-    def running_max(self, value, name):
-        """Add the largest `value` (a column) up to and including each row."""
-        to_here = self.inner.rowsBetween(Window.unboundedPreceding, 0)
-        rows = self.cut.withColumn("_max", F.max(value).over(to_here))
-        if self.whole:
-            return rows.withColumnRenamed("_max", name)
-        tops = self.cut.groupBy(*self.keys, "_seg").agg(F.max(value).alias("_top"))
-        carry = (
-            tops.withColumn("_carry", F.max("_top").over(self.before))
-            .where(F.col("_carry").isNotNull()).drop("_top")
-        )
-        joined = self._join_carry(rows, carry)
-        return joined.select(*self.df.columns, F.greatest("_max", "_carry").alias(name))

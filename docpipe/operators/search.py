@@ -17,7 +17,6 @@ from docpipe.schemas import HIT_COLUMNS
 from docpipe.session import scratch_dir
 
 _CELLS_PER_SLICE = 4_000_000  # scores held at once by a task
-_MAX_BROADCAST_HITS = 500_000  # (query, rank, id, score) rows, about 60 MB
 
 
 def valid_queries(queries, settings=DEFAULTS):
@@ -127,10 +126,7 @@ def _hits(corpus, block, query_schema, id_col, payload, vector, centroids, nprob
     )
     if not payload:
         return hits
-    # Text and titles are fetched for the hits alone, with a second, vector-free
-    # scan. One block has at most n_queries * k hits; that bound decides the join.
-    if block.num_rows * k <= _MAX_BROADCAST_HITS:
-        hits = F.broadcast(hits)
+    # Text and titles are fetched for the hits alone, with a second, vector-free scan.
     return rows.select(id_col, *payload).join(hits, id_col).select("query_id", "rank", id_col, *payload, "score")
 
 
@@ -185,9 +181,15 @@ def _scorer(query_ids, matrix, limits, probes, id_col):
         for batch in batches:
             for start in range(0, batch.num_rows if n_queries else 0, slice_rows):
                 part = batch.slice(start, slice_rows)
-                scores = np.round(_unit_rows(part.column(1), dim) @ matrix.T, 9)
-                if probes is not None:
-                    scores[~probes[part.column(2).to_numpy()]] = -np.inf
+                units = _unit_rows(part.column(1), dim)
+                if probes is None:
+                    scores = np.round(units @ matrix.T, 9)
+                else:  # each cell's rows meet the queries that probe it
+                    scores = np.full((len(units), n_queries), -np.inf)
+                    cells = part.column(2).to_numpy()
+                    for cell in np.unique(cells):
+                        mine, asked = np.flatnonzero(cells == cell), np.flatnonzero(probes[cell])
+                        scores[np.ix_(mine, asked)] = np.round(units[mine] @ matrix[asked].T, 9)
                 bar = floor
                 if len(scores) > k:
                     bar = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[-k])

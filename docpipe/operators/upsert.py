@@ -3,8 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docpipe.session import small
-
 
 def newest_per_key(rows, key="chunk_id", order=("created_at",)):
     """One row per key, the newest. The rank filter also runs before the shuffle,
@@ -34,10 +32,10 @@ def replace_pages(current, incoming, key="chunk_id", order=("created_at", "batch
     """Upsert, then remove chunks of superseded page content unless kept on purpose.
 
     `current` has one row per key, and a key belongs to one url. Only rows whose
-    url comes in again are merged; the others pass through, without a shuffle as
-    long as the incoming urls are few enough to broadcast.
+    url comes in again are merged; the others pass through. How the url list is
+    joined is left to adaptive execution, which knows its size in bytes.
     """
-    urls = small(incoming.select("url").distinct())
+    urls = incoming.select("url").distinct()
     untouched = current.join(urls, "url", "left_anti")
     both = current.join(urls, "url", "left_semi").unionByName(incoming)
     # The newest content of a url is the same before and after merging its chunks,

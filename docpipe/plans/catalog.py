@@ -38,6 +38,16 @@ def _extracted(spark, sf):
     return extract.extract_pages(page_snapshots(spark, sf))
 
 
+def _crawled(spark, sf):
+    """A crawl with what goes wrong in one: failed fetches, empty bodies, missing titles."""
+    case = F.col("page_id") % 17
+    html = (
+        F.when(case == 3, F.lit(None)).when(case == 5, F.lit("<html><body></body></html>"))
+        .when(case == 7, F.regexp_replace("html", r"(?is)<title\b[^>]*>.*?</title\s*>", "")).otherwise(F.col("html"))
+    )
+    return extract.extract_pages(page_snapshots(spark, sf).withColumn("html", html))
+
+
 def _seen(pages):
     """A state from an earlier crawl: pages without a query string were visited;
     those served over plain http were hashed together with their title."""
@@ -80,7 +90,7 @@ def page_extract(spark, sf):
 
 @query
 def nonempty_pages(spark, sf):
-    return extract.nonempty(_extracted(spark, sf)).select("page_id", "url", "content_hash")
+    return extract.nonempty(_crawled(spark, sf)).select("page_id", "url", "content_hash")
 
 
 @query
@@ -105,17 +115,36 @@ def sitemap_urls(spark, sf):
         F.col("sitemap").alias("page_id"), F.col("pos").cast("bigint").alias("pos"), "url")
 
 
+@query
+def sitemap_index(spark, sf):
+    """A sitemap index over child sitemaps of a hundred pages each, expanded and filtered."""
+    child = F.floor(F.col("page_id") / 100)
+    escaped = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    name = F.concat(F.lit("https://docs.example/map-"), F.col("child").cast("string"), F.lit(".xml"))
+    children = page_snapshots(spark, sf).groupBy(child.alias("child")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", escaped.alias("x")))), lambda e: e["x"]), "").alias("x"))
+    children = children.select(
+        "child", name.alias("sitemap"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
+    entry = F.concat(F.lit("<sitemap><loc>"), "sitemap", F.lit("</loc></sitemap>"))
+    index_file = children.agg(F.array_sort(F.collect_list(F.struct("child", entry.alias("x")))).alias("e")).select(
+        F.lit("index").alias("sitemap"),
+        F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform("e", lambda e: e["x"]), ""), F.lit("</sitemapindex>")).alias("xml"))
+    files = materialize(children.select("sitemap", "xml").union(index_file), "sitemaps")
+    found = frontier.expand(files, "index", "/en/")
+    return found.select(F.col("child_pos").cast("bigint").alias("child_pos"), F.col("pos").cast("bigint").alias("pos"), "url")
+
+
 # --- change detection -------------------------------------------------------------
 
 @query
 def changed_pages(spark, sf):
-    pages = _extracted(spark, sf)
+    pages = _crawled(spark, sf)
     return changes.changed_pages(pages, _seen(pages)).select("page_id", "url", "content_hash")
 
 
 @query
 def unchanged_pages(spark, sf):
-    pages = _extracted(spark, sf)
+    pages = _crawled(spark, sf)
     return changes.unchanged_pages(pages, _seen(pages)).select("page_id", "url", "content_hash")
 
 
@@ -131,19 +160,19 @@ def page_versions(spark, sf):
 
 @query
 def crawl_outcomes(spark, sf):
-    pages = _extracted(spark, sf)
+    pages = _crawled(spark, sf)
     return changes.crawl_outcomes(pages, _seen(pages)).select("page_id", "url", "outcome")
 
 
 @query
 def crawl_report(spark, sf):
-    pages = _extracted(spark, sf)
+    pages = _crawled(spark, sf)
     return changes.crawl_report(changes.crawl_outcomes(pages, _seen(pages)))
 
 
 @query
 def skip_ratio(spark, sf):
-    pages = _extracted(spark, sf)
+    pages = _crawled(spark, sf)
     outcomes = changes.crawl_outcomes(pages, _seen(pages))
     language = F.regexp_extract("url", "/(en|de|es|fr)/", 1)
     crawled = outcomes.where("outcome <> 'fetch_error'").withColumn("section", language)
@@ -224,6 +253,16 @@ def pretoken_windows(spark, sf):
     return chunks.token_windows(docs, "text", tokenizer=K.tokenizer("pretoken"))
 
 
+@query
+def pretoken_lossless(spark, sf):
+    """Pieces cut without overlap and put together again: the hash of every text."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    cut = chunks.token_windows(docs, "text", size=512, overlap=0, tokenizer=K.tokenizer("pretoken"))
+    pieces = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
+    whole = cut.groupBy("doc_id").agg(F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"))
+    return whole.select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
 @query
 def upsert_chunks(spark, sf):
     """Stored chunks meet a redelivery (German) and revised pages (French)."""
@@ -301,6 +340,18 @@ def kmeans_cells(spark, sf):
     return index.cell_sizes(index.assign_cells(vectors, centroids))
 
 
+@query
+def kmeans_check(spark, sf):
+    """Trained cells: every row has one, and none lies nearer to another centre."""
+    vectors = read_table(spark, sf, "embeddings")
+    centroids = index.collect_centroids(index.train_centroids(vectors, nlist=16))
+    placed = index.assign_cells(vectors, centroids)
+    centres = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(centroids)])
+    scores = F.transform(centres, lambda c: F.struct(F.round(V.cosine(F.col("embedding"), c["c"]), 9).alias("s"), (-c["cell"]).alias("n")))
+    best = placed.withColumn("best", -F.array_max(scores)["n"])
+    return best.agg(F.count("*").alias("rows"), F.count_if(F.col("best") != F.col("cell")).alias("misplaced"))
+
+
 @query
 def hash_embed_sparse(spark, sf):
     return embed.sparse_buckets(documents(spark, sf), "doc_id")
@@ -344,10 +395,11 @@ def _language_cells(corpus):
 
 
 def _cell_corpus(spark, sf):
-    """The vector table, stored once: cells, scoring and hit lookup each scan it."""
+    """The vector table, stored by cell: a probe reads its partitions only, and
+    payload comes from the same table."""
     corpus = materialize(_corpus(spark, sf), "corpus")
     centroids = _language_cells(corpus)
-    return index.assign_cells(corpus, centroids), centroids
+    return materialize(index.assign_cells(corpus, centroids), "cells", ["cell"]), centroids
 
 
 @query
@@ -358,6 +410,14 @@ def ivf_search(spark, sf):
     return found.select("query_id", "rank", "chunk_id", "score")
 
 
+@query
+def ivf_search_all_cells(spark, sf):
+    """With every cell probed the index gives the exact result."""
+    corpus, centroids = _cell_corpus(spark, sf)
+    found = search.search_text(corpus, _benchmark_queries(spark, sf), embed.HashEmbedder(), centroids, nprobe=len(centroids))
+    return found.select("query_id", "rank", "chunk_id", "score")
+
+
 @query
 def ivf_recall(spark, sf):
     corpus, centroids = _cell_corpus(spark, sf)
@@ -511,6 +571,17 @@ def alert_states(spark, sf):
     return states.withColumn("active_since_us", F.coalesce("active_since_us", F.lit(-1)))
 
 
+@query
+def gauge_alerts(spark, sf):
+    """Event values as gauge samples at irregular times, against a rule on a ten-minute grid."""
+    samples = _events(spark, sf).select(
+        "ts", F.lit("event_value").alias("metric"), F.create_map(F.lit("type"), F.col("event_type")).alias("labels"), "value")
+    rule = alerts.Rule("ValueHigh", "warning", "events", 1800, 60.0, "gauge", "event_value")
+    states = alerts.evaluate(samples, [rule], step=600, stale=7200)
+    rows = _us(states.select("alertname", "series", "ts", "active_since", "state"), "ts", "active_since")
+    return rows.withColumn("active_since_us", F.coalesce("active_since_us", F.lit(-1)))
+
+
 @query
 def page_search(spark, sf):
     """The whole path: extract and chunk every page, then search with the benchmark texts."""

@@ -22,17 +22,18 @@ def _inner(tag):
 
 
 # Page extraction for the mark-up that occurs in the pages table.
-_PAGES = f"""
+def _page_sql(source):
+    return f"""
 bare AS (
-  SELECT page_id, url, regexp_replace(html, '{_DROPPED}', ' ', 'gsi') AS bare FROM pages),
+  SELECT page_id, url, regexp_replace(html, '{_DROPPED}', ' ', 'gsi') AS bare FROM {source}),
 rooted AS (
   SELECT page_id, url, bare,
-    CASE WHEN bare ILIKE '%<main%' THEN {_inner('main')}
+    CASE WHEN bare IS NULL THEN NULL WHEN bare ILIKE '%<main%' THEN {_inner('main')}
          WHEN bare ILIKE '%<article%' THEN {_inner('article')}
          WHEN bare ILIKE '%<body%' THEN {_inner('body')} ELSE '' END AS root FROM bare),
 texted AS (
   SELECT page_id, url,
-    CASE WHEN bare ILIKE '%<title%' THEN trim({_decoded(_inner('title'))}) ELSE url END AS title,
+    CASE WHEN bare IS NULL THEN NULL WHEN bare ILIKE '%<title%' THEN trim({_decoded(_inner('title'))}) ELSE url END AS title,
     trim(regexp_replace({_decoded("regexp_replace(root, '<[^>]*>', ' ', 'g')")}, '{_SPACE}', ' ', 'g')) AS text
   FROM rooted),
 extracted AS (SELECT *, sha256(text) AS content_hash FROM texted),
@@ -41,9 +42,19 @@ seen AS (
   FROM extracted WHERE url NOT LIKE '%?%'),
 outcomes AS (
   SELECT page_id, e.url,
-    CASE WHEN text = '' THEN 'empty' WHEN content_hash = seen_hash THEN 'unchanged' ELSE 'emitted' END AS outcome
+    CASE WHEN text IS NULL THEN 'fetch_error' WHEN text = '' THEN 'empty' WHEN content_hash = seen_hash THEN 'unchanged' ELSE 'emitted' END AS outcome
   FROM extracted e LEFT JOIN seen s ON e.url = s.url)"""
 
+
+_PAGES = _page_sql("pages")
+
+# A crawl with failed fetches, empty bodies and missing titles.
+_CRAWL = rf"""
+raw AS (
+  SELECT page_id, url, CASE page_id % 17 WHEN 3 THEN NULL WHEN 5 THEN '<html><body></body></html>'
+    WHEN 7 THEN regexp_replace(html, '(?is)<title\b[^>]*>.*?</title\s*>', '', 'g') ELSE html END AS html FROM pages),
+{_page_sql("raw")}"""
+
 _PAGE_JSON = """
 page_json AS (
   SELECT url AS key, to_json(struct_pack(url := url, title := title, text := text,
@@ -77,7 +88,7 @@ def _chunk_id(size=512, overlap=64):
 
 _DOC_PAGES = """
 doc_pages AS (
-  SELECT doc_id, lang, 'doc://' || source || '/' || doc_id AS url, substring(text, 1, 60) AS title, text,
+  SELECT doc_id, lang, 'doc://' || source || '/' || doc_id AS url, source || ' ' || doc_id AS title, text,
     sha256(text) AS content_hash FROM documents)"""
 
 _CHUNKS = f"""{_DOC_PAGES},
@@ -261,27 +272,46 @@ islands AS (
   SELECT *, max(CASE WHEN active AND (before IS NULL OR NOT before OR gap > INTERVAL '1 day') THEN ts END)
     OVER (PARTITION BY user_id ORDER BY ts) AS since FROM ordered)"""
 
+_GAUGES = """
+covered AS (
+  SELECT 'type=' || event_type AS series, epoch_us(ts) AS us, value,
+    unnest(range(CAST(ceil(epoch_us(ts) / 600e6) AS BIGINT), CAST(ceil((epoch_us(ts) + 7200000000) / 600e6) AS BIGINT))) AS slot
+  FROM events),
+newest AS (
+  SELECT series, slot, value FROM covered
+  QUALIFY row_number() OVER (PARTITION BY series, slot ORDER BY us DESC, value DESC) = 1),
+ordered AS (
+  SELECT series, slot, value > 60 AS active, lag(value > 60) OVER w AS before, slot - lag(slot) OVER w AS gap FROM newest
+  WINDOW w AS (PARTITION BY series ORDER BY slot)),
+islands AS (
+  SELECT *, max(CASE WHEN active AND (before IS NULL OR NOT before OR gap > 1) THEN slot END)
+    OVER (PARTITION BY series ORDER BY slot) AS since FROM ordered)"""
+
 ORACLE = {
     "page_scan": """SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS html_bytes, sha256(html) AS html_hash FROM pages""",
     "page_titles": f"WITH {_PAGES} SELECT page_id, url, title FROM extracted",
     "page_extract": f"WITH {_PAGES} SELECT page_id, url, title, text, content_hash FROM extracted",
-    "nonempty_pages": f"WITH {_PAGES} SELECT page_id, url, content_hash FROM extracted WHERE text <> ''",
+    "nonempty_pages": f"WITH {_CRAWL} SELECT page_id, url, content_hash FROM extracted WHERE text <> ''",
     "url_filter": "SELECT page_id, url FROM pages WHERE contains(url, '/en/')",
     "frontier_cap": "SELECT page_id, url FROM pages WHERE contains(url, '/en/') ORDER BY page_id LIMIT 50",
     "sitemap_urls": "SELECT page_id, CAST(0 AS BIGINT) AS pos, url FROM pages",
-    "changed_pages": f"""WITH {_PAGES} SELECT page_id, e.url, content_hash
-        FROM extracted e LEFT JOIN seen s ON e.url = s.url WHERE content_hash IS DISTINCT FROM seen_hash""",
-    "unchanged_pages": f"""WITH {_PAGES} SELECT page_id, e.url, content_hash
-        FROM extracted e JOIN seen s ON e.url = s.url AND content_hash = seen_hash""",
+    "sitemap_index": """SELECT child_pos, pos, url FROM (SELECT CAST(page_id // 100 AS BIGINT) AS child_pos,
+        row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) - 1 AS pos, url FROM pages) WHERE contains(url, '/en/')""",
+    "changed_pages": f"""WITH {_CRAWL} SELECT page_id, e.url, content_hash
+        FROM extracted e LEFT JOIN seen s ON e.url = s.url
+        WHERE text <> '' AND content_hash IS DISTINCT FROM seen_hash""",
+    "unchanged_pages": f"""WITH {_CRAWL} SELECT page_id, e.url, content_hash
+        FROM extracted e JOIN seen s ON e.url = s.url AND content_hash = seen_hash WHERE text <> ''""",
     "page_versions": f"WITH {_VERSIONS} SELECT url, doc_id, content_hash FROM compared WHERE content_hash IS DISTINCT FROM before",
-    "crawl_outcomes": f"WITH {_PAGES} SELECT page_id, url, outcome FROM outcomes",
-    "crawl_report": f"""WITH {_PAGES} SELECT count(*) AS urls_found, count(*) AS crawled,
+    "crawl_outcomes": f"WITH {_CRAWL} SELECT page_id, url, outcome FROM outcomes",
+    "crawl_report": f"""WITH {_CRAWL} SELECT count(*) AS urls_found, count(*) FILTER (outcome <> 'fetch_error') AS crawled,
         count(*) FILTER (outcome = 'emitted') AS emitted,
         count(*) FILTER (outcome IN ('empty', 'unchanged')) AS skipped,
-        CAST(0 AS BIGINT) AS errored_fetch, CAST(0 AS BIGINT) AS errored_parse FROM outcomes""",
-    "skip_ratio": f"""WITH {_PAGES} SELECT regexp_extract(url, '/(en|de|es|fr)/', 1) AS section,
+        count(*) FILTER (outcome = 'fetch_error') AS errored_fetch, CAST(0 AS BIGINT) AS errored_parse FROM outcomes""",
+    "skip_ratio": f"""WITH {_CRAWL} SELECT regexp_extract(url, '/(en|de|es|fr)/', 1) AS section,
         count(*) FILTER (outcome <> 'emitted') AS part, count(*) AS whole,
-        round(count(*) FILTER (outcome <> 'emitted') / count(*), 9) AS ratio FROM outcomes GROUP BY 1""",
+        round(count(*) FILTER (outcome <> 'emitted') / count(*), 9) AS ratio FROM outcomes
+        WHERE outcome <> 'fetch_error' GROUP BY 1""",
     "page_events_json": f"WITH {_PAGES}, {_PAGE_JSON} SELECT key, value FROM page_json",
     "chunk_events_json": f"""WITH {_CHUNKS} SELECT chunk_id AS key, to_json(struct_pack(chunk_id := chunk_id, url := url,
         title := title, chunk_index := chunk_index, total_chunks := total_chunks, text := text,
@@ -299,6 +329,7 @@ ORACLE = {
     "chunk_rows": f"""WITH {_CHUNKS} SELECT chunk_id, url, title, chunk_index, total_chunks, text, content_hash, created_at
         FROM chunk""",
     "chunk_token_counts": f"WITH {_windows('documents', 512, 64, ['doc_id'])} SELECT doc_id, chunk_index, n_tokens FROM windows",
+    "pretoken_lossless": "SELECT doc_id, sha256(text) AS text_hash FROM documents WHERE text <> ''",
     "upsert_chunks": f"""WITH {_UPSERT} SELECT chunk_id, url, chunk_index, total_chunks, text, content_hash,
         CAST(created_at AS BIGINT) AS created_at FROM newest SEMI JOIN latest USING (url, content_hash)""",
     "vector_dims": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings",
@@ -311,6 +342,7 @@ ORACLE = {
     "exact_search_k50": _exact(50),
     "assign_cells": f"WITH {_LABELS} SELECT vec_id, label, cell FROM label_cell",
     "cell_sizes": f"WITH {_LABELS} SELECT cell, count(*) AS n FROM label_cell GROUP BY 1",
+    "kmeans_check": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS misplaced FROM embeddings",
     "hash_embed_sparse": f"SELECT doc_id, bucket, n FROM {_buckets('documents', 'doc_id')}",
     "hash_embed_dense": f"SELECT doc_id, bucket, round(w, 6) AS weight FROM {_unit('documents', 'doc_id')}",
     "valid_queries": f"""SELECT conv_id, turn, s AS text, turn AS top_k,
@@ -325,6 +357,8 @@ ORACLE = {
         FROM ranked JOIN chunk USING (chunk_id) WHERE rank <= 5""",
     "ivf_search": f"""WITH {_ASKED}, {_TEXT_SEARCH}, {_CELLS}
         SELECT query_id, rank, chunk_id, round(s, 4) AS score FROM probed WHERE rank <= 5""",
+    "ivf_search_all_cells": f"""WITH {_ASKED}, {_TEXT_SEARCH}
+        SELECT query_id, rank, chunk_id, round(s, 4) AS score FROM ranked WHERE rank <= 5""",
     "ivf_recall": f"""WITH {_ASKED}, {_TEXT_SEARCH}, {_CELLS}
         SELECT t.query_id, round(count(f.chunk_id) / count(*), 6) AS recall
         FROM (SELECT * FROM ranked WHERE rank <= 5) t
@@ -372,6 +406,9 @@ ORACLE = {
         CASE WHEN active THEN epoch_us(since) ELSE -1 END AS active_since_us,
         CASE WHEN NOT active THEN 'inactive' WHEN ts - since >= INTERVAL '1 day' THEN 'firing' ELSE 'pending' END AS state
         FROM islands""",
+    "gauge_alerts": f"""WITH {_GAUGES} SELECT 'ValueHigh' AS alertname, series, slot * 600000000 AS ts_us,
+        CASE WHEN active THEN since * 600000000 ELSE -1 END AS active_since_us,
+        CASE WHEN NOT active THEN 'inactive' WHEN slot - since >= 3 THEN 'firing' ELSE 'pending' END AS state FROM islands""",
     "stream_closed_windows": """SELECT epoch_us(start) AS start_us, epoch_us(start + INTERVAL '1 day') AS end_us, event_type,
         count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type FROM events)
         WHERE start + INTERVAL '1 day' <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '24 hours' FROM events)

@@ -4,7 +4,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 _LOCAL = {}
 
@@ -43,16 +42,8 @@ def scratch_dir(spark, label):
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df, label):
+def materialize(df, label, partition_by=()):
     """Write `df` once below the shared folder and read it back (lineage cut)."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df, max_rows=2_000_000):
-    """`df` marked for broadcast where a bounded count proves it small.
-
-    Meant for key columns; beyond the limit the join shuffles as usual.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

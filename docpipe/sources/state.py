@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 from docpipe.operators.changes import latest_seen
 from docpipe.operators.upsert import replace_pages
 from docpipe.schemas import CHUNK_VECTOR, SEEN_PAGE
-from docpipe.session import small
 
 
 class BatchFolder:
@@ -81,7 +80,7 @@ class SeenPages:
         log = self.log.read(spark, after=start, before=before)
         rows = self.base.read(spark, after=start - 1, before=start + 1).unionByName(log) if bases else log
         if urls is not None:
-            rows = rows.join(small(urls.distinct()), "url", "left_semi")
+            rows = rows.join(urls.distinct(), "url", "left_semi")
         return latest_seen(rows, "batch_id")
 
     def write(self, changes, batch_id):

@@ -7,14 +7,17 @@ def read_table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SPREAD = "spark.docpipe.spread"
+
+
 def spread(df):
-    """Rows of a table too small to give every core a split, dealt out evenly.
+    """`df`, dealt out over as many tasks as the session setting `spark.docpipe.spread` says.
 
-    Meant before text-heavy stages. Tables with enough splits are left alone, so
-    a large one is never shuffled here.
+    Unset (the default) nothing is moved. Meant for laptops and tests, where a table
+    is a single row group and one task would do all the text work.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def page_snapshots(spark, folder):
@@ -32,7 +35,7 @@ def document_pages(spark, folder):
     return docs.select(
         "doc_id", "source", "lang",
         F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring("text", 1, 60).alias("title"),
+        F.concat("source", F.lit(" "), F.col("doc_id").cast("string")).alias("title"),
         "text",
         F.sha2("text", 256).alias("content_hash"),
     )

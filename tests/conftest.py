@@ -11,7 +11,7 @@ from docpipe.session import build_session
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("docpipe-tests", "local[8]", 4, spark__ui__enabled="false",
-                            spark__ui__showConsoleProgress="false", spark__driver__memory="6g")
+                            spark__ui__showConsoleProgress="false", spark__driver__memory="6g", spark__docpipe__spread="4")
     session.sparkContext.setLogLevel("ERROR")
     return session
 

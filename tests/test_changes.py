@@ -11,10 +11,10 @@ def frames(spark, data):
     return pages, spark.createDataFrame(SEEN, "url string, content_hash string")
 
 
-@pytest.mark.parametrize("per_segment", [1, 2, 10**9])
-def test_versions_inside_one_run(spark, rows, per_segment):
+@pytest.mark.parametrize("segments", [1, 4, None])
+def test_versions_inside_one_run(spark, rows, segments):
     pages, seen = frames(spark, [("u1", 1, "A"), ("u1", 2, "B"), ("u1", 3, "A"), ("u2", 1, "X"), ("u3", 1, "Z"), ("u3", 2, "Z")])
-    got = changes.page_versions(pages, seen, ["seq"], per_segment)
+    got = changes.page_versions(pages, seen, ["seq"], segments)
     assert rows(got) == [("u1", 2, "B"), ("u1", 3, "A"), ("u3", 1, "Z")]
 
 
@@ -29,7 +29,6 @@ def test_copies_and_whole_rows(spark, rows):
 def test_changed_and_unchanged_split_the_pages(spark, rows):
     pages, seen = frames(spark, [("u1", 1, "A"), ("u2", 1, "Y"), ("u3", 1, "Z")])
     assert rows(changes.changed_pages(pages, seen).select("url")) == [("u2",), ("u3",)]
-    assert rows(changes.changed_pages(pages, seen, late=True).select("url")) == [("u2",), ("u3",)]
     assert rows(changes.unchanged_pages(pages, seen).select("url")) == [("u1",)]
 
 
@@ -54,3 +53,12 @@ def test_outcomes_and_report(spark, rows):
         ("u1", "unchanged"), ("u2", "empty"), ("u3", "parse_error"), ("u4", "fetch_error"), ("u5", "emitted")]
     assert changes.crawl_report(out).first().asDict() == {
         "urls_found": 5, "crawled": 4, "emitted": 1, "skipped": 2, "errored_fetch": 1, "errored_parse": 1}
+
+
+def test_failed_and_empty_pages_are_never_emitted(spark, rows):
+    pages = spark.createDataFrame(
+        [("u1", None, None), ("u2", "", "E"), ("u4", "n", "N")], "url string, text string, content_hash string")
+    _, seen = frames(spark, [("x", 1, "x")])
+    assert rows(changes.changed_pages(pages, seen).select("url")) == [("u4",)]
+    outcomes = changes.crawl_outcomes(pages.withColumn("parse_error", F.when(F.col("text").isNotNull(), F.lit(False))), seen)
+    assert rows(outcomes.where("outcome = 'emitted'").select("url")) == [("u4",)]

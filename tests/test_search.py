@@ -112,12 +112,6 @@ def test_probed_partitions_only(spark, data, cells, tmp_path):
     assert hits(found)[0] == truth[0][:1]
 
 
-def test_centroid_limit_is_checked(spark):
-    many = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "cell int, embedding array<double>")
-    with pytest.raises(ValueError):
-        index.collect_centroids(many, limit=4)
-
-
 def test_query_validation(spark):
     data = [(1, "  hi ", None), (2, "", 5), (3, "   ", 5), (4, "x" * 2048, 1), (5, "x" * 2049, 1),
             (6, "a", 0), (7, "a", 51), (8, "a", 50), (9, None, 5), (10, " " + "x" * 2048, 5)]
