@@ -1,5 +1,7 @@
 """Helpers shared by the operators of this subpackage."""
 
+import gc
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +75,34 @@ def sorted_groups(batches, keys):
         yield key, pa.Table.from_batches(held)
 
 
+def store(df, label):
+    """`materialize`, before which the shuffle files of finished plans are given back.
+
+    Spark removes them when the JVM collects the plan that owned them, which
+    may otherwise come after the disk is full of finished stages.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return materialize(df, label)
+
+
+FILTER_BITS = 1 << 24
+
+
+def possibly_in(df, ids, key):
+    """The rows of `df` whose `key` may be in `ids`, before a join that would shuffle all of them.
+
+    A bitmap of hashed ids, at most FILTER_BITS / 64 rows of two numbers, is
+    broadcast; that size is fixed. With many more ids than bits it lets
+    all rows through, and the join that follows decides as it does anyway.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_bits"))
+    held = df.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 64)).join(F.broadcast(words), "_word")
+    return held.where(F.expr("(shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1")).select(*df.columns)
+
+
 def connected_components(edges, max_rounds=60):
     """(id, component): the smallest id reachable from each id of `edges` (a, b).
 

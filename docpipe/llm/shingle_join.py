@@ -19,8 +19,8 @@ Every link between two different groups is found, so components are exact. Token
 64-bit hashes of shingles; two shingles of one document collide with a probability of
 about n * n / 2 ** 65.
 
-Scale: texts are read three times and shuffled once (only those of documents that
-share a prefix token with another are used); postings travel packed, one blob per task and bucket. Copies
+Scale: texts are read four times; only those of compared documents are shuffled.
+Postings travel packed, one blob per task and bucket. Copies
 inside a task are posted once. Frequent tokens skip the buckets and are joined by Spark,
 which splits skewed joins. The only data on the driver are the `SKETCH` counters, of fixed size.
 
@@ -31,12 +31,12 @@ together; long texts are used whole. Other columns are not carried.
 """
 
 import hashlib
+from itertools import chain
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docpipe.llm.common import connected_components, pieces
-from docpipe.session import materialize
+from docpipe.llm.common import connected_components, pieces, possibly_in, store
 
 WORDS = 5
 SHARE = (3, 4)            # links from a Jaccard similarity of 3/4 on
@@ -58,25 +58,42 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
-def shingles(text):
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
+def shingle_sets(texts):
+    """For each text the sorted distinct 64-bit hashes of its shingles."""
     import numpy as np
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
     if len(_words) > WORD_CACHE:
         _words.clear()
-    codes = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(WORDS, len(words))
-    n = len(words) - width + 1
+    split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    sizes = [len(w) for w in split]
+    codes = np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=sum(sizes))
+    whole = _combined(codes, WORDS)
+    out, at = [], 0
+    for n in sizes:
+        if n >= WORDS:
+            own = np.sort(whole[at:at + n - WORDS + 1])
+            fresh = np.empty(len(own), dtype=bool)
+            fresh[0] = True
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            out.append(own[fresh])
+        else:
+            out.append(_combined(codes[at:at + n], n) if n else codes[:0])
+        at += n
+    return out
+
+
+def _combined(codes, width):
+    """Hashes of all runs of `width` word hashes."""
+    import numpy as np
+
+    n = max(0, len(codes) - width + 1)
     # Odd multipliers from a rule: powers of one odd constant.
     total = np.full(n, width, dtype=np.uint64)
     factor = 0x9E3779B97F4A7C15
     for j in range(width):
         total += codes[j:j + n] * np.uint64(factor)
         factor = factor * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF
-    return np.unique(_mixed(total))
+    return _mixed(total)
 
 
 def _mixed(x):
@@ -107,22 +124,22 @@ def _summaries(docs):
         counts = np.zeros(SKETCH, dtype=np.int64)
         shift = np.uint64(64 - SKETCH.bit_length() + 1)
         for batch in batches:
-            for piece in pieces(batch):
-                sets = [shingles(t) for t in piece.column(1).to_pylist()]
-                if any(map(len, sets)):
-                    counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=SKETCH)
-                prints, keys = [], []
-                for s in sets:
-                    if not len(s):
-                        prints.append(None)
-                        keys.append(None)
-                        continue
-                    prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    least = np.array([(s * seed).min() for seed in seeds], dtype=np.uint64).reshape(TABLES, ROWS)
-                    mixed = _mixed(least[:, 0] ^ _mixed(least[:, 1] ^ _mixed(least[:, 2] + np.arange(TABLES, dtype=np.uint64))))
-                    keys.append(mixed.view(np.int64))
+            for piece in pieces(batch, 4 << 20):
+                sets = shingle_sets(piece.column(1).to_pylist())
+                sizes = np.array([len(s) for s in sets])
+                full = np.flatnonzero(sizes)
+                prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                keys = [None] * len(sets)
+                if len(full):
+                    tokens = np.concatenate(sets)
+                    counts += np.bincount((tokens >> shift).astype(np.int64), minlength=SKETCH)
+                    starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+                    least = np.stack([np.minimum.reduceat(tokens * seed, starts) for seed in seeds], axis=1).reshape(-1, TABLES, ROWS)
+                    mixed = _mixed(least[:, :, 0] ^ _mixed(least[:, :, 1] ^ _mixed(least[:, :, 2] + np.arange(TABLES, dtype=np.uint64))))
+                    for at, k in zip(full, mixed.view(np.int64), strict=True):
+                        keys[at] = k
                 yield pa.RecordBatch.from_arrays([
-                    piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()),
+                    piece.column(0), pa.array(sizes), pa.array(prints, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())), pa.nulls(len(sets), pa.binary()),
                 ], names=["doc_id", "n", "fp", "keys", "counts"])
         yield pa.RecordBatch.from_arrays([
@@ -164,10 +181,9 @@ def _postings(docs, counts, buckets, hot):
         shift = np.uint64(64 - SKETCH.bit_length() + 1)
         turn = 0
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, 4 << 20):
                 parts = []
-                for text in piece.column(0).to_pylist():
-                    s = shingles(text)
+                for s in shingle_sets(piece.column(0).to_pylist()):
                     if not len(s):
                         continue
                     cls = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "big", signed=True)
@@ -175,7 +191,9 @@ def _postings(docs, counts, buckets, hot):
                         continue
                     seen.add(cls)
                     often = counts[(s >> shift).astype(np.int64)]
-                    take = np.lexsort((s, often))[:len(s) - need(len(s)) + 1]
+                    # By frequency, then hash; the sort is stable and s is sorted.
+                    rank = (np.minimum(often, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
+                    take = np.argsort(rank, kind="stable")[:len(s) - need(len(s)) + 1]
                     part = np.empty(len(take), dtype=[("token", "<u8"), ("cls", "<i8"), ("pos", "<i4")])
                     part["token"], part["cls"], part["pos"] = s[take], cls, np.arange(len(take))
                     parts.append((part, often[take] > hot))
@@ -227,13 +245,20 @@ def _token_sets(docs):
         import pyarrow as pa
 
         for batch in batches:
-            for piece in pieces(batch):
-                blobs = [shingles(t).tobytes() for t in piece.column(1).to_pylist()]
+            for piece in pieces(batch, 4 << 20):
+                blobs = [s.tobytes() for s in shingle_sets(piece.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokens binary")
 
 
+def _sets_of(docs, ids):
+    """The token sets of some documents, stored. A doc_id on several texts brings several sets."""
+    ids = ids.distinct()
+    # Not a semi join: that the optimizer would move below the filter, and shuffle all texts.
+    return store(_token_sets(possibly_in(docs, ids, "doc_id").join(ids, "doc_id")), "sets")
+
+
 def _linked(pairs):
     """The pairs (a, b, left, right) of token blobs that are similar enough."""
     def run(batches):
@@ -295,7 +320,7 @@ def _opened(rows):
 def similarity_classes(documents):
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    told = materialize(_summaries(docs), "shingles")
+    told = store(_summaries(docs), "shingles")
     counts = _total_counts(told.where("n = -1").select("counts")).astype("int64")
     total = int(counts.sum())
     buckets = 16 + total // (3 * POSTINGS)
@@ -307,32 +332,32 @@ def similarity_classes(documents):
         .agg(F.min("doc_id").alias("c"), F.first("n").cast("int").alias("n"), F.first("keys").alias("keys"))
         .withColumn("cls", F.conv(F.substring(F.hex("fp"), 1, 16), 16, -10).cast("bigint"))
     )
-    classes = materialize(classes, "classes")
+    classes = store(classes, "classes")
 
-    posted = materialize(_postings(docs.where("doc_id is not null"), counts, buckets, hot), "postings")
-    posted = materialize(posted.join(classes.select("cls", "c", "n"), "cls").select("token", "c", "n", "pos"), "postings")
+    posted = store(_postings(docs.where("doc_id is not null"), counts, buckets, hot), "postings")
+    posted = store(posted.join(classes.select("cls", "c", "n"), "cls").select("token", "c", "n", "pos"), "postings")
     wanted = posted.select(F.col("c").alias("doc_id")).distinct()
-    # A doc_id on several texts brings several sets; all belong to it.
-    sets = materialize(_token_sets(docs.join(wanted, "doc_id", "left_semi")), "sets").dropDuplicates()
 
     # Groups: links to the first and last class of each min-hash bucket.
     keyed = classes.join(wanted.withColumnRenamed("doc_id", "c"), "c", "left_semi").select("c", "n", F.posexplode("keys").alias("place", "key"))
     ends = keyed.groupBy("place", "key").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first <> last")
     tries = keyed.join(ends, ["place", "key"]).select("c", F.explode(F.array("first", "last")).alias("b"))
     tries = tries.where("c <> b").select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
+    tries = store(tries, "tries")
+    sets = _sets_of(docs, tries.select(F.explode(F.array("a", "b")).alias("doc_id")))
     with_sets = (
         tries.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("left")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("right")), "b")
     )
-    near = materialize(_linked(with_sets), "links")
-    groups = materialize(connected_components(near), "groups")
+    near = store(_linked(with_sets), "links")
+    groups = store(connected_components(near), "groups")
 
     # The matrix: which groups hold a token. Single classes are groups of their own.
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     named = groups.join(sizes, "component").select(F.col("id").alias("c"), F.col("component").alias("g"), "size")
     rows = posted.join(named, "c", "left").select(
         "token", "c", "n", "pos", F.coalesce("g", "c").alias("g"), F.coalesce("size", F.lit(1)).alias("size"))
-    rows = materialize(rows, "tokens")
+    rows = store(rows, "tokens")
     matrix = rows.groupBy("token", "g").agg(
         F.first("size").alias("size"), F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most"))
     largest = matrix.groupBy("token").agg(F.max(F.struct("size", "g")).alias("top"), F.count("*").alias("held")).where("held > 1")
@@ -345,21 +370,26 @@ def similarity_classes(documents):
         queries.alias("q").join(matrix.alias("m"), "token")
         .where(F.expr(f"struct(q.size, q.g) < struct(m.size, m.g) and {of} * m.most >= {share} * q.n and {of} * q.n >= {share} * m.least"))
         .groupBy(F.col("q.c").alias("query"), F.col("m.g").alias("g"))
-        .agg(F.first("q.n").alias("n"), F.first("m.size").alias("size"), F.max("m.most").alias("other"), F.count("*").alias("shared"),
+        .agg(F.first("q.n").alias("n"), F.first("m.size").alias("size"), F.max("m.most").alias("other"), F.min("m.least").alias("least"), F.count("*").alias("shared"),
              F.max("q.pos").alias("pos"), F.max("m.pos").alias("other_pos"))
     )
-    # With a single class, what follows the last shared token bounds the overlap.
-    bound = F.col("shared") + F.least(F.col("n") - 1 - F.col("pos"), F.col("other") - 1 - F.col("other_pos"))
-    open_to = met.where((F.col("size") > 1) | ((share + of) * bound >= share * (F.col("n") + F.col("other")))).select("query", "g")
-    open_to = materialize(open_to, "candidates")
+    # Of the set whose prefix ends first all shared tokens of the prefix are known, so at most
+    # `shared` and what follows that prefix can be common. With a single class, what follows
+    # the last shared token bounds the overlap too.
+    rest = F.ceil(F.greatest("n", "other") * share / of) - 1
+    after = F.least(F.col("n") - 1 - F.col("pos"), F.col("other") - 1 - F.col("other_pos"))
+    bound = F.col("shared") + F.when(F.col("size") > 1, rest).otherwise(F.least(rest, after))
+    open_to = met.where((share + of) * bound >= share * (F.col("n") + F.col("least"))).select("query", "g")
+    open_to = store(open_to, "candidates")
 
     members = (
         open_to.select("g").distinct().join(named.select("g", "c", "size"), "g", "left")
         .select("g", F.coalesce("c", "g").alias("doc_id"), F.coalesce("size", F.lit(1)).alias("size"))
-        .join(sets, "doc_id")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))
     )
-    blocks = members.groupBy("g", "block").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("m")).select(
+    members = store(members, "members")
+    sets = _sets_of(docs, open_to.select(F.col("query").alias("doc_id")).union(members.select("doc_id")))
+    blocks = members.join(sets, "doc_id").groupBy("g", "block").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("m")).select(
         "g", F.concat_ws(":", "g", "block").alias("block"), F.col("m.doc_id").alias("ids"), F.col("m.tokens").alias("members"))
     opened = open_to.join(sets.select(F.col("doc_id").alias("query"), "tokens"), "query").join(blocks, "g")
     links = near.union(_opened(opened))
@@ -367,4 +397,4 @@ def similarity_classes(documents):
     parts = connected_components(links)
     by_class = classes.join(parts, F.col("c") == F.col("id"), "left").select("fp", "c", F.coalesce("component", "c").alias("part"))
     found = summary.select("doc_id", "n", "fp").join(by_class, "fp", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("part", "doc_id").alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).alias("component_id"))
