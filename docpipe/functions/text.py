@@ -30,10 +30,6 @@ def content_hash(text):
     return F.sha2(text, 256)
 
 
-def preview(text, length=60):
-    return F.substring(text, 1, length)
-
-
 def iso_utc(ts):
     """ISO-8601 in UTC with microseconds, as written on the wire, whatever the
     time zone of the session."""

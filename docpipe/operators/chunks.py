@@ -16,7 +16,7 @@ def token_windows(df, text="text", size=DEFAULTS.chunk_size, overlap=DEFAULTS.ch
     sliced from its own row, and only slices travel past the explode.
     """
     if overlap >= size:
-        raise ValueError(f"overlap ({overlap}) must be < chunk_size ({size})")
+        raise ValueError(f"windows of {size} tokens cannot share {overlap}")
     tokenizer = tokenizer or Whitespace()
     keep = [c for c in (keep if keep is not None else df.columns) if c != text]
     stride = size - overlap

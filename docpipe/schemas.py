@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# The fields of page and chunk events and of the vector table.
 PAGE_EVENT = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("title", T.StringType()),
@@ -46,7 +47,7 @@ BYTE_LIMITS = {
     "content_hash": 64,
 }
 
-# Columns a search returns next to the score.
+# The columns a search returns next to the score.
 HIT_COLUMNS = ["chunk_id", "url", "title", "chunk_index", "total_chunks", "text"]
 
 # Upper bounds of the histogram buckets, per metric.

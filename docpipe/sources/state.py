@@ -35,11 +35,19 @@ class BatchFolder:
         return [i for i in wanted if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={i}/_SUCCESS"))]
 
     def write(self, df, batch_id, partition_by=()):
-        """Write one batch; a batch already complete (a retry) is left as it is."""
-        if self.committed(df.sparkSession, batch_id - 1, batch_id + 1):
+        """Write one batch; a batch already complete (a retry) is left as it is.
+
+        It is written aside and renamed once complete, so that neither reads nor
+        streams see part of a batch.
+        """
+        spark = df.sparkSession
+        if self.committed(spark, batch_id - 1, batch_id + 1):
             return
-        rows = df.select(*self.schema.names)
-        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/batch={batch_id}")
+        aside, done = f"{self.path}/_aside-{batch_id}", f"{self.path}/batch={batch_id}"
+        df.select(*self.schema.names).write.mode("overwrite").partitionBy(*partition_by).parquet(aside)
+        _, fs, jvm = self._fs(spark)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(done)):
+            raise OSError(f"{aside} could not become {done}")
 
     def read(self, spark, after=-1, before=None):
         """Rows of the complete batches in (after, before), with their batch_id."""
@@ -53,7 +61,7 @@ class BatchFolder:
         return rows.withColumnRenamed("batch", "batch_id")
 
     def stream(self, spark, max_files=None):
-        """The batches as an unbounded input, oldest first."""
+        """The complete batches as an unbounded input, oldest first."""
         root, fs, _ = self._fs(spark)
         fs.mkdirs(root)
         reader = spark.readStream.schema(self.schema).option("recursiveFileLookup", "true")

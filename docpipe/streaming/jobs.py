@@ -6,6 +6,7 @@ complete is not written again, so a restart repeats nothing and loses nothing.
 """
 
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,16 @@ CHUNK_TABLE = T.StructType([
 ])
 
 
+@contextmanager
+def persisted(df):
+    """`df` kept for several uses, and released whatever happens."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def _run(stream, step, checkpoint, once, seconds):
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
@@ -65,10 +76,9 @@ def change_query(snapshots, pages_path, seen, checkpoint, once=True, seconds=DEF
 
     def step(batch, batch_id):
         spark = batch.sparkSession
-        pages = nonempty(batch).persist()  # used for the state lookup and the comparison
-        known = seen.read(spark, before=batch_id, urls=pages.select("url"))
-        out.write(page_versions(pages, known, ["crawled_at", "content_hash"]), batch_id)
-        pages.unpersist()
+        with persisted(nonempty(batch)) as pages:  # used for the state lookup and the comparison
+            known = seen.read(spark, before=batch_id, urls=pages.select("url"))
+            out.write(page_versions(pages, known, ["crawled_at", "content_hash"]), batch_id)
         emitted = out.read(spark, after=batch_id - 1, before=batch_id + 1)
         newest = emitted.groupBy("url").agg(
             F.max_by("content_hash", F.struct("crawled_at", "content_hash")).alias("content_hash"))
@@ -94,12 +104,12 @@ def vector_query(chunks, table, embedder, checkpoint, centroids=None, dead_path=
     """Chunk table -> vector table. Rows that cannot be stored go to `dead_path`."""
     def step(batch, batch_id):
         ready = with_event_defaults(batch)
-        rows = embedder.transform(ready, "text", "embedding")
-        kept, dead = quarantine(rows, embedder.dim, strict=strict)
-        cells = assign_cells(kept, centroids) if centroids is not None else kept.withColumn("cell", F.lit(0))
-        table.write(cells, batch_id)
-        if dead_path:
-            BatchFolder(dead_path, dead.drop("embedding").schema).write(dead.drop("embedding"), batch_id)
+        with persisted(embedder.transform(ready, "text", "embedding")) as rows:  # the model runs once per row
+            kept, dead = quarantine(rows, embedder.dim, strict=strict)
+            cells = assign_cells(kept, centroids) if centroids is not None else kept.withColumn("cell", F.lit(0))
+            table.write(cells, batch_id)
+            if dead_path:
+                BatchFolder(dead_path, dead.drop("embedding").schema).write(dead.drop("embedding"), batch_id)
 
     return _run(chunks, step, checkpoint, once, seconds)
 
@@ -112,9 +122,9 @@ def event_query(raw, schema, good_path, dead_path, checkpoint, mandatory=(), onc
         T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())]))
 
     def step(batch, batch_id):
-        parsed = parse_events(batch, schema, mandatory=mandatory)
-        good_out.write(parsed.where("reason is null"), batch_id)
-        dead_out.write(parsed.where("reason is not null"), batch_id)
+        with persisted(parse_events(batch, schema, mandatory=mandatory)) as parsed:
+            good_out.write(parsed.where("reason is null"), batch_id)
+            dead_out.write(parsed.where("reason is not null"), batch_id)
 
     return _run(raw, step, checkpoint, once, seconds)
 

@@ -152,3 +152,18 @@ def test_closed_windows(spark):
 def test_offsets_from_progress():
     progress = {"sources": [{"endOffset": {"t": {"0": 4, "1": 9}}, "latestOffset": '{"t": {"0": 10, "1": 9, "2": 3}}'}]}
     assert jobs.offset_rows(progress) == [("t", 0, 4, 10), ("t", 1, 9, 9), ("t", 2, 0, 3)]
+
+
+def test_incomplete_batches_are_not_streamed(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from docpipe.sources.state import BatchFolder
+
+    folder = BatchFolder(str(tmp_path / "t"), T.StructType([T.StructField("x", T.LongType())]))
+    folder.write(spark.range(3).withColumnRenamed("id", "x"), 0)
+    spark.range(100, 105).withColumnRenamed("id", "x").write.parquet(f"{folder.path}/_aside-1")
+    assert folder.committed(spark) == [0]
+    out = str(tmp_path / "out")
+    (folder.stream(spark).writeStream.format("parquet").option("checkpointLocation", f"{out}-c")
+     .trigger(availableNow=True).start(out).awaitTermination())
+    assert sorted(r.x for r in spark.read.schema(folder.schema).parquet(out).collect()) == [0, 1, 2]
