@@ -11,15 +11,16 @@ they are built only where repeats begin and end:
 2. Anchors with equal hash and context: all windows in the context are repeats of the one
    in the smallest document. A task settles what it can itself and posts, packed
    by bucket of the hash, one entry per hash and context (its smallest document).
-3. Where one anchor hash has several contexts, a repeat begins or ends nearby. These contexts
-   are fetched from the texts, and tasks build an enhanced suffix array over them. One
+3. Where one anchor hash has several contexts that agree on the 15 bytes before or behind it, a repeat
+   begins or ends nearby. These contexts are fetched from the texts, and tasks build an enhanced suffix array over them. One
    stack scan of its common-prefix intervals, with the test that the symbols before
    the occurrences differ, gives all maximal repeats with all their occurrences. Strings
    that stay open are posted once per task, by hash, and settled by bucket.
 4. The removed spans of each document are merged and cut out.
 
 Common strings never gather in one task: a task posts each at most once, however many
-of its documents hold it. Hashes are 64 bits wide (anchors 40 bits within their bucket, contexts 48).
+of its documents hold it. Windows are
+compared by 64-bit hashes, contexts by 32 bits each of anchor and context and 16 each of both sides.
 
 Handled cases: a null text is empty; texts below LENGTH bytes lose nothing; a row without
 doc_id neither removes nor loses anything; rows with the same doc_id do not
@@ -31,14 +32,14 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import pieces, possibly_in
-from docpipe.session import materialize
+from docpipe.llm.common import pieces, possibly_in, store
 
 LENGTH = 50
 GRAM = 20
+SIDE = (LENGTH - GRAM) // 2  # equal windows with equal anchors also agree on that many bytes before or behind it
 BUCKET_BYTES = 32 << 20      # text whose anchors share a bucket
 FLUSH_BYTES = 24 << 20       # text a task settles at a time
-CHUNK = 1 << 19              # windows hashed at a time
+CHUNK = 1 << 16              # bytes hashed at a time
 CONTEXTS = 64                # contexts of one anchor that a task posts; with more, the anchor is known to be open
 SUFFIX_BYTES = 1 << 20       # context bytes per suffix array
 
@@ -55,7 +56,7 @@ def _pair(x, y):
 
 
 def _gram_hashes(data):
-    """Hashes of the GRAM-byte and the LENGTH-byte string at every position of a uint8 array
+    """Hashes of the strings of GRAM, LENGTH and SIDE bytes at every position of a uint8 array
     (shorter by the string's length)."""
     import numpy as np
 
@@ -68,17 +69,16 @@ def _gram_hashes(data):
     thirty_two = _pair(sixteen[:-16], sixteen[16:])
     n = len(data) - LENGTH + 1
     fifty = _pair(_pair(thirty_two[:n], sixteen[32:32 + n]), two[48:48 + n])
-    return twenty, fifty
+    n = len(data) - SIDE + 1
+    fifteen = _pair(_pair(eight[:n], four[8:8 + n]), _pair(two[12:12 + n], one[14:14 + n]))
+    return twenty, fifty, fifteen
 
 
-def _anchors(data, starts, ends):
-    """Anchors of the documents in one buffer: (document, position in it, hash, context).
-
-    starts, ends: document limits in `data`, each of LENGTH bytes or more.
-    """
+def _windows(data):
+    """For each window of a uint8 array the position of its anchor; and the hashes of `_gram_hashes`."""
     import numpy as np
 
-    grams, whole = _gram_hashes(data)
+    grams, whole, sides = _gram_hashes(data)
     n = len(whole)
     span = LENGTH - GRAM + 1
     key = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
@@ -87,18 +87,35 @@ def _anchors(data, starts, ends):
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     least = np.minimum(least[:n], least[span - step:span - step + n])
-    at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-    window = np.arange(n)
-    doc = np.searchsorted(starts, window, side="right") - 1
-    good = window + LENGTH <= ends[doc]
-    at, doc = at[good], doc[good]
-    fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
-    at, doc = at[fresh], doc[fresh]
-    first = np.maximum(starts[doc], at - (LENGTH - GRAM))
-    last = np.minimum(ends[doc] - LENGTH, at)
+    return (least & np.uint64((1 << 24) - 1)).astype(np.int32), grams, whole, sides
+
+
+def _anchors(data, starts, ends):
+    """Anchors of the documents in one buffer: document, position in it, hash, context, and the
+    hashes of the bytes just before and behind.
+
+    starts, ends: document limits in `data`, each of LENGTH bytes or more.
+    """
+    import numpy as np
+
+    at, grams, whole, sides = _windows(data)
+    n = len(whole)
+    sizes = ends - starts
+    doc = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)[:n]
+    good = np.ones(n, dtype=bool)
+    for end in ends[:-1]:  # windows across a border belong to no document
+        good[end - LENGTH + 1:end] = False
+    fresh = good
+    fresh[1:] &= (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | ~good[:-1]
+    pick = np.flatnonzero(fresh)
+    at, doc = at[pick].astype(np.int64), doc[pick]
+    low, high = starts[doc], ends[doc]
+    first = np.maximum(low, at - (LENGTH - GRAM))
+    last = np.minimum(high - LENGTH, at)
     shape = ((at - first) * 64 + (at - last)).astype(np.uint64)
-    return doc, at - starts[doc], grams[at], _pair(_pair(whole[first], whole[last]), shape)
+    left = np.where(at - SIDE >= low, sides[np.maximum(0, at - SIDE)], shape)
+    right = np.where(at + GRAM + SIDE <= high, sides[np.minimum(len(sides) - 1, at + GRAM)], shape)
+    return doc, at - low, grams[at], _pair(_pair(whole[first], whole[last]), shape), left, right
 
 
 class _Batch:
@@ -135,27 +152,30 @@ class _Batch:
             i = j
 
     def anchors(self):
-        """Structured rows: document, pos, hash, ctx."""
+        """Structured rows: hash, context, bytes before and behind, document, position."""
         import numpy as np
 
-        kind = [("hash", "<u8"), ("ctx", "<u8"), ("doc", "<i4"), ("pos", "<i4")]
+        kind = [("hash", "<u8"), ("ctx", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i4"), ("pos", "<i4")]
         out = []
         for first, data, starts, ends in self.buffers():
             parts = [(0, len(data))]
-            if len(data) > 4 * CHUNK:  # one long text
-                parts = [(a, min(len(data), a + 4 * CHUNK)) for a in range(0, len(data), 4 * CHUNK)]
+            if len(data) > 16 * CHUNK:  # one long text
+                parts = [(a, min(len(data), a + 16 * CHUNK)) for a in range(0, len(data), 16 * CHUNK)]
             for a, b in parts:
                 if len(parts) == 1:
-                    doc, pos, code, ctx = _anchors(data, starts, ends)
+                    columns = _anchors(data, starts, ends)
                 else:
                     low, high = max(0, a - 2 * LENGTH), min(len(data), b + 3 * LENGTH)
-                    doc, pos, code, ctx = _anchors(data[low:high], np.array([0]), np.array([high - low]))
-                    pos = pos + low
+                    columns = _anchors(data[low:high], np.array([0]), np.array([high - low]))
+                    pos = columns[1] + low
                     # Anchors near a cut are those of the next part, where their context is whole.
                     own = (pos >= (a + LENGTH if a else 0)) & (pos < (b + LENGTH if b < len(data) else b))
-                    doc, pos, code, ctx = doc[own], pos[own], code[own], ctx[own]
+                    columns = [columns[0][own], pos[own], *[c[own] for c in columns[2:]]]
+                doc, pos, code, ctx, left, right = columns
                 rows = np.empty(len(pos), dtype=kind)
-                rows["hash"], rows["ctx"], rows["doc"], rows["pos"] = code, ctx, doc + first, pos
+                rows["hash"], rows["doc"], rows["pos"] = code, doc + first, pos
+                rows["ctx"] = (ctx & np.uint64(0xFFFFFFFF)) | np.uint64(1)  # 0 is kept for marks
+                rows["left"], rows["right"] = left & np.uint64(0xFFFF), right & np.uint64(0xFFFF)
                 out.append(rows)
         return np.concatenate(out) if out else np.empty(0, dtype=kind)
 
@@ -187,7 +207,7 @@ def _unpack(blob, kinds):
     return [ids[own], marks[own], *out]
 
 
-_ENTRY = ("<u4", "u1", "<u4", "<u2", "<i4")  # hash low and high, context low and high, position
+_ENTRY = ("<u4", "<u4", "<u2", "<u2", "<i4")  # hash, context, bytes before, bytes behind, position
 
 
 def _runs(*columns):
@@ -233,6 +253,22 @@ def _found(rows):
     })
 
 
+def _partners(code, number, left, right):
+    """Rows whose anchor has another context (number) with the same bytes before or behind it,
+    and the first row of each such group."""
+    import numpy as np
+
+    is_open, is_first = np.zeros(len(code), dtype=bool), np.zeros(len(code), dtype=bool)
+    for side in (left, right):
+        order = np.lexsort((number, side, code))
+        group = _runs(code[order], side[order])
+        fresh = _runs(code[order], side[order], number[order])
+        several = _per_run(group, fresh.astype(np.int64), np.add) > 1
+        is_open[order[several]] = True
+        is_first[order[several & group]] = True
+    return is_open, is_first
+
+
 FOUND = "doc_id bigint, mark bigint, kind int, blob binary"
 REMOVED, OPEN, WINDOW = 1, 2, 3  # numbers: anchor positions, anchor positions, (start, end) pairs
 
@@ -282,47 +318,55 @@ def _find_anchors(docs, buckets):
 
         rows = batch.anchors()
         ids, marks = np.array(batch.ids, dtype=np.int64), np.array(batch.marks, dtype=np.int64)
-        rows = rows[np.lexsort((ids[rows["doc"]], rows["ctx"], rows["hash"]))]
+        code = (rows["hash"] >> np.uint64(32) << np.uint64(32)) | rows["ctx"]
+        order = np.argsort(code)
+        rows, code = rows[order], code[order]
         doc = ids[rows["doc"]]
-        run = _runs(rows["hash"], rows["ctx"])
+        run = _runs(code, rows["left"], rows["right"])
         gone = doc > _per_run(run, doc, np.minimum)
-        anchor = _runs(rows["hash"])
-        contexts = _per_run(anchor, run.astype(np.int64), np.add)
-        known = (contexts > CONTEXTS) & ~gone
+        kept, first = rows[~gone], run.copy()
+        # An anchor with many contexts here is open where this task can tell; one mark per group goes on.
+        anchor = _runs(code >> np.uint64(32))
+        many = (_per_run(anchor, first.astype(np.int64), np.add) > CONTEXTS)[~gone]
+        number = np.cumsum(run)[~gone]
+        known, mark = np.zeros(len(kept), dtype=bool), np.zeros(len(kept), dtype=bool)
+        if many.any():
+            at = np.flatnonzero(many)
+            is_open, is_first = _partners(kept["hash"][at] >> np.uint64(32), number[at], kept["left"][at], kept["right"][at])
+            known[at], mark[at] = is_open, is_first
         own = _found([
             (doc[gone], marks[rows["doc"][gone]], REMOVED, rows["pos"][gone]),
-            (doc[known], marks[rows["doc"][known]], OPEN, rows["pos"][known]),
+            (ids[kept["doc"][known]], marks[kept["doc"][known]], OPEN, kept["pos"][known]),
         ])
-        # Of an open anchor the contexts of one document and the mark context 0 are posted.
-        sign = anchor & (contexts > CONTEXTS)
-        post = (~gone & ~known) | sign
-        rows, sign = rows[post], sign[post]
-        code, ctx = rows["hash"], np.where(sign, np.uint64(0), rows["ctx"] | np.uint64(1))
-        bucket = (code >> np.uint64(40)) % np.uint64(buckets)
+        post = ~known | mark
+        ctx = np.where(known, np.uint32(0), kept["ctx"])[post]
+        kept = kept[post]
+        bucket = ((kept["hash"] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        rows, code, ctx, bucket = rows[order], code[order], ctx[order], bucket[order].astype(np.int32)
-        cuts = [*np.flatnonzero(_runs(bucket)).tolist(), len(rows)]
+        kept, ctx, bucket = kept[order], ctx[order], bucket[order]
+        cuts = [*np.flatnonzero(_runs(bucket)).tolist(), len(kept)]
         blobs = []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            h, c = code[a:b], ctx[a:b]
+            part = kept[a:b]
             blobs.append((int(bucket[a]), _pack(ids, marks, [
-                h.astype("<u4"), ((h >> np.uint64(32)) & np.uint64(0xFF)).astype("u1"), c.astype("<u4"),
-                ((c >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2"), rows["pos"][a:b], rows["doc"][a:b]])))
+                (part["hash"] >> np.uint64(32)).astype("<u4"), ctx[a:b], part["left"], part["right"], part["pos"], part["doc"]])))
         return _emit(own, blobs)
 
-    def settle_bucket(ids, marks, low, high, ctx_low, ctx_high, pos):
+    def settle_bucket(ids, marks, code, ctx, left, right, pos):
         import numpy as np
 
-        code = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-        ctx = ctx_low.astype(np.uint64) | (ctx_high.astype(np.uint64) << np.uint64(32))
-        order = np.lexsort((ids, ctx, code))
-        ids, marks, code, ctx, pos = ids[order], marks[order], code[order], ctx[order], pos[order]
-        run, anchor = _runs(code, ctx), _runs(code)
-        sign = ctx == 0
-        gone = (ids > _per_run(run, ids, np.minimum)) & ~sign
-        several = _per_run(anchor, (run | sign).astype(np.int64), np.add) > 1
-        shut = several & ~gone & ~sign
-        return [(ids[gone], marks[gone], REMOVED, pos[gone]), (ids[shut], marks[shut], OPEN, pos[shut])]
+        order = np.argsort((code.astype(np.uint64) << np.uint64(32)) | ctx)
+        ids, marks, code, ctx, left, right, pos = (c[order] for c in (ids, marks, code, ctx, left, right, pos))
+        run = _runs(code, ctx, left, right)
+        gone = (ids > _per_run(run, ids, np.minimum)) & (ctx != 0)
+        found = [(ids[gone], marks[gone], REMOVED, pos[gone])]
+        number = np.cumsum(run)
+        # Only anchors that occur again need a look.
+        anchor = _runs(code)
+        at = np.flatnonzero(~gone & (_per_run(anchor, run.astype(np.int64), np.add) > 1))
+        is_open, _ = _partners(code[at], number[at], left[at], right[at])
+        at = at[is_open & (ctx[at] != 0)]
+        return [*found, (ids[at], marks[at], OPEN, pos[at])]
 
     def run(batches):
         batch = _Batch()
@@ -343,50 +387,72 @@ def _find_anchors(docs, buckets):
 def _settle_contexts(rows, buckets):
     """Findings for the open anchors of (doc_id, mark, text, open array<binary>)."""
     def segments(raw, blobs):
-        """The merged (start, end) byte ranges that the open anchors' windows cover."""
+        """The merged byte ranges that the open anchors' windows cover: (start, end, anchors)."""
         import numpy as np
 
         pos = np.unique(np.frombuffer(b"".join(blobs), dtype="<i4").astype(np.int64))
         first = np.maximum(0, pos - (LENGTH - GRAM))
         last = np.minimum(len(raw), pos + LENGTH)
-        cuts = np.flatnonzero(first[1:] > last[:-1]) + 1
-        return zip(first[np.concatenate([[0], cuts]).astype(int)], last[np.concatenate([cuts - 1, [len(pos) - 1]]).astype(int)], strict=True)
+        cuts = [0, *(np.flatnonzero(first[1:] > last[:-1]) + 1).tolist(), len(pos)]
+        return [(int(first[a]), int(last[b - 1]), pos[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def settle_task(parts):
-        """parts: [(doc_id, mark, offset in the text, bytes)]"""
+        """parts: [(doc_id, mark, offset in the text, bytes, positions of open anchors)]"""
         import numpy as np
 
         from docpipe.llm.suffix_array import maximal_repeats
 
         sizes = np.array([len(p[3]) for p in parts])
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        symbols = np.empty(int((sizes + 1).sum()), dtype=np.int64)
-        for k, (at, part) in enumerate(zip(starts, parts, strict=True)):
-            symbols[at:at + sizes[k]] = np.frombuffer(part[3], dtype=np.uint8)
-            symbols[at + sizes[k]] = 256 + k  # a border that matches nothing
-        owner = np.repeat(np.arange(len(parts)), sizes + 1)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        data = np.frombuffer(b"".join(p[3] for p in parts), dtype=np.uint8)
+        owner = np.repeat(np.arange(len(parts)), sizes)
         ids, marks = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int64)
         offset = np.array([p[2] for p in parts], dtype=np.int64) - starts
-        gone = np.zeros(len(symbols), dtype=bool)    # windows that a smaller document holds
+        is_open = np.zeros(len(data), dtype=bool)
+        is_open[np.concatenate([p[4] for p in parts]) - np.repeat(offset, [len(p[4]) for p in parts])] = True
+        anchor, whole = [], []
+        for a in range(0, len(data) - LENGTH + 1, CHUNK):
+            at, _, codes, _ = _windows(data[a:a + CHUNK + LENGTH - 1])
+            anchor.append(at.astype(np.int64) + a)
+            whole.append(codes)
+        anchor, whole = np.concatenate(anchor), np.concatenate(whole)
+        # A window is looked for under its own anchor, so only those of open anchors count.
+        window = np.flatnonzero((np.arange(len(whole)) + LENGTH <= (starts + sizes)[owner[:len(whole)]]) & is_open[anchor])
+
+        # Only what occurs again here can be part of a repeat: the suffix array holds these stretches.
+        order = window[np.argsort(whole[window])]
+        again = _runs(whole[order])
+        again = order[~(again & np.concatenate([again[1:], [True]]))]
+        again.sort()
+        fresh = np.ones(len(again), dtype=bool)
+        fresh[1:] = (again[1:] != again[:-1] + 1) | (owner[again[1:]] != owner[again[:-1]])
+        first = again[fresh]
+        last = again[np.concatenate([fresh[1:], [True]])] + LENGTH if len(again) else first
+        lengths = last - first
+        shift = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(first) else first
+        stretch = np.repeat(np.arange(len(first)), lengths + 1)
+        place = np.arange(len(stretch)) - shift[stretch] + first[stretch] if len(first) else first
+        symbols = 256 + stretch  # borders that match nothing, one behind each stretch
+        inside = place < last[stretch] if len(first) else np.zeros(0, dtype=bool)
+        symbols[inside] = data[place[inside]]
+
+        edge = np.zeros(len(data) + 1, dtype=np.int64)  # windows that a smaller document holds
         removed = []
-        for length, places in maximal_repeats(symbols, LENGTH):
-            doc = ids[owner[places]]
-            later = places[doc > doc.min()]
-            removed.append(np.stack([later, later + length], axis=1))
-            for p in later:
-                gone[p:p + length - LENGTH + 1] = True
+        for length, found in maximal_repeats(symbols, LENGTH):
+            at = place[found]
+            doc = ids[owner[at]]
+            later = at[doc > doc.min()]
+            if len(later):
+                removed.append(np.stack([later, later + length], axis=1))
         pairs = np.concatenate(removed) if removed else np.empty((0, 2), dtype=np.int64)
+        np.add.at(edge, pairs[:, 0], 1)
+        np.add.at(edge, pairs[:, 1] - LENGTH + 1, -1)
+        gone = np.cumsum(edge[:-1]) > 0
         own = _found([(
             ids[owner[pairs[:, 0]]], marks[owner[pairs[:, 0]]], WINDOW,
             pairs + offset[owner[pairs[:, 0]]][:, None])])
         # Open windows, each string once, go to the bucket of their hash.
-        data = np.where(symbols < 256, symbols, 0).astype(np.uint8)
-        if len(data) < LENGTH:
-            return _emit(own, [])
-        _, whole = _gram_hashes(data)
-        window = np.arange(len(whole))
-        fits = window + LENGTH <= (starts + sizes)[owner[:len(whole)]]
-        window = window[fits & ~gone[:len(whole)]]
+        window = window[~gone[window]]
         code, doc = whole[window], owner[window]
         bucket = ((code >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
@@ -410,9 +476,9 @@ def _settle_contexts(rows, buckets):
             for piece in pieces(arrow):
                 for doc_id, mark, text, blobs in zip(*(piece.column(i).to_pylist() for i in range(4)), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
-                    for a, b in segments(raw, blobs):
-                        parts.append((doc_id, mark, int(a), raw[a:b]))
-                        size += int(b - a)
+                    for a, b, pos in segments(raw, blobs):
+                        parts.append((doc_id, mark, a, raw[a:b], pos))
+                        size += b - a
                     if size > SUFFIX_BYTES:
                         yield from settle_task(parts)
                         parts, size = [], 0
@@ -462,17 +528,17 @@ def remove_repeats(documents):
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = 8 + int(size) // BUCKET_BYTES
 
-    anchors = materialize(_find_anchors(named, buckets), "anchors")
+    anchors = store(_find_anchors(named, buckets), "anchors")
     key = ["doc_id", "mark"]
     opened = anchors.where(F.col("kind") == OPEN).groupBy(*key).agg(F.collect_list("blob").alias("open"))
     texts = possibly_in(named, anchors.where(F.col("kind") == OPEN).select("doc_id"), "doc_id").dropDuplicates(key)
-    windows = materialize(_settle_contexts(texts.join(opened, key), buckets), "windows")
+    windows = store(_settle_contexts(texts.join(opened, key), buckets), "windows")
 
     found = anchors.where(F.col("kind") == REMOVED).union(windows)
     lists = found.groupBy(*key).agg(
         F.collect_list(F.when(F.col("kind") == REMOVED, F.col("blob"))).alias("anchors"),
         F.collect_list(F.when(F.col("kind") == WINDOW, F.col("blob"))).alias("windows"))
-    lists = materialize(lists, "spans")
+    lists = store(lists, "spans")
     whole = docs.select(
         "doc_id", "mark", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("sha"))
     cut = _cut(possibly_in(named, lists.select("doc_id"), "doc_id").join(lists, key))
