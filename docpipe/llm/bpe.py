@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 
 from docpipe.llm.common import add_columns
 
-CACHE_WORDS = 600_000   # encoded words a task remembers before it starts afresh
+CACHE_WORDS = 400_000   # encoded words a task remembers before it starts afresh
 CACHE_CHARS = 64        # longer words are encoded each time
-PAIR_CACHE = 1_000_000
+PAIR_CACHE = 250_000
 
 # Fixed value: the split of the vocabulary file, with white space spelled out.
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -71,12 +71,37 @@ def byte_characters():
     return table
 
 
+class TokenStrings:
+    """The strings of all tokens in one blob, with a table of offsets."""
+
+    def __init__(self, path):
+        import numpy as np
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        strings = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
+        self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
+        self.blob = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def decode(self, ids):
+        """Token strings joined by blanks, as bytes; `ids` is an integer array."""
+        import numpy as np
+
+        if not len(ids):
+            return b""
+        start = self.offsets[ids]
+        length = self.offsets[np.asarray(ids) + 1] - start
+        ends = np.cumsum(length)
+        place = np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
+        return self.blob[place][:-1].tobytes()
+
+
 class Vocabulary:
-    """Tables of a word BPE file: merges, longest matches, prefixes, token strings."""
+    """Tables of a word BPE file: merges, longest matches, prefixes."""
 
     def __init__(self, path):
         import ahocorasick
-        import numpy as np
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -106,11 +131,6 @@ class Vocabulary:
         self.automaton.make_automaton()
         self._compatible = {}
 
-        names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
-        strings = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
-        self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
-        self.blob = np.frombuffer(b"".join(strings), dtype=np.uint8)
-
     def _prefix(self, form):
         for end in range(len(form) - 1, 0, -1):
             if form[:end] in self.by_form:
@@ -119,11 +139,12 @@ class Vocabulary:
 
     def compatible(self, left, right):
         """Whether `left` and `right` may stand side by side in an encoding."""
-        known = self._compatible.get((left, right))
+        pair = left << 32 | right
+        known = self._compatible.get(pair)
         if known is None:
             if len(self._compatible) > PAIR_CACHE:
                 self._compatible.clear()
-            known = self._compatible[left, right] = self._check(left, right)
+            known = self._compatible[pair] = self._check(left, right)
         return known
 
     def _check(self, left, right):
@@ -180,7 +201,7 @@ def _packed(ids):
 
 
 class Codec:
-    """Encodes and decodes whole texts; remembers encoded words."""
+    """Encodes whole texts; remembers encoded words."""
 
     def __init__(self, path):
         self.vocabulary = Vocabulary(path)
@@ -223,26 +244,18 @@ class Codec:
                 ids += self.vocabulary.encode_form(raw[:-1].decode("latin-1") + chr(256 + raw[-1]))
         return _packed(ids)
 
-    def decode(self, ids):
-        """Token strings joined by blanks, as bytes; `ids` is an integer array."""
-        import numpy as np
-
-        v = self.vocabulary
-        if not len(ids):
-            return b""
-        start = v.offsets[ids]
-        length = v.offsets[np.asarray(ids) + 1] - start
-        ends = np.cumsum(length)
-        place = np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
-        return v.blob[place][:-1].tobytes()
-
 
 @lru_cache(maxsize=2)
 def codec_for(path):
-    """One codec per Python worker, so that tasks share its tables and cache."""
+    """One codec per Python worker, so that tasks share its tables."""
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def strings_for(path):
+    return TokenStrings(path)
+
+
 def encode(df, path=None, text="text"):
     """`df` with ids array<int>, n_tokens long and ids_sha256 (of the ids as
     little-endian unsigned 32-bit integers) of the column `text`."""
@@ -264,6 +277,7 @@ def encode(df, path=None, text="text"):
                 pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
             ]
 
+        run.close = codec.cache.clear  # an idle worker holds no words
         return run
 
     return add_columns(df, make, [text], [
@@ -280,14 +294,14 @@ def decode(df, path=None, ids="ids"):
         import numpy as np
         import pyarrow as pa
 
-        codec = codec_for(path)
+        strings = strings_for(path)
 
         def run(lists):
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum([n or 0 for n in pa.compute.list_value_length(lists).to_pylist()]) if len(lists) else []
             out, at = [], 0
             for end in ends:
-                out.append(codec.decode(flat[at:end]).decode())
+                out.append(strings.decode(flat[at:end]).decode())
                 at = end
             return [pa.array(out, pa.string())]
 

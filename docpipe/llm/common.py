@@ -1,7 +1,5 @@
 """Helpers shared by the operators of this subpackage."""
 
-import gc
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +24,8 @@ def add_columns(df, make, inputs, fields):
     """`df` with `fields` appended by a Python function over Arrow batches.
 
     make() is called once per task and returns a function: (Arrow columns of
-    `inputs`) -> list of Arrow arrays, one per field. Columns of `df` that bear
-    the name of a new field are replaced.
+    `inputs`) -> list of Arrow arrays, one per field; its attribute `close`, if there is
+    one, is called at the end. Columns of `df` that bear the name of a new field are replaced.
     """
     new = [f.name for f in fields]
     kept = [c for c in df.columns if c not in new]
@@ -43,6 +41,7 @@ def add_columns(df, make, inputs, fields):
                 added = function(*[piece.column(carried.index(c)) for c in inputs])
                 old = [piece.column(carried.index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*old, *added], names=[*kept, *new])
+        getattr(function, "close", lambda: None)()
 
     return df.select(*carried).mapInArrow(run, schema)
 
@@ -75,15 +74,25 @@ def sorted_groups(batches, keys):
         yield key, pa.Table.from_batches(held)
 
 
+# Settings while a table is written: finished shuffles go, Arrow batches of long rows stay small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def store(df, label):
-    """`materialize`, before which the shuffle files of finished plans are given back.
+    """`materialize`, after which Spark removes the shuffle files of the query.
 
-    Spark removes them when the JVM collects the plan that owned them, which
-    may otherwise come after the disk is full of finished stages.
+    They serve nothing once the table is written, but would otherwise stay on the
+    executors' disks until the driver happens to collect the plan.
     """
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return materialize(df, label)
+    conf = df.sparkSession.conf
+    before = {key: conf.get(key) for key in _WRITING}
+    for key, value in _WRITING.items():
+        conf.set(key, value)
+    try:
+        return materialize(df, label)
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 FILTER_BITS = 1 << 24

@@ -16,7 +16,6 @@ columns with the names of new ones are replaced.
 """
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +27,7 @@ SAMPLE = 8000        # labelled documents used for training
 BITS = 13            # hashed words fall into 2 ** BITS features
 FACTORS = 4
 THRESHOLD = 0.3
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 STATISTICS = (
@@ -142,17 +141,12 @@ def train(examples, size, factors=FACTORS, epochs=8, rate=0.08, decay=1e-4, seed
     return machine
 
 
-@lru_cache(maxsize=2)
-def features_for(bits):
-    return Features(bits)
-
-
 def extract(df, text="text", bits=BITS):
     """`df` with word_index, word_value and statistics of `text`."""
     def make():
         import pyarrow as pa
 
-        features = features_for(bits)
+        features = Features(bits)
 
         def run(texts):
             found = [features(t or "") for t in texts.to_pylist()]
@@ -189,7 +183,7 @@ def score(df, machine, text="text", bits=BITS, threshold=THRESHOLD):
         import numpy as np
         import pyarrow as pa
 
-        features = features_for(bits)
+        features = Features(bits)
 
         def run(texts):
             found = np.array([machine.probability(features(t or "")) for t in texts.to_pylist()], dtype=float)

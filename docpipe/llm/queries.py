@@ -52,4 +52,43 @@ def op10_secrets(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language_id, op3_chat_format, op4_mixing, op5_suffix_dedup, op6_quality, op7_ngram_join, op8_multi_index, op9_bpe, op10_secrets)}
 
-ORACLE = {}
+_REACHED = """reached AS (
+  SELECT id, id AS root FROM ids UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.id)"""
+
+
+def _escaped(column):
+    return rf"regexp_replace({column}, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"
+
+
+# Queries that SQL can express. Where approximation, hashing or training decides, there is none.
+ORACLE = {
+    "op1_near_vectors": f"""WITH RECURSIVE ids AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        links AS (SELECT x.id AS a, y.id AS b FROM ids x JOIN ids y ON x.id <> y.id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+        {_REACHED}, counted AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+        SELECT id AS vec_id, coalesce(any_value(n), 0) AS n_links, min(root) AS component_id, id = min(root) AS kept
+        FROM reached LEFT JOIN counted ON a = id GROUP BY id""",
+    "op3_chat_format": f"""WITH turns AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        marked AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          CAST(sum(length({_escaped("text")}) + CASE WHEN before = role THEN length('<|join|>')
+            ELSE length('<|start|><|text|><|end|>') + length({_escaped("role")}) END) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id""",
+    "op7_ngram_join": rf"""WITH RECURSIVE split AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, chr(1))]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(1))) END) AS g FROM split),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        links AS (
+          SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        ids AS (SELECT doc_id AS id FROM documents), {_REACHED}
+        SELECT id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
+        FROM reached LEFT JOIN sizes ON doc_id = id GROUP BY id""",
+}

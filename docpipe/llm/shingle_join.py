@@ -44,7 +44,7 @@ SKETCH = 1 << 18          # counters of token frequency
 TABLES, ROWS = 8, 3       # min-hash keys, and hashes per key
 BLOCK = 32                # members per block of a group
 POSTINGS = 500_000        # postings per bucket
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 class _WordHashes(dict):
@@ -142,6 +142,7 @@ def _summaries(docs):
                     piece.column(0), pa.array(sizes), pa.array(prints, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())), pa.nulls(len(sets), pa.binary()),
                 ], names=["doc_id", "n", "fp", "keys", "counts"])
+        _words.clear()
         yield pa.RecordBatch.from_arrays([
             pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())),
             pa.array([np.minimum(counts, 2**31 - 1).astype("<u4").tobytes()], pa.binary()),
@@ -211,6 +212,7 @@ def _postings(docs, counts, buckets, hot):
                     pa.array([bucket[a] for a in cuts[:-1]], pa.int32()),
                     pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
                 ], names=["bucket", "blob"])
+        _words.clear()
 
     def shared(key, table):
         import numpy as np
@@ -248,6 +250,7 @@ def _token_sets(docs):
             for piece in pieces(batch, 4 << 20):
                 blobs = [s.tobytes() for s in shingle_sets(piece.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "tokens"])
+        _words.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokens binary")
 
