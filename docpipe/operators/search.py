@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from docpipe.config import DEFAULTS
 from docpipe.functions.text import strip_space
 from docpipe.schemas import HIT_COLUMNS
-from docpipe.session import scratch_dir
+from docpipe.session import materialize, scratch_dir
 
 _CELLS_PER_SLICE = 4_000_000  # scores held at once by a task
 
@@ -79,10 +79,11 @@ def _search(corpus, queries, top_k, id_col, payload, vector, block_rows, centroi
     if block.num_rows <= block_rows:
         hits = _hits(corpus, block, queries.schema, id_col, payload, vector, centroids, nprobe)
     else:
+        queries = materialize(queries, "queries")  # each block reads them, none embeds them again
         parts = -(-2 * queries.count() // block_rows)
         path = scratch_dir(spark, "hits")
         for part in range(parts):
-            mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
+            mine = queries.where(F.pmod(F.xxhash64("query_id", vector), F.lit(parts)) == part).toArrow()
             if mine.num_rows:
                 found = _hits(corpus, mine, queries.schema, id_col, payload, vector, centroids, nprobe)
                 found.write.mode("append").parquet(path)
