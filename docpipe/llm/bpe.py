@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 
 from docpipe.llm.common import add_columns
 
-CACHE_WORDS = 400_000   # encoded words a task remembers before it starts afresh
+CACHE_WORDS = 250_000   # encoded words a task remembers before it starts afresh
 CACHE_CHARS = 64        # longer words are encoded each time
-PAIR_CACHE = 250_000
+PAIR_CACHE = 150_000
 
 # Fixed value: the split of the vocabulary file, with white space spelled out.
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -256,9 +256,12 @@ def strings_for(path):
     return TokenStrings(path)
 
 
-def encode(df, path=None, text="text"):
+def encode(df, path=None, text="text", decoded=False):
     """`df` with ids array<int>, n_tokens long and ids_sha256 (of the ids as
-    little-endian unsigned 32-bit integers) of the column `text`."""
+    little-endian unsigned 32-bit integers) of the column `text`.
+
+    decoded: also `decoded`, what the ids decode to, by the same Python worker.
+    """
     path = path or default_path()
 
     def make():
@@ -271,18 +274,22 @@ def encode(df, path=None, text="text"):
             coded = [codec.encode(t) if t else b"" for t in texts.to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32), pa.int32())
-            return [
+            out = [
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
                 pa.array(np.diff(offsets).astype(np.int64)),
                 pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
             ]
+            if decoded:
+                strings = strings_for(path)
+                out.append(pa.array([strings.decode(np.frombuffer(c, dtype="<u4")).decode() for c in coded], pa.string()))
+            return out
 
         run.close = codec.cache.clear  # an idle worker holds no words
         return run
 
     return add_columns(df, make, [text], [
         T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()),
-        T.StructField("ids_sha256", T.StringType()),
+        T.StructField("ids_sha256", T.StringType()), *([T.StructField("decoded", T.StringType())] if decoded else []),
     ])
 
 
@@ -314,5 +321,5 @@ def decode(df, path=None, ids="ids"):
 
 def digests(df, path=None):
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text."""
-    coded = encode(df.select("doc_id", "text"), path).drop("text")
-    return decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(df.select("doc_id", "text"), path, decoded=True)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
