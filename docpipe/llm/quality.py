@@ -161,19 +161,24 @@ def extract(df, text="text", bits=BITS):
     ])
 
 
-def fit(documents, labels, text="text", label="quality", sample=SAMPLE, bits=BITS):
-    """A machine from documents (doc_id, text) and labels (doc_id, <label>), by `sample` of them at most."""
+def _arrays(lists):
+    """An Arrow list column as numpy arrays that share its memory."""
     import numpy as np
 
+    lists = lists.combine_chunks()
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) if len(lists) else []
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(lists) else []
+
+
+def fit(documents, labels, text="text", label="quality", sample=SAMPLE, bits=BITS):
+    """A machine from documents (doc_id, text) and labels (doc_id, <label>), by `sample` of them at most."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
     # `sample` rows of two numbers: small by that parameter.
     rows = documents.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
     table = extract(rows, text, bits).select("doc_id", "word_index", "word_value", "statistics", "y").toArrow().sort_by("doc_id")
-    examples = [
-        ((np.array(i, dtype=np.int64), np.array(v), np.array(s)), y)
-        for i, v, s, y in zip(*(table[c].to_pylist() for c in ("word_index", "word_value", "statistics", "y")), strict=True)
-    ]
+    columns = [_arrays(table[c]) for c in ("word_index", "word_value", "statistics")]
+    examples = list(zip(zip(*columns, strict=True), table["y"].to_pylist(), strict=True))
     return train(examples, 1 << bits)
 
 
