@@ -33,23 +33,32 @@ UNDETERMINED = "und"
 
 
 def dictionaries(labelled, text="text", lang="lang", docs=SAMPLE_DOCS, chars=SAMPLE_CHARS):
-    """{language: dictionary bytes} from at most `docs` texts of each language.
+    """{language: dictionary bytes} from at most `docs` different texts of each language.
 
     The sample is the only thing that is bounded: at most `docs` * `chars`
     characters of each language come to the driver. It is chosen by a hash of the
-    text, so it does not depend on the order of the rows.
+    piece that the dictionary takes, so it does not depend on the order of the rows,
+    and equal pieces, however often they occur, count once. Pieces without a letter
+    say nothing about a language and are left out before the choice. Hashes alone
+    are shuffled; the chosen pieces come from a second scan.
     """
-    order = Window.partitionBy("lang").orderBy("pick", "piece")
     body = F.trim(F.col(text))
     # The middle of the text: the same rule for texts of any length.
     start = F.greatest(F.lit(1), ((F.length(body) - chars) / 2).cast("int") + 1)
+    pieces = (
+        labelled.where(F.col(lang).isNotNull())
+        .select(F.col(lang).alias("lang"), F.substring(body, start, F.lit(chars)).alias("piece"))
+        .where(F.col("piece").rlike(r"\p{L}"))
+        .withColumn("pick", F.xxhash64("piece"))
+    )
+    order = Window.partitionBy("lang").orderBy("pick")
+    chosen = pieces.select("lang", "pick").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs)
     sample = (
-        labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(lang).alias("lang"), F.xxhash64(text).alias("pick"), F.substring(body, start, F.lit(chars)).alias("piece"))
-        .withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs)
-        .groupBy("lang").agg(F.sort_array(F.collect_set("piece")).alias("pieces"))
+        pieces.join(F.broadcast(chosen.select("lang", "pick")), ["lang", "pick"], "left_semi")
+        .select("lang", "piece").distinct()
+        .groupBy("lang").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
     )
-    return {r.lang: letters(" ".join(r.pieces)).encode() for r in sample.collect() if any(r.pieces)}
+    return {r.lang: letters(" ".join(r.pieces)).encode() for r in sample.collect()}
 
 
 _OTHER = re.compile(r"[\W\d_]+")

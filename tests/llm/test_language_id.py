@@ -27,3 +27,23 @@ def test_no_labels_give_und_and_ties_go_to_the_first(spark, odd_documents):
     same = {"b": b"the same words", "a": b"the same words"}
     got = language_id.identify(spark.createDataFrame([(1, "the same words")], "doc_id int, text string"), same).first()
     assert (got.lang_pred, got.confident) == ("a", False)
+
+
+def test_copies_and_texts_without_letters_take_no_place(spark):
+    """One text holds a third of a language and comes first by its hash; every different text is in the dictionary all the same."""
+    from pyspark.sql import functions as F
+
+    words = [("en", f"word{chr(97 + i % 26)}{chr(97 + i // 26)} stays") for i in range(40)]
+    docs = spark.createDataFrame(words, "lang string, text string")
+    hot = docs.orderBy(F.xxhash64("text")).first().text
+    odd = [("en", t) for t in ("", " \n", "12 34", "?!")] * 30
+    docs = docs.union(spark.createDataFrame([("en", hot)] * 20 + odd, docs.schema)).repartition(3)
+    letters = {language_id.letters(text) for _, text in words}
+    whole = language_id.dictionaries(docs, docs=40)["en"].decode()
+    assert all(x in whole for x in letters) and len(whole) == sum(map(len, letters)) + 39
+    part = language_id.dictionaries(docs, docs=10)["en"].decode()
+    assert sum(x in part for x in letters) == 10
+    # Long texts that differ outside the piece taken count once, pieces without a letter not at all.
+    long = [("en", f"{a}{'x' * 50}{a}") for a in "abc"] + [("en", f"head {'1' * 50} tail"), ("en", "yy")]
+    got = language_id.dictionaries(spark.createDataFrame(long, docs.schema), docs=2, chars=10)
+    assert got["en"].decode() == f"{'x' * 10} yy"
