@@ -125,9 +125,9 @@ class MultiIndex:
     def _calibrate(self, points, queries=200, k=K, recall=CALIBRATED):
         """The share of all vectors to visit, so that on the sample `recall` of the k nearest is found.
 
-        For each of some sample queries, the vectors in cells visited up to that of
-        a true neighbour are counted. In tables with structure that is a small
-        share, in random ones a large one.
+        For each of some queries, drawn at random over the whole sample, the vectors in cells
+        visited up to that of a true neighbour are counted. In tables with structure that
+        is a small share, in random ones a large one.
         """
         import numpy as np
 
@@ -138,9 +138,11 @@ class MultiIndex:
         own, members = np.unique(cell, return_inverse=True)
         sizes = np.bincount(members)
         shares = []
-        for q in points[:queries]:
+        for at in np.random.default_rng(5).permutation(len(points))[:queries]:
+            q = points[at]
             product = points @ q
-            closest = np.argsort(-product, kind="stable")[1:k + 1]  # without the query
+            product[at] = -np.inf  # its own product need not be the largest
+            closest = np.argsort(-product, kind="stable")[:min(k, len(points) - 1)]
             value = (first @ q[:self.cut])[own // len(second)] + (second @ q[self.cut:])[own % len(second)]
             order = np.argsort(-value, kind="stable")
             visited = np.empty(len(own))

@@ -92,6 +92,28 @@ def test_recall(spark):
     assert len(found) == 20 * len(want)
 
 
+def test_recall_where_the_first_ids_are_tight_copies(spark):
+    rng = np.random.default_rng(4)
+    rows = list(enumerate(near_cluster(rng, 600, 0.001) + rng.normal(size=(1400, 24)).astype("float32").tolist()))
+    hit, all_of = {True: 0, False: 0}, {True: 0, False: 0}
+    want = exact(rows, 20)
+    for r in multi_index.nearest_neighbours(frame(spark, rows)).collect():
+        hit[r.query_id < 600] += r.vec_id in {i for i, _ in want[r.query_id]}
+    for q, found in want.items():
+        all_of[q < 600] += len(found)
+    assert sum(hit.values()) / sum(all_of.values()) >= 0.9 and hit[False] / all_of[False] >= 0.9
+
+
+def test_calibration_leaves_out_the_query_by_its_place():
+    """The vectors of one direction have a larger product with their longer neighbour than with themselves."""
+    index = object.__new__(multi_index.MultiIndex)
+    points = np.array([[1.0, 0.0], [2.0, 0.0], [0.0, 1.0], [0.0, 2.0]])
+    index.cut, index.books = 1, (np.array([[0.0], [1.0], [2.0]]), np.array([[0.0], [1.0], [2.0]]))
+    # The one nearest neighbour: of the short ones the long one, in the first cell of the traversal; of the long ones the short one, in the second.
+    assert index._calibrate(points, k=1, recall=1.0) == 0.5
+    assert index._calibrate(points, k=1, recall=0.0) == 0.25
+
+
 def test_traversal_takes_pairs_in_order():
     rng = np.random.default_rng(2)
     first, second = rng.normal(size=6), rng.normal(size=5)
