@@ -1,12 +1,16 @@
 """Top-k cosine search for batches of queries.
 
-The corpus is read once and never shuffled: the query vectors (at most
-`query_block_rows` at a time) travel to the corpus tasks, where each Arrow batch
-is scored with one matrix product and only the best k rows per query survive.
-Query-row pairs are never materialised. Larger query sets run block by block,
-each block's hits going to the shared scratch folder.
+Each row of the queries is a query of its own, also where query_ids repeat: it gets
+its own `top_k` rows, ranked from 1. Queries are stored once with a row number and cut
+into parts of about `query_block_rows` by its hash, the corpus into blocks by a hash of id and
+vector. Every block meets every part in one task, by shuffles: the queries are held
+there, the block's rows stream past and are scored with matrix products, and only
+the best k rows per query survive. Query-row pairs are never materialised, no query goes
+through the driver, and the plan is the same for any number of queries.
 """
 
+from itertools import chain, groupby
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +18,7 @@ from pyspark.sql import types as T
 from docpipe.config import DEFAULTS
 from docpipe.functions.text import strip_space
 from docpipe.schemas import HIT_COLUMNS
-from docpipe.session import materialize, scratch_dir
+from docpipe.session import materialize
 
 _CELLS_PER_SLICE = 4_000_000  # scores held at once by a task
 
@@ -51,7 +55,8 @@ def exact_search(corpus, queries, top_k=DEFAULTS.default_top_k, id_col="chunk_id
 
     queries: (query_id, <vector>) and optionally top_k per row.
     Result: query_id, rank, <id_col>, <payload>, score. Equal scores (nine
-    digits) rank by id.
+    digits) rank by id. Rows with the same query_id are separate queries. Rows
+    without a vector have no hits.
     """
     return _search(corpus, queries, top_k, id_col, payload, vector, block_rows, None, None)
 
@@ -73,52 +78,49 @@ def _search(corpus, queries, top_k, id_col, payload, vector, block_rows, centroi
     spark = corpus.sparkSession
     if "top_k" not in queries.columns:
         queries = queries.withColumn("top_k", F.lit(top_k))
-    queries = queries.select("query_id", vector, F.col("top_k").cast("int").alias("top_k"))
-
-    block = queries.limit(block_rows + 1).toArrow()
-    if block.num_rows <= block_rows:
-        hits = _hits(corpus, block, queries.schema, id_col, payload, vector, centroids, nprobe)
-    else:
-        queries = materialize(queries, "queries")  # each block reads them, none embeds them again
-        parts = -(-2 * queries.count() // block_rows)
-        path = scratch_dir(spark, "hits")
-        for part in range(parts):
-            mine = queries.where(F.pmod(F.xxhash64("query_id", vector), F.lit(parts)) == part).toArrow()
-            if mine.num_rows:
-                found = _hits(corpus, mine, queries.schema, id_col, payload, vector, centroids, nprobe)
-                found.write.mode("append").parquet(path)
-        hits = spark.read.parquet(path)
-    return hits
-
-
-def _hits(corpus, block, query_schema, id_col, payload, vector, centroids, nprobe):
-    """The best rows per query of one query block: scored in place, then merged."""
-    import numpy as np
-
-    dim = len(block[vector][0]) if block.num_rows else 1
-    matrix = _unit_rows(block[vector].combine_chunks(), dim)
-    limits = block["top_k"].to_numpy()
-    query_ids = block["query_id"].combine_chunks()
-    probes = None
-    rows = corpus.where(F.col(vector).isNotNull())
-    columns = [id_col, vector]
+    queries = queries.where(F.col(vector).isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), "query_id", F.col("top_k").cast("int").alias("top_k"),
+        F.col(vector).alias("asked"))
     if centroids is not None:
-        probes = _probe_mask(matrix, centroids, nprobe)
-        wanted = np.flatnonzero(probes.any(axis=1)).tolist()
-        rows = rows.where(F.col("cell").isin(wanted))
-        columns.append("cell")
-
+        queries = _with_cells(queries, centroids, nprobe)
+    queries = materialize(queries, "queries")  # row numbers are fixed, none is embedded again
+    rows = corpus.where(F.col(vector).isNotNull())
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if centroids is None:
+        parts = max(1, -(-queries.count() // block_rows))
+        queries = queries.select("*", F.lit(0).alias("cell"), F.lit(slots).alias("blocks"), F.lit(parts).alias("parts"))
+        met = rows.select(id_col, vector, F.lit(0).alias("cell"), F.lit(slots).alias("blocks"), F.lit(parts).alias("parts"))
+    else:
+        queries = queries.withColumn("cell", F.explode("cells"))
+        asked = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # as many as centroids
+        rows = rows.where(F.col("cell").isin(sorted(asked)))
+        sizes = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        cut_up = F.broadcast(spark.createDataFrame(
+            [(c, -(-slots * n // sum(sizes.values())), -(-asked[c] // block_rows)) for c, n in sizes.items()],
+            "cell int, blocks int, parts int"))
+        queries, met = queries.join(cut_up, "cell"), rows.select(id_col, vector, "cell").join(cut_up, "cell")
+
+    columns = ["cell", "block", "part", "side"]
+    held = queries.select(
+        F.col("cell").cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"),
+        "row", "query_id", "top_k", "asked")
+    passing = met.select(
+        F.col("cell").cast("int").alias("cell"), F.pmod(F.xxhash64(id_col, vector), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"),
+        F.col(id_col).alias("id"), F.col(vector).alias("vector"))
+    dealt = held.unionByName(passing, allowMissingColumns=True).select(
+        *columns, "row", "query_id", "top_k", "asked", "id", "vector")
     schema = T.StructType([
-        query_schema["query_id"],
+        T.StructField("row", T.LongType()),
+        T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("top_k", T.IntegerType()),
-        corpus.schema[id_col],
+        T.StructField(id_col, corpus.schema[id_col].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    scored = rows.select(*columns).mapInArrow(
-        _scorer(query_ids, matrix, limits, probes, id_col), schema
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    k = int(limits.max()) if block.num_rows else 1
+    scored = dealt.repartition(*columns[:3]).sortWithinPartitions(*columns).mapInArrow(_score_groups(id_col), schema)
+    best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc(id_col))
+    k = queries.agg(F.max("top_k")).first()[0] or 1
     hits = (
         scored.withColumn("rank", F.row_number().over(best))
         .where((F.col("rank") <= k) & (F.col("rank") <= F.col("top_k")))
@@ -131,6 +133,23 @@ def _hits(corpus, block, query_schema, id_col, payload, vector, centroids, nprob
     return rows.select(id_col, *payload).join(hits, id_col).select("query_id", "rank", id_col, *payload, "score")
 
 
+def _with_cells(queries, centroids, nprobe):
+    """The queries with the numbers of the cells they look into."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("asked")
+            mask = _probe_mask(_unit_rows(lists, len(lists[0])), centroids, nprobe)
+            cells = pa.array([np.flatnonzero(m).tolist() for m in mask.T], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
+
+    return queries.mapInArrow(run, T.StructType([*queries.schema, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+
+
 def _probe_mask(matrix, centroids, nprobe):
     """cells x queries: which cells each query looks into."""
     import numpy as np
@@ -152,14 +171,53 @@ def _unit_rows(lists, dim):
     return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
 
 
-def _scorer(query_ids, matrix, limits, probes, id_col):
-    """Function over the Arrow batches of one partition -> its best rows per query."""
+def _score_groups(id_col):
+    """Function over Arrow batches sorted by (cell, block, part, side) -> the best rows per query of each group.
+
+    The queries of a group (side 0) come before its corpus rows and are held; those stream past.
+    """
+    def runs(batches):
+        import numpy as np
+
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            starts = [0, *cuts.tolist(), batch.num_rows] if batch.num_rows else []
+            for a, b in zip(starts, starts[1:], strict=False):
+                yield tuple(keys[:3, a].tolist()), keys[3, a], batch.slice(a, b - a)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, group in groupby(runs(batches), key=lambda r: r[0]):
+            asked = []
+            for _, side, rows in group:
+                if side == 0:
+                    asked.append(rows)
+                    continue
+                if asked:
+                    table = pa.Table.from_batches(asked)
+                    lists = table["asked"].combine_chunks()
+                    score = _scorer(
+                        table["row"].combine_chunks(), table["query_id"].combine_chunks(), _unit_rows(lists, len(lists[0])),
+                        table["top_k"].fill_null(0).to_numpy().astype(np.int64), id_col)
+                    yield from score(r for r in chain([rows], (r for _, _, r in group)))
+                break
+
+    return run
+
+
+def _scorer(row_ids, query_ids, matrix, limits, id_col):
+    """Function over the corpus rows of one group -> its best rows per query."""
+    import numpy as np
+
     n_queries, dim = matrix.shape
-    k = int(limits.max()) if n_queries else 1
-    slice_rows = max(1, _CELLS_PER_SLICE // max(1, n_queries))
+    k = max(1, int(limits.max()))
+    slice_rows = max(1, _CELLS_PER_SLICE // n_queries)
     flush_rows = max(2 * n_queries * k, 100_000)
 
-    def best(table, pa, np):
+    def best(table, pa):
         """Keep the top k rows of every query; also each query's k-th score."""
         order = pa.compute.sort_indices(
             table, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")]
@@ -174,39 +232,31 @@ def _scorer(query_ids, matrix, limits, probes, id_col):
         return table.filter(pa.array(place < limits[q])), floor
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         import pyarrow.compute
 
         kept, pending, floor = [], 0, np.full(n_queries, -np.inf)
         for batch in batches:
-            for start in range(0, batch.num_rows if n_queries else 0, slice_rows):
+            for start in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(start, slice_rows)
-                units = _unit_rows(part.column(1), dim)
-                if probes is None:
-                    scores = np.round(units @ matrix.T, 9)
-                else:  # each cell's rows meet the queries that probe it
-                    scores = np.full((len(units), n_queries), -np.inf)
-                    cells = part.column(2).to_numpy()
-                    for cell in np.unique(cells):
-                        mine, asked = np.flatnonzero(cells == cell), np.flatnonzero(probes[cell])
-                        scores[np.ix_(mine, asked)] = np.round(units[mine] @ matrix[asked].T, 9)
+                scores = np.round(_unit_rows(part.column("vector"), dim) @ matrix.T, 9)
                 bar = floor
                 if len(scores) > k:
                     bar = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[-k])
-                rows, q = np.nonzero((scores >= bar) & (scores > -np.inf))
+                rows, q = np.nonzero(scores >= bar)
                 kept.append(pa.table({
-                    "q": pa.array(q), "id": part.column(0).take(pa.array(rows)),
+                    "q": pa.array(q), "id": part.column("id").take(pa.array(rows)),
                     "score": pa.array(scores[rows, q]),
                 }))
                 pending += len(rows)
                 if pending > flush_rows:
-                    table, floor = best(pa.concat_tables(kept), pa, np)
+                    table, floor = best(pa.concat_tables(kept), pa)
                     kept, pending = [table], 0
         if kept:
-            table, _ = best(pa.concat_tables(kept), pa, np)
+            table, _ = best(pa.concat_tables(kept), pa)
             q = table["q"].combine_chunks()
             out = pa.table({
+                "row": row_ids.take(q),
                 "query_id": query_ids.take(q),
                 "top_k": pa.array(limits[q.to_numpy()], pa.int32()),
                 id_col: table["id"],

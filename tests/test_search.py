@@ -60,6 +60,19 @@ def test_more_queries_than_one_block(data):
     assert got == {q: truth[q][: 1 + q % 9] for q in truth}
 
 
+@pytest.mark.parametrize("block_rows", [4096, 5])
+def test_rows_with_the_same_query_id_are_queries_of_their_own(data, cells, block_rows):
+    """Each row gets its top_k, whatever the number of rows, and also where rows are equal."""
+    corpus, asked, truth = data
+    one = asked.where("query_id < 12").withColumn("query_id", F.col("query_id") % 3)
+    twice = one.union(one)
+    want = sorted((q % 3, rank, *hit) for q in range(12) for rank, hit in enumerate(truth[q][: 1 + q % 9], 1) for _ in range(2))
+    placed, centroids = cells
+    for found in (search.exact_search(corpus, twice, block_rows=block_rows),
+                  search.cell_search(placed, centroids, twice, nprobe=12, block_rows=block_rows)):
+        assert sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in found.collect()) == want
+
+
 def test_no_queries(data):
     corpus, asked, _ = data
     assert search.exact_search(corpus, asked.where("query_id < 0")).count() == 0
