@@ -6,8 +6,8 @@ scores w0 + <w, x> + sum over pairs <v_i, v_j> x_i x_j; the pairs are summed in
 time as half the difference of the square of sums and the sum of squares. Whole
 texts count.
 
-It is trained here, on at most `SAMPLE` labelled documents, chosen by a hash of the text;
-that bound is the only sampling. Scoring is a narrow pass over all documents.
+It is trained here, on at most `SAMPLE` labelled documents, chosen by a hash of doc_id;
+of rows with the same doc_id the one with the smallest text hash is learned. That bound is the only sampling. Scoring is a narrow pass over all documents.
 
 Handled cases: a null or empty text has no words and neutral statistics, and gets a
 score; without labels every score is the prior 0.5; with one label only the scores lean to
@@ -176,6 +176,9 @@ def fit(documents, labels, text="text", label="quality", sample=SAMPLE, bits=BIT
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
     # `sample` rows of two numbers: small by that parameter.
     rows = documents.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
+    # One row per document, combined on the map side: no more than `sample` rows reach the driver.
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64(text), F.col(text).alias("text"))).alias("first"))
+    rows = rows.select("doc_id", "y", F.col("first.text").alias(text))
     table = extract(rows, text, bits).select("doc_id", "word_index", "word_value", "statistics", "y").toArrow().sort_by("doc_id")
     columns = [_arrays(table[c]) for c in ("word_index", "word_value", "statistics")]
     examples = list(zip(zip(*columns, strict=True), table["y"].to_pylist(), strict=True))

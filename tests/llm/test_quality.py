@@ -43,3 +43,15 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert quality.graded(no_documents, labels).count() == 0
     scored = quality.score(odd_documents, quality.train([], 1 << quality.BITS))
     assert scored.columns.count("score") == 1
+
+
+def test_a_repeated_document_is_learned_once(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(quality, "train", lambda examples, *a, **b: learned.append(examples))
+    docs = [(1, "a hot text"), (2, "another text"), (3, None)]
+    hot = [(1, f"text number {i}") for i in range(50)] + [(1, "a hot text")] * 50
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id bigint, quality int")
+    for rows in (docs + hot, (hot + docs)[::-1]):
+        quality.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), labels, sample=3)
+    assert [len(x) for x in learned] == [3, 3] and [y for _, y in learned[0]] == [1, 0, 1]
+    assert all(np.array_equal(a, b) for x, y in zip(*learned) for a, b in zip(x[0], y[0]))
