@@ -1,6 +1,7 @@
 """The registered queries of this subpackage: one per operator, on whole tables."""
 
-from docpipe.llm import bpe, chat_format, language_id, mixing, multi_index, quality, secrets, shingle_join, suffix_dedup, vector_dedup
+from docpipe.llm import (bpe, chat_format, collocations, language_id, mixing, multi_index, packing, periodic, quality, secrets, shingle_join,
+                         suffix_dedup, vector_dedup)
 from docpipe.llm.common import read_table
 
 
@@ -50,7 +51,23 @@ def op10_secrets(spark, sf_dir):
     return secrets.digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language_id, op3_chat_format, op4_mixing, op5_suffix_dedup, op6_quality, op7_ngram_join, op8_multi_index, op9_bpe, op10_secrets)}
+def op11_packing(spark, sf_dir):
+    packed = packing.packed_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "fill", "padded")
+
+
+def op12_periodic_runs(spark, sf_dir):
+    runs = periodic.periodic_runs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return runs.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_collocations(spark, sf_dir):
+    found = collocations.collocations(read_table(spark, sf_dir, "documents", "text", "lang"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_language_id, op3_chat_format, op4_mixing, op5_suffix_dedup, op6_quality, op7_ngram_join,
+                                   op8_multi_index, op9_bpe, op10_secrets, op11_packing, op12_periodic_runs, op13_collocations)}
 
 _REACHED = """reached AS (
   SELECT id, id AS root FROM ids UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.id)"""
@@ -91,4 +108,35 @@ ORACLE = {
         ids AS (SELECT doc_id AS id FROM documents), {_REACHED}
         SELECT id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
         FROM reached LEFT JOIN sizes ON doc_id = id GROUP BY id""",
+    "op13_collocations": r"""WITH docs AS (
+          SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+        split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        idx AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split WHERE len(w) > 0),
+        uni AS (SELECT lang, w[i] AS p, count(*) AS f FROM idx GROUP BY ALL),
+        total AS (SELECT lang, sum(f) AS n FROM uni GROUP BY lang),
+        bi AS (SELECT lang, w[i] || ' ' || w[i + 1] AS p, any_value(w[i]) AS x, any_value(w[i + 1]) AS y, count(*) AS f
+               FROM idx WHERE i + 1 <= len(w) GROUP BY lang, p),
+        tri AS (SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS p, any_value(w[i]) AS x, any_value(w[i + 1] || ' ' || w[i + 2]) AS yz,
+                       any_value(w[i] || ' ' || w[i + 1]) AS xy, any_value(w[i + 2]) AS z, count(*) AS f
+                FROM idx WHERE i + 2 <= len(w) GROUP BY lang, p HAVING count(*) >= 10),
+        two AS (
+          SELECT b.lang, b.p AS phrase, b.f AS a, u1.f AS l, u2.f AS r,
+                 (CAST(b.f AS HUGEINT) * b.f * 1000000) // (CAST(u1.f AS HUGEINT) * u2.f) AS score
+          FROM bi b JOIN uni u1 ON u1.lang = b.lang AND u1.p = b.x JOIN uni u2 ON u2.lang = b.lang AND u2.p = b.y
+          WHERE b.f >= 10 AND NOT EXISTS (
+            SELECT 1 FROM tri t WHERE t.lang = b.lang AND (t.xy = b.p OR t.yz = b.p) AND 100 * t.f >= 50 * b.f)),
+        three AS (
+          SELECT t.lang, t.p AS phrase, t.f AS a, u1.f AS l1, b23.f AS r1, b12.f AS l2, u3.f AS r2,
+                 (CAST(t.f AS HUGEINT) * t.f * 1000000) // (CAST(u1.f AS HUGEINT) * b23.f) AS s1,
+                 (CAST(t.f AS HUGEINT) * t.f * 1000000) // (CAST(b12.f AS HUGEINT) * u3.f) AS s2
+          FROM tri t JOIN uni u1 ON u1.lang = t.lang AND u1.p = t.x JOIN bi b23 ON b23.lang = t.lang AND b23.p = t.yz
+          JOIN bi b12 ON b12.lang = t.lang AND b12.p = t.xy JOIN uni u3 ON u3.lang = t.lang AND u3.p = t.z),
+        cands AS (
+          SELECT lang, phrase, a, l, r, score FROM two
+          UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM three),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase ASC) AS rank FROM cands)
+        SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r,
+               CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked r JOIN total USING (lang) WHERE rank <= 2000""",
 }
