@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docpipe.functions import tokens as K
 from docpipe.functions import vectors as V
 from docpipe.functions.text import iso_utc
-from docpipe.operators import alerts, changes, chunks, embed, extract, frontier, index, quality, search, upsert
+from docpipe.operators import alerts, batches, changes, chunks, embed, extract, frontier, index, quality, search, upsert
 from docpipe.operators import metrics as M
 from docpipe.operators.ordered import epoch_micros
 from docpipe.schemas import BUCKETS, PAGE_EVENT
@@ -469,6 +469,23 @@ def embed_batches(spark, sf):
     return M.embed_batches(docs, ["source"], ["doc_id"])
 
 
+def _timeout_batches(spark, sf, timeout_us):
+    found = batches.timeout_batches(_events(spark, sf), "event_type", "ts", "event_id", 32, timeout_us)
+    return _us(found, "first_ts").withColumnRenamed("first_ts_us", "first_us")
+
+
+@query
+def timeout_batches(spark, sf):
+    """The consumer's batches of 32 rows or 2 s, replayed over event time per event type."""
+    return _timeout_batches(spark, sf, 2_000_000)
+
+
+@query
+def timeout_batches_daily(spark, sf):
+    """The same rule with a timeout of one day, so that both cuts occur."""
+    return _timeout_batches(spark, sf, 86_400_000_000)
+
+
 @query
 def batch_size_histogram(spark, sf):
     sizes = embed_batches(spark, sf).withColumnRenamed("n", "size")

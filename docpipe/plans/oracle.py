@@ -21,6 +21,26 @@ def _inner(tag):
     return rf"regexp_extract(bare, '(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>', 1)"
 
 
+def _timeout_batches(timeout):
+    """Count-or-timeout batches by walking each event type from its first row (recursive)."""
+    return f"""WITH RECURSIVE r AS (
+          SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i,
+                 count(*) OVER (PARTITION BY event_type) AS m FROM events WHERE ts IS NOT NULL),
+        nx AS (
+          SELECT a.event_type, a.i, a.event_id, a.ts, a.m, least(a.i + 32, a.m, coalesce((
+            SELECT min(b.i) FROM r b WHERE b.event_type IS NOT DISTINCT FROM a.event_type AND b.ts >= a.ts + INTERVAL {timeout}), a.m)) AS nxt
+          FROM r a),
+        walk AS (
+          SELECT DISTINCT event_type, 0 AS batch_no, CAST(0 AS BIGINT) AS i FROM r
+          UNION ALL
+          SELECT w.event_type, w.batch_no + 1, n.nxt FROM walk w JOIN nx n ON n.event_type IS NOT DISTINCT FROM w.event_type AND n.i = w.i
+          WHERE n.nxt < n.m)
+        SELECT n.event_type, CAST(w.batch_no AS BIGINT) AS batch_no, n.event_id AS first_id, epoch_us(n.ts) AS first_us,
+          CAST(n.nxt - n.i AS BIGINT) AS n,
+          CASE WHEN n.nxt - n.i = 32 THEN 'size' WHEN n.nxt = n.m THEN 'end' ELSE 'timeout' END AS closed_by
+        FROM walk w JOIN nx n ON n.event_type IS NOT DISTINCT FROM w.event_type AND n.i = w.i"""
+
+
 # Page extraction for the mark-up that occurs in the pages table.
 def _page_sql(source):
     return f"""
@@ -375,6 +395,8 @@ ORACLE = {
     "chunk_size_histogram": f"WITH {_CHUNKS} {_histogram('chunk', 'n_tokens', [64, 128, 256, 384, 512, 640])}",
     "chunks_per_page_histogram": f"""WITH {_CHUNKS}, firsts AS (SELECT * FROM chunk WHERE chunk_index = 0)
         {_histogram('firsts', 'total_chunks', [1, 2, 5, 10, 20, 50])}""",
+    "timeout_batches": _timeout_batches("2 SECOND"),
+    "timeout_batches_daily": _timeout_batches("1 DAY"),
     "embed_batches": f"WITH {_BATCHES} SELECT source, batch_no, n FROM batches",
     "batch_size_histogram": f"WITH {_BATCHES} {_histogram('batches', 'n', [1, 4, 8, 16, 32, 64])}",
     "counter_increase": f"""WITH {_INCREASE} SELECT event_type, epoch_us(start) AS start_us,
