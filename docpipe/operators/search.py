@@ -1,12 +1,18 @@
 """Top-k cosine search for batches of queries.
 
 Each row of the queries is a query of its own, also where query_ids repeat: it gets
-its own `top_k` rows, ranked from 1. Queries are stored once with a row number and cut
-into parts of about `query_block_rows` by its hash, the corpus into blocks by a hash of id and
-vector. Every block meets every part in one task, by shuffles: the queries are held
-there, the block's rows stream past and are scored with matrix products, and only
-the best k rows per query survive. Query-row pairs are never materialised, no query goes
-through the driver, and the plan is the same for any number of queries.
+its own `top_k` rows, ranked from 1. Queries are stored once with a row number.
+
+Exact search keeps the corpus in place: the queries are written in parts of about
+`query_block_rows` rows, one folder each, below the shared folder; every task of the
+corpus scan holds its own split (bounded by the scan's split size) and takes the
+stored parts one after another against it, scoring with matrix products and keeping
+the best k rows per query. Only those rows are shuffled, by query row, and ranked.
+The corpus vectors never pass through an exchange, and no query goes through the driver.
+
+Search by cells cuts the corpus rows of the probed cells into blocks by a hash of id
+and vector, and the queries into parts; every block meets every part in one task.
+Query-row pairs are never materialised.
 """
 
 from itertools import chain, groupby
@@ -18,7 +24,7 @@ from pyspark.sql import types as T
 from docpipe.config import DEFAULTS
 from docpipe.functions.text import strip_space
 from docpipe.schemas import HIT_COLUMNS
-from docpipe.session import materialize
+from docpipe.session import materialize, scratch_dir
 
 _CELLS_PER_SLICE = 4_000_000  # scores held at once by a task
 
@@ -87,9 +93,7 @@ def _search(corpus, queries, top_k, id_col, payload, vector, block_rows, centroi
     rows = corpus.where(F.col(vector).isNotNull())
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if centroids is None:
-        parts = max(1, -(-queries.count() // block_rows))
-        queries = queries.select("*", F.lit(0).alias("cell"), F.lit(slots).alias("blocks"), F.lit(parts).alias("parts"))
-        met = rows.select(id_col, vector, F.lit(0).alias("cell"), F.lit(slots).alias("blocks"), F.lit(parts).alias("parts"))
+        return _ranked(_in_place(rows, queries, id_col, vector, block_rows), queries, id_col, rows, payload)
     else:
         queries = queries.withColumn("cell", F.explode("cells"))
         asked = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # as many as centroids
@@ -119,8 +123,13 @@ def _search(corpus, queries, top_k, id_col, payload, vector, block_rows, centroi
         T.StructField("score", T.DoubleType()),
     ])
     scored = dealt.repartition(*columns[:3]).sortWithinPartitions(*columns).mapInArrow(_score_groups(id_col), schema)
+    return _ranked(scored, queries, id_col, rows, payload)
+
+
+def _ranked(scored, queries, id_col, rows, payload):
+    """The best top_k rows per query row, ranked, with the payload of the hits."""
     best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc(id_col))
-    k = queries.agg(F.max("top_k")).first()[0] or 1
+    k = queries.agg(F.max("top_k")).first()[0] or 1  # a constant bound lets Spark cut each part before the shuffle
     hits = (
         scored.withColumn("rank", F.row_number().over(best))
         .where((F.col("rank") <= k) & (F.col("rank") <= F.col("top_k")))
@@ -133,6 +142,58 @@ def _search(corpus, queries, top_k, id_col, payload, vector, block_rows, centroi
     return rows.select(id_col, *payload).join(hits, id_col).select("query_id", "rank", id_col, *payload, "score")
 
 
+def _hit_schema(queries, corpus, id_col):
+    return T.StructType([
+        T.StructField("row", T.LongType()),
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("top_k", T.IntegerType()),
+        T.StructField(id_col, corpus.schema[id_col].dataType),
+        T.StructField("score", T.DoubleType()),
+    ])
+
+
+def _in_place(rows, queries, id_col, vector, block_rows):
+    """Best rows per query of every corpus task, the corpus read where it lies."""
+    spark = rows.sparkSession
+    parts = max(1, -(-queries.count() // block_rows))
+    path = scratch_dir(spark, "query-parts")
+    queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).write.partitionBy("part").parquet(path)
+    stored = {}
+    for name in spark.read.schema(queries.schema).parquet(path).inputFiles():
+        stored.setdefault(name.rsplit("/", 2)[-2], []).append(name)
+    by_part = [sorted(files) for _, files in sorted(stored.items())]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        held = [b for b in batches if b.num_rows]  # this task's split
+        if not held:
+            return
+        for files in by_part:
+            table = pa.concat_tables([_read_parquet(f, pq) for f in files])
+            if not table.num_rows:
+                continue
+            lists = table["asked"].combine_chunks()
+            score = _scorer(table["row"].combine_chunks(), table["query_id"].combine_chunks(), _unit_rows(lists, len(lists[0])),
+                            table["top_k"].fill_null(0).to_numpy().astype(np.int64), id_col)
+            yield from score(iter(held))
+
+    corpus = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
+    return corpus.mapInArrow(run, _hit_schema(queries, rows, id_col))
+
+
+def _read_parquet(name, pq):
+    """A stored parquet file, by a local path or any URI that pyarrow's file systems open."""
+    from pyarrow import fs
+
+    if name.startswith("file:"):
+        return pq.read_table("/" + name[len("file:"):].lstrip("/"))
+    filesystem, inner = fs.FileSystem.from_uri(name)
+    return pq.read_table(inner, filesystem=filesystem)
+
+
 def _with_cells(queries, centroids, nprobe):
     """The queries with the numbers of the cells they look into."""
     def run(batches):

@@ -180,3 +180,20 @@ def test_verbatim_passages_are_found(spark):
     asked = truth.select("query_id").distinct().count()
     good = truth.join(found, ["query_id", "content_hash"], "left_semi").select("query_id").distinct().count()
     assert asked == 20 and good / asked >= 0.5
+
+
+def test_corpus_is_scored_where_it_lies(spark, data, tmp_path):
+    """No exchange lies between the corpus scan and the scoring; only hits are shuffled."""
+    corpus, asked, _ = data
+    corpus.write.parquet(str(tmp_path / "corpus"))
+    stored = spark.read.parquet(str(tmp_path / "corpus"))
+    plan = search.exact_search(stored, asked, payload=[])._jdf.queryExecution().executedPlan().treeString()
+    lines = plan.splitlines()
+    at = next(k for k, line in enumerate(lines) if "MapInArrow" in line)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    below = []
+    for line in lines[at + 1:]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            break
+        below.append(line)
+    assert below and not any("Exchange" in line for line in below)
