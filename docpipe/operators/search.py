@@ -10,9 +10,11 @@ stored parts one after another against it, scoring with matrix products and keep
 the best k rows per query. Only those rows are shuffled, by query row, and ranked.
 The corpus vectors never pass through an exchange, and no query goes through the driver.
 
-Search by cells cuts the corpus rows of the probed cells into blocks by a hash of id
-and vector, and the queries into parts; every block meets every part in one task.
-Query-row pairs are never materialised.
+Search by cells joins the stored corpus, partitioned by cell, with the probed cells
+(at most as many as the index has), so that dynamic partition pruning reads the
+probed cells' files only; no list of cells passes through the driver. Their rows are
+cut into blocks by a hash of id and vector, and the queries into parts; every block
+meets every part in one task. Query-row pairs are never materialised.
 """
 
 from itertools import chain, groupby
@@ -96,13 +98,19 @@ def _search(corpus, queries, top_k, id_col, payload, vector, block_rows, centroi
         return _ranked(_in_place(rows, queries, id_col, vector, block_rows), queries, id_col, rows, payload)
     else:
         queries = queries.withColumn("cell", F.explode("cells"))
-        asked = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # as many as centroids
-        rows = rows.where(F.col("cell").isin(sorted(asked)))
-        sizes = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        cut_up = F.broadcast(spark.createDataFrame(
-            [(c, -(-slots * n // sum(sizes.values())), -(-asked[c] // block_rows)) for c, n in sizes.items()],
-            "cell int, blocks int, parts int"))
-        queries, met = queries.join(cut_up, "cell"), rows.select(id_col, vector, "cell").join(cut_up, "cell")
+        # At most as many rows as the index has cells: broadcast, and the join on the
+        # partition column prunes the stored corpus to the probed cells at run time.
+        probed = F.broadcast(queries.select(F.col("cell").cast(rows.schema["cell"].dataType).alias("cell")).distinct())
+        rows = rows.join(probed, "cell")
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
+        asked = queries.groupBy(F.col("cell").cast(rows.schema["cell"].dataType).alias("cell")).agg(F.count("*").alias("q"))
+        everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        cut_up = F.broadcast(sizes.join(asked, "cell").select(
+            F.col("cell").cast("int").alias("cell"),
+            F.ceil(F.lit(slots) * F.col("n") / F.sum("n").over(everything)).cast("int").alias("blocks"),
+            F.ceil(F.col("q") / F.lit(block_rows)).cast("int").alias("parts")))
+        queries = queries.withColumn("cell", F.col("cell").cast("int")).join(cut_up, "cell")
+        met = rows.select(id_col, vector, F.col("cell").cast("int").alias("cell")).join(cut_up, "cell")
 
     columns = ["cell", "block", "part", "side"]
     held = queries.select(
