@@ -33,8 +33,8 @@ from docpipe.llm.common import store
 
 MIN_COUNT = 10
 TOP = 2000
-SAMPLE_RATE = 0.05     # share of pieces in the sample
-LOWERED = 0.8          # sample support: LOWERED * MIN_COUNT * SAMPLE_RATE occurrences
+SAMPLE_RATE = 0.1      # share of pieces in the sample
+LOWERED = 0.5          # sample support: LOWERED * MIN_COUNT * SAMPLE_RATE occurrences, at least 1
 FILTER_BITS = 1 << 24  # map-side membership bitmap (fixed size)
 SALTS = 64             # parts of a lang ranked apart before the final top TOP
 PIECE = r"[.,;:!?\x{0A}-\x{0D}]"
@@ -53,10 +53,15 @@ def word_pieces(docs):
 
 
 def grams(pieces, k):
-    """(lang, phrase, parts): every k-word phrase; parts are its words."""
-    starts = F.sequence(F.lit(0), F.size("words") - k)
-    g = pieces.where(F.size("words") >= k).select("lang", F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, k))).alias("g"))
-    return g.select("lang", F.array_join("g", " ").alias("phrase"), "g")
+    """(lang, phrase, left, right): every k-word phrase, with its first and last k-1 words."""
+    w = F.col("words")
+    shifted = [F.slice(w, i + 1, F.size(w) - k + 1) for i in range(k)]
+    g = pieces.where(F.size("words") >= k).select("lang", F.explode(F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])).alias("g"))
+    parts = [F.col(f"g.w{i}") for i in range(k)]
+    if k == 1:
+        return g.select("lang", parts[0].alias("phrase"), parts[0].alias("left"), parts[0].alias("right"))
+    return g.select("lang", F.concat_ws(" ", *parts).alias("phrase"), F.concat_ws(" ", *parts[:-1]).alias("left"),
+                    F.concat_ws(" ", *parts[1:]).alias("right"))
 
 
 def _slot(*columns):
@@ -78,27 +83,27 @@ def flagged(df, bits, key, name):
     return held.withColumn(name, hit).drop("_s", "_w", "_b")
 
 
-def _count(occurrences):
-    return occurrences.groupBy("lang", "phrase", "left", "right").agg(F.count("*").alias("f"))
+def _sides(counts, k):
+    """(lang, phrase, f) with its first and last k-1 words, taken from the phrase."""
+    words = F.split("phrase", " ")
+    return counts.select("lang", "phrase", F.array_join(F.slice(words, 1, k - 1), " ").alias("left"),
+                         F.array_join(F.slice(words, 2, k - 1), " ").alias("right"), "f")
 
 
-def _parts(g, k):
-    if k == 2:
-        return g.select("lang", "phrase", F.col("g")[0].alias("left"), F.col("g")[1].alias("right"))
-    return g.select("lang", "phrase", F.concat_ws(" ", F.col("g")[0], F.col("g")[1]).alias("left"),
-                    F.concat_ws(" ", F.col("g")[1], F.col("g")[2]).alias("right"))
+def count_border(pieces, k, inside, new=None, min_count=MIN_COUNT):
+    """Exact counts (lang, phrase, left, right, f), f >= min_count, of k-word phrases whose
+    two (k-1)-word parts are in `inside` (lang, phrase) and, if `new` is given, one of them in `new`.
 
-
-def count_border(pieces, k, inside, new=None):
-    """Exact counts (lang, phrase, left, right, f) of k-word phrases whose two (k-1)-word parts
-    are in `inside` (lang, phrase) and, if `new` is given, one of them in `new`."""
-    occ = _parts(grams(pieces, k), k)
+    Occurrences are counted by (lang, phrase) alone, combined on the map side; the parts
+    are taken from the phrase again afterwards.
+    """
+    occ = grams(pieces, k)
     bits = bitmap(inside)
     occ = flagged(flagged(occ, bits, "left", "_l"), bits, "right", "_r").where("_l and _r")
     if new is not None:
         fresh = bitmap(new)
         occ = flagged(flagged(occ, fresh, "left", "_nl"), fresh, "right", "_nr").where("_nl or _nr")
-    counts = _count(occ.select("lang", "phrase", "left", "right"))
+    counts = _sides(occ.groupBy("lang", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= min_count), k)
     sides = inside.select("lang", "phrase")
     counts = counts.join(sides.withColumnRenamed("phrase", "left"), ["lang", "left"], "left_semi")
     counts = counts.join(sides.withColumnRenamed("phrase", "right"), ["lang", "right"], "left_semi")
@@ -111,29 +116,32 @@ def count_border(pieces, k, inside, new=None):
 
 
 def frequent_phrases(pieces, min_count=MIN_COUNT, rate=SAMPLE_RATE, lowered=LOWERED):
-    """(words, bigrams, trigrams, totals): exact counts of all words, of every bigram and
-    trigram with f >= min_count (and more), and n per lang. Also the number of passes."""
+    """(words, bigrams, trigrams, totals, passes): exact counts of every word, bigram and
+    trigram with f >= min_count, n per lang, and the number of full passes for phrases."""
     support = max(1, int(lowered * min_count * rate))
     sample = pieces.where(F.col("pick") < rate)
-    words = store(grams(pieces, 1).groupBy("lang", "phrase").agg(F.count("*").alias("f")), "colloc-words")
+    counted = grams(pieces, 1).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
+    words = store(counted, "colloc-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    words = words.where(F.col("f") >= min_count)
     s1 = store(grams(sample, 1).groupBy("lang", "phrase").count().where(F.col("count") >= support).select("lang", "phrase"), "colloc-s1")
     s2 = store(grams(sample, 2).groupBy("lang", "phrase").count().where(F.col("count") >= support).select("lang", "phrase"), "colloc-s2")
-    bigrams = store(count_border(pieces, 2, s1), "colloc-bigrams")
-    trigrams = store(count_border(pieces, 3, s2), "colloc-trigrams")
+    bigrams = store(count_border(pieces, 2, s1, min_count=min_count), "colloc-bigrams")
+    trigrams = store(count_border(pieces, 3, s2, min_count=min_count), "colloc-trigrams")
     passes = 1
     while True:
-        new1 = store(words.where(F.col("f") >= min_count).select("lang", "phrase").join(s1, ["lang", "phrase"], "left_anti"), "colloc-new1")
-        new2 = store(bigrams.where(F.col("f") >= min_count).select("lang", "phrase").join(s2, ["lang", "phrase"], "left_anti"), "colloc-new2")
-        if new1.isEmpty() and new2.isEmpty():
+        new1 = store(words.select("lang", "phrase").join(s1, ["lang", "phrase"], "left_anti"), "colloc-new1")
+        new2 = store(bigrams.select("lang", "phrase").join(s2, ["lang", "phrase"], "left_anti"), "colloc-new2")
+        more1, more2 = not new1.isEmpty(), not new2.isEmpty()
+        if not (more1 or more2):
             break
         passes += 1
         s1 = store(s1.unionByName(new1), "colloc-s1")
         s2 = store(s2.unionByName(new2), "colloc-s2")
-        if not new1.isEmpty():
-            bigrams = store(bigrams.unionByName(count_border(pieces, 2, s1, new1)).dropDuplicates(["lang", "phrase"]), "colloc-bigrams")
-        if not new2.isEmpty():
-            trigrams = store(trigrams.unionByName(count_border(pieces, 3, s2, new2)).dropDuplicates(["lang", "phrase"]), "colloc-trigrams")
+        if more1:
+            bigrams = store(bigrams.unionByName(count_border(pieces, 2, s1, new1, min_count)).dropDuplicates(["lang", "phrase"]), "colloc-bigrams")
+        if more2:
+            trigrams = store(trigrams.unionByName(count_border(pieces, 3, s2, new2, min_count)).dropDuplicates(["lang", "phrase"]), "colloc-trigrams")
     return words, bigrams, trigrams, totals, passes
 
 
@@ -148,12 +156,12 @@ def collocations(docs, min_count=MIN_COUNT, top=TOP, rate=SAMPLE_RATE, lowered=L
     words, bigrams, trigrams, totals, _ = frequent_phrases(pieces, min_count, rate, lowered)
     one = words.select("lang", F.col("phrase").alias("_p"), F.col("f").alias("_f"))
     two = bigrams.select("lang", F.col("phrase").alias("_p"), F.col("f").alias("_f"))
-    tri = trigrams.where(F.col("f") >= min_count)
+    tri = trigrams
 
     def counted(df, table, key, name):
         return df.join(table.withColumnRenamed("_p", key).withColumnRenamed("_f", name), ["lang", key])
 
-    bi = bigrams.where(F.col("f") >= min_count).select("lang", "phrase", F.col("f").alias("a"), "left", "right")
+    bi = bigrams.select("lang", "phrase", F.col("f").alias("a"), "left", "right")
     bi = counted(counted(bi, one, "left", "l"), one, "right", "r").withColumn("k", F.lit(1))
     cover = tri.select("lang", F.col("f").alias("_t"), F.explode(F.array("left", "right")).alias("phrase"))
     covered = bi.join(cover, ["lang", "phrase"]).where(100 * F.col("_t") >= 50 * F.col("a")).select("lang", "phrase").distinct()
