@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docpipe.functions import tokens as K
 from docpipe.functions import vectors as V
@@ -15,6 +16,7 @@ from docpipe.sources import events as E
 from docpipe.sources.state import BatchFolder, SeenPages
 from docpipe.sources.tables import document_pages, documents, page_snapshots, read_table
 from docpipe.streaming import jobs
+from docpipe.streaming.cell_table import CellTable, cell_table_query
 
 CRAWLED_AT = 1706659200  # 2024-01-31 00:00 UTC
 QUERIES = {}
@@ -636,3 +638,24 @@ def stream_page_chunks(spark, sf):
     jobs.chunk_query(pages, f"{out}/chunks", f"{out}/c2", created_at=F.lit(0)).awaitTermination()
     rows = BatchFolder(f"{out}/chunks", jobs.CHUNK_TABLE).read(spark)
     return rows.drop("version", "batch_id")
+
+
+@query
+def stream_vector_table(spark, sf):
+    """The stored cell table after two runs of its stream: every vector as page vec_id // 4,
+    then a revision of every third page (vectors reversed, so they move to other cells,
+    and one chunk fewer)."""
+    vectors = read_table(spark, sf, "embeddings").where("embedding is not null")
+    centroids = _label_cells(vectors)
+    out = scratch_dir(spark, "vector-table")
+    page = F.floor(F.col("vec_id") / 4).cast("bigint")
+    first = vectors.select("vec_id", page.alias("page"), F.lit(1).cast("bigint").alias("version"), "embedding")
+    revised = vectors.where((page % 3 == 0) & (F.col("vec_id") % 4 != 3)).select(
+        "vec_id", page.alias("page"), F.lit(2).cast("bigint").alias("version"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    table = CellTable(f"{out}/table", T.StructType([*first.schema, T.StructField("cell", T.IntegerType())]), key="vec_id", url="page")
+    for run in (first, revised):
+        run.write.mode("append").parquet(f"{out}/source")
+        stream = index.assign_cells(spark.readStream.schema(first.schema).parquet(f"{out}/source"), centroids)
+        cell_table_query(stream, table, f"{out}/checkpoint").awaitTermination()
+    return table.read(spark).select("vec_id", "page", "version", "cell")
+

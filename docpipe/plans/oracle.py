@@ -360,6 +360,12 @@ ORACLE = {
         GROUP BY 1, 2""",
     "exact_search": _exact(5),
     "exact_search_k50": _exact(50),
+    "stream_vector_table": f"""WITH {_LABELS}, flipped AS (
+          SELECT vec_id, cell FROM label_scores QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY -s DESC, cell) = 1)
+        SELECT e.vec_id, e.vec_id // 4 AS page, CAST(CASE WHEN (e.vec_id // 4) % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version,
+          CASE WHEN (e.vec_id // 4) % 3 = 0 THEN f.cell ELSE l.cell END AS cell
+        FROM embeddings e JOIN label_cell l USING (vec_id) JOIN flipped f USING (vec_id)
+        WHERE e.embedding IS NOT NULL AND NOT ((e.vec_id // 4) % 3 = 0 AND e.vec_id % 4 = 3)""",
     "assign_cells": f"WITH {_LABELS} SELECT vec_id, label, cell FROM label_cell",
     "cell_sizes": f"WITH {_LABELS} SELECT cell, count(*) AS n FROM label_cell GROUP BY 1",
     "kmeans_check": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS misplaced FROM embeddings",
