@@ -13,6 +13,7 @@ from docpipe.operators.ordered import epoch_micros
 from docpipe.schemas import BUCKETS, PAGE_EVENT
 from docpipe.session import materialize, scratch_dir
 from docpipe.sources import events as E
+from docpipe.sources.bucketed_state import BucketedSeen
 from docpipe.sources.state import BatchFolder, SeenPages
 from docpipe.sources.tables import document_pages, documents, page_snapshots, read_table
 from docpipe.streaming import jobs
@@ -659,3 +660,28 @@ def stream_vector_table(spark, sf):
         cell_table_query(stream, table, f"{out}/checkpoint").awaitTermination()
     return table.read(spark).select("vec_id", "page", "version", "cell")
 
+
+@query
+def stream_recrawl(spark, sf):
+    """Two crawls through the change stream over one bucketed state, the second after a restart.
+
+    Each crawl arrives as four files, one batch each; the state folds every three batches.
+    In the second crawl the pages whose page_id % 4 is 0 or 1 carry the html of their
+    partner page_id ^ 1. Result: every page handed on, with the crawl (1, 2) that did so.
+    """
+    out = scratch_dir(spark, "recrawl")
+    pages = read_table(spark, sf, "pages")
+    partner = pages.select(F.col("page_id").alias("other"), F.col("html").alias("other_html"))
+    swapped = pages.join(partner, (F.col("other") == F.col("page_id").bitwiseXOR(F.lit(1))) & (F.col("page_id") % 4 < 2), "left").select(
+        "url", F.coalesce("other_html", "html").alias("html"))
+    seen = BucketedSeen(f"{out}/seen", buckets=8, fold_every=3)
+    crawls = [(pages.select("url", "html"), CRAWLED_AT), (swapped, CRAWLED_AT + 86400)]
+    for snapshot, at in crawls:
+        (snapshot.select("url", "html", F.timestamp_seconds(F.lit(at)).alias("crawled_at"))
+         .repartition(4, "url").write.mode("append").parquet(f"{out}/source"))
+        stream = jobs.snapshot_stream(spark, f"{out}/source", max_files=1)
+        jobs.change_query(stream, f"{out}/pages", seen, f"{out}/checkpoint").awaitTermination()
+    handed = BatchFolder(f"{out}/pages", jobs.PAGE_TABLE).read(spark)
+    crawl = F.when(F.col("crawled_at") == F.timestamp_seconds(F.lit(CRAWLED_AT)), 1).otherwise(2).cast("bigint")
+    return handed.select("url", "content_hash", crawl.alias("crawl"))
+

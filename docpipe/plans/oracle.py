@@ -441,6 +441,15 @@ ORACLE = {
         count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type FROM events)
         WHERE start + INTERVAL '1 day' <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '24 hours' FROM events)
         GROUP BY start, event_type""",
+    "stream_recrawl": f"""WITH {_PAGES},
+        first AS (SELECT url, content_hash FROM extracted WHERE text <> ''),
+        swapped AS (
+          SELECT p.url, coalesce(q.content_hash, p.content_hash) AS content_hash, coalesce(q.text, p.text) AS text
+          FROM extracted p LEFT JOIN extracted q ON q.page_id = xor(p.page_id, 1) AND p.page_id % 4 < 2)
+        SELECT url, content_hash, CAST(1 AS BIGINT) AS crawl FROM first
+        UNION ALL
+        SELECT s.url, s.content_hash, CAST(2 AS BIGINT) FROM swapped s LEFT JOIN first f USING (url)
+        WHERE s.text <> '' AND s.content_hash IS DISTINCT FROM f.content_hash""",
     "stream_page_chunks": f"""WITH {_PAGE_CHUNKS} SELECT chunk_id, url, title, chunk_index, total_chunks, text,
         content_hash, created_at FROM chunk""",
 }
