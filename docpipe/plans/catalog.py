@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from docpipe.functions import tokens as K
 from docpipe.functions import vectors as V
 from docpipe.functions.text import iso_utc
-from docpipe.operators import alerts, batches, changes, chunks, embed, extract, frontier, index, quality, search, upsert
+from docpipe.operators import alerts, batches, changes, chunks, embed, extract, frontier, index, quality, search, sketches, upsert
 from docpipe.operators import metrics as M
 from docpipe.operators.ordered import epoch_micros
 from docpipe.schemas import BUCKETS, PAGE_EVENT
@@ -455,6 +455,24 @@ def latency_quantiles(spark, sf):
     return found.select("event_type", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
+@query
+def latency_sketch(spark, sf):
+    """Quantiles per event type from KLL sketches per 10 minutes, merged over the whole
+    range and per day; each states whether its exact rank lies within the sketch's bound."""
+    events = _events(spark, sf)
+    stored = materialize(sketches.bucket_sketches(events, ["event_type"], "ts", "value"), "sketches")
+    whole = sketches.merged(stored, ["event_type"]).withColumn("day", F.lit(None).cast("date"))
+    daily = sketches.merged(stored.withColumn("day", F.to_date("start")), ["event_type", "day"])
+    found = []
+    for part, keys in ((whole, ["event_type", "day"]), (daily, ["event_type", "day"])):
+        estimates = sketches.quantiles(part, keys, (0.5, 0.9, 0.99))
+        samples = events.withColumn("day", F.to_date("ts")) if part is daily else events.withColumn("day", F.lit(None).cast("date"))
+        found.append(sketches.rank_errors(estimates, samples, keys, "value"))
+    bound = sketches.RANK_ERROR[sketches.K]
+    both = found[0].unionByName(found[1])
+    return both.select("event_type", F.col("day").cast("string").alias("day"), "q", "n", (F.col("error") <= bound).alias("within"))
+
+
 @query
 def chunk_size_histogram(spark, sf):
     return _rounded(M.histogram(_document_chunks(spark, sf), "n_tokens", BUCKETS["chunker_chunk_size_tokens"]))

@@ -393,6 +393,10 @@ ORACLE = {
     "requests_by_status": """SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
         count(*) AS n FROM events GROUP BY 1""",
     "latency_histogram": f"WITH {_SECONDS} {_histogram('seconds', 'v', _LATENCY, ['event_type'])}",
+    "latency_sketch": """WITH groups AS (
+          SELECT event_type, NULL::VARCHAR AS day, count(value) AS n FROM events GROUP BY 1
+          UNION ALL SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR), count(value) FROM events GROUP BY 1, 2)
+        SELECT event_type, day, q, n, true AS within FROM groups, (VALUES (0.5), (0.9), (0.99)) t(q) WHERE n > 0""",
     "latency_quantiles": f"""WITH {_SECONDS}, hist AS ({_histogram('seconds', 'v', _LATENCY, ['event_type'])}),
         marked AS (SELECT *, lag(le) OVER w AS low, coalesce(lag(n) OVER w, 0) AS below,
           max(n) OVER (PARTITION BY event_type) AS total_n FROM hist WINDOW w AS (PARTITION BY event_type ORDER BY le))
