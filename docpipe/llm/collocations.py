@@ -4,14 +4,14 @@ Texts are lower-cased in A-Z, cut into pieces at [.,;:!?\\x0A-\\x0D] and pieces
 words [^\\x20\\x09]+; a phrase is 2 or 3 consecutive words of a piece. Everything is per
 lang (null: `und`). A candidate is a phrase with a = f(phrase) >= MIN_COUNT.
 
-Toivonen: phrases frequent in a sample of the pieces (SAMPLE_RATE, by a hash of the
-piece; support lowered to LOWERED of its share of MIN_COUNT) form S, closed under
-sub-phrases. One pass over all pieces counts, exactly, every word, every bigram
-whose words are in S (S and its negative border), and every trigram whose two
-bigrams are in S. A phrase of the border that is frequent in the full data is a
-failure of the sample; it joins S, and a further pass counts the phrases that became
-border through it, until no failure is left. Then every frequent phrase has been
-counted, whatever the sample held. Membership is tested on the map side with a
+Toivonen: bigrams frequent in a sample of the pieces (SAMPLE_RATE, by a hash of the
+piece; support lowered to LOWERED of its share of MIN_COUNT) form S. Words are
+counted exactly (their counts enter every score), so the frequent words are known.
+The full pass counts, exactly, every bigram of two frequent words (S and its negative
+border) and every trigram whose two bigrams are in S (S's trigrams and their border).
+A frequent bigram outside S is a failure of the sample; it joins S, and a further pass
+counts the trigrams that became border through it, until no failure is left. Then
+every frequent phrase has been counted, whatever the sample held. Membership is tested on the map side with a
 bitmap of hashed phrases of fixed size before the counts are combined, and exactly
 by a join after.
 
@@ -117,31 +117,32 @@ def count_border(pieces, k, inside, new=None, min_count=MIN_COUNT):
 
 def frequent_phrases(pieces, min_count=MIN_COUNT, rate=SAMPLE_RATE, lowered=LOWERED):
     """(words, bigrams, trigrams, totals, passes): exact counts of every word, bigram and
-    trigram with f >= min_count, n per lang, and the number of full passes for phrases."""
+    trigram with f >= min_count, n per lang, and the number of full passes for trigrams.
+
+    Words are counted exactly in one pass (their counts enter every score), so the
+    frequent words are known and a bigram's border needs no sample. The sample proposes
+    bigrams; trigrams whose two bigrams it proposed are counted with the bigrams.
+    A frequent bigram the sample missed is a failure: it joins the proposals and the
+    trigrams that became border through it are counted in a further pass.
+    """
     support = max(1, int(lowered * min_count * rate))
     sample = pieces.where(F.col("pick") < rate)
     counted = grams(pieces, 1).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
     words = store(counted, "colloc-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     words = words.where(F.col("f") >= min_count)
-    s1 = store(grams(sample, 1).groupBy("lang", "phrase").count().where(F.col("count") >= support).select("lang", "phrase"), "colloc-s1")
+    frequent = words.select("lang", "phrase")
     s2 = store(grams(sample, 2).groupBy("lang", "phrase").count().where(F.col("count") >= support).select("lang", "phrase"), "colloc-s2")
-    bigrams = store(count_border(pieces, 2, s1, min_count=min_count), "colloc-bigrams")
+    bigrams = store(count_border(pieces, 2, frequent, min_count=min_count), "colloc-bigrams")
     trigrams = store(count_border(pieces, 3, s2, min_count=min_count), "colloc-trigrams")
     passes = 1
     while True:
-        new1 = store(words.select("lang", "phrase").join(s1, ["lang", "phrase"], "left_anti"), "colloc-new1")
         new2 = store(bigrams.select("lang", "phrase").join(s2, ["lang", "phrase"], "left_anti"), "colloc-new2")
-        more1, more2 = not new1.isEmpty(), not new2.isEmpty()
-        if not (more1 or more2):
+        if new2.isEmpty():
             break
         passes += 1
-        s1 = store(s1.unionByName(new1), "colloc-s1")
         s2 = store(s2.unionByName(new2), "colloc-s2")
-        if more1:
-            bigrams = store(bigrams.unionByName(count_border(pieces, 2, s1, new1, min_count)).dropDuplicates(["lang", "phrase"]), "colloc-bigrams")
-        if more2:
-            trigrams = store(trigrams.unionByName(count_border(pieces, 3, s2, new2, min_count)).dropDuplicates(["lang", "phrase"]), "colloc-trigrams")
+        trigrams = store(trigrams.unionByName(count_border(pieces, 3, s2, new2, min_count)).dropDuplicates(["lang", "phrase"]), "colloc-trigrams")
     return words, bigrams, trigrams, totals, passes
 
 
