@@ -164,15 +164,15 @@ def gauge_latest(samples, series, ts="ts", value="value", tie=()):
     )
 
 
-def rolling_throughput(events, series, seconds=DEFAULTS.throughput_window_seconds, ts="ts"):
+def rolling_throughput(events, series, seconds=DEFAULTS.throughput_window_seconds, ts="ts", segments=None):
     """Events in the `seconds` up to each event time, both ends included, and the rate.
 
-    One row per series and distinct time. Times are counted first, then every
-    span of `seconds` is its own window group that also sees the span before it,
-    so a group never exceeds two spans however long a series runs. Inside a group
-    each time adds its count and takes it back once it has left the window; one
-    running sum of these steps gives the answer in linear time, where a sliding
-    frame would add up the whole window again for every row.
+    One row per series and distinct time. Times are counted first; then each time
+    t becomes a row of its count and a probe at t - seconds with none, and both are put
+    in one order per series by range cuts (a hot series spans many cuts). The running
+    sum of counts in that order is, at t, the events up to t, and at the probe, which
+    sorts before an equal time, the events before t - seconds; their difference is the
+    window. No group per series and span is formed, and the work is linear in the rows.
     """
     width = seconds * 1_000_000
     micros = epoch_micros(F.col(ts), events.schema[ts].dataType)
@@ -180,19 +180,19 @@ def rolling_throughput(events, series, seconds=DEFAULTS.throughput_window_second
         events.select(*series, F.col(ts).alias("ts"), micros.alias("_us"))
         .groupBy(*series, "ts", "_us").agg(F.count("*").alias("_n"))
     )
-    us, n = F.col("_us"), F.col("_n")
-    span = F.floor(us / F.lit(width))
-    steps = F.array(
-        F.struct(span.alias("span"), us.alias("at"), n.alias("step"), F.lit(True).alias("own")),
-        F.struct((span + 1).alias("span"), us.alias("at"), n.alias("step"), F.lit(False).alias("own")),
-        F.struct((span + 1).alias("span"), (us + width + 1).alias("at"), (-n).alias("step"), F.lit(False).alias("own")),
-    )
-    placed = counted.select(*series, "ts", F.explode(steps).alias("_s")).select(*series, "ts", "_s.*")
-    so_far = Window.partitionBy(*series, "span").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.withColumn("n", F.sum("step").over(so_far)).where("own")
-        .select(*series, "ts", "n", (F.col("n") / F.lit(float(seconds))).alias("per_second"))
-    )
+    data = counted.select(*series, "ts", F.col("_us").alias("_k"), F.lit(1).alias("_kind"), "_n")
+    probes = counted.select(*series, "ts", (F.col("_us") - F.lit(width)).alias("_k"), F.lit(0).alias("_kind"),
+                            F.lit(0).cast("bigint").alias("_n"))
+    summed = Ordered(data.unionByName(probes), list(series), ["_k", "_kind"], segments).running_sum("_n", "_s")
+    upto = summed.where("_kind = 1").select(*series, "ts", F.col("_s").alias("_upto"))
+    before = summed.where("_kind = 0").select(*[F.col(c).alias(f"_b_{c}") for c in series], F.col("ts").alias("_b_ts"),
+                                              F.col("_s").alias("_before"))
+    same = F.col("ts") == F.col("_b_ts")
+    for c in series:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    n = (F.col("_upto") - F.col("_before")).alias("n")
+    joined = upto.join(before, same).select(*series, "ts", n)
+    return joined.select(*series, "ts", "n", (F.col("n") / F.lit(float(seconds))).alias("per_second"))
 
 
 def windowed_counts(events, window, keys=(), slide=None, ts="ts"):

@@ -75,3 +75,16 @@ class Ordered:
         )
         joined = self._join_carry(rows, carry)
         return joined.select(*self.df.columns, (F.col("_n") + F.coalesce("_carry", F.lit(0))).alias(name))
+
+    def running_sum(self, column, name="running_sum"):
+        """Add the sum of `column` over the rows of the key up to this one, itself included."""
+        upto = self.inner.rowsBetween(Window.unboundedPreceding, 0)
+        rows = self.cut.withColumn("_n", F.sum(column).over(upto))
+        sizes = self.cut.groupBy(*self.keys, "_seg").agg(F.sum(column).alias("_rows"))
+        carry = (
+            sizes.withColumn("_carry", F.sum("_rows").over(self.before))
+            .where(F.col("_carry").isNotNull()).drop("_rows")
+        )
+        joined = self._join_carry(rows, carry)
+        return joined.select(*self.df.columns, (F.coalesce("_n", F.lit(0)) + F.coalesce("_carry", F.lit(0))).alias(name))
+

@@ -90,8 +90,22 @@ def test_rolling_throughput_equals_brute_force(spark):
 def test_rolling_throughput_adds_each_time_once(spark):
     """A sliding frame would cost the square of the rows in a busy minute."""
     df = samples(spark, [("a", 0, 1)])
-    plan = M.rolling_throughput(df, ["s"], 60)._jdf.queryExecution().executedPlan().toString()
-    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
+    plan = M.rolling_throughput(df, ["s"], 60)._jdf.queryExecution().executedPlan().treeString()
+    assert "RowFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
+
+
+def test_rolling_throughput_spreads_a_hot_series(spark):
+    """The running counts of one series are carried across range cuts, none holds the series."""
+    import random
+
+    rng = random.Random(8)
+    ticks = [rng.randrange(0, 200_000) for _ in range(3000)]  # hundredths of a second
+    df = samples(spark, [("hot" if k % 4 else None, t / 100, 1) for k, t in enumerate(ticks)], "timestamp_ntz")
+    got = {(r.s, round((r.ts - T0).total_seconds() * 100)): r.n for r in M.rolling_throughput(df, ["s"], 60, segments=9).collect()}
+    by = {}
+    for k, t in enumerate(ticks):
+        by.setdefault("hot" if k % 4 else None, []).append(t)
+    assert got == {(s, t): sum(1 for u in ts if t - 6000 <= u <= t) for s, ts in by.items() for t in set(ts)}
 
 
 def test_windowed_counts(spark, rows):
