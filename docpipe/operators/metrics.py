@@ -148,6 +148,54 @@ def series_ratio(numerator, denominator, on, value="rate"):
     return joined.withColumn("ratio", F.col("_part") / F.nullif(F.col("_whole"), F.lit(0.0))).drop("_part", "_whole")
 
 
+def vector_match(left, right, labels, at=(), on=None, ignoring=(), group=None, value="value", op="/"):
+    """A binary operation between two instant-vector tables, with the label matching of
+    the rule language: rows match on `on` labels if given, else on all `labels` but
+    `ignoring`, and at equal `at` (evaluation time) columns.
+
+    group: None for one-to-one (both sides unique per match), "left" for many left rows
+    per right row (group_left), "right" the other way. A match key that is repeated on a
+    side that must be unique fails the query with an error naming it, as the rule
+    language does; keys without a partner give no row. Result labels: one-to-one keeps
+    the `on` labels (or all but `ignoring`), a grouped match keeps the labels of the many
+    side. Division follows floating point: x / 0 is an infinity, 0 / 0 is NaN.
+    """
+    key = [*at, *(list(on) if on is not None else [c for c in labels if c not in ignoring])]
+    unique = {None: ("l", "r"), "left": ("r",), "right": ("l",)}[group]
+
+    def side(df, name):
+        if name not in unique:  # the many side is not counted, so a hot key is not gathered
+            return df.withColumn(f"_{name}_n", F.lit(1))
+        counted = df.withColumn(f"_{name}_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+        if name in unique:
+            counted = counted.withColumn(f"_{name}_n", F.when(
+                F.col(f"_{name}_n") > 1,
+                F.raise_error(F.concat(F.lit(f"many-to-many matching: repeated match on the {'left' if name == 'l' else 'right'} side for "),
+                                       F.to_json(F.struct(*key))))).otherwise(F.col(f"_{name}_n")))
+        return counted
+
+    kept = key if group is None else [*at, *labels]
+    many = right if group == "right" else left
+    other = left if group == "right" else right
+    a = side(many, "r" if group == "right" else "l").alias("a")
+    b = side(other, "l" if group == "right" else "r").alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    joined = a.join(b, condition)
+    x, y = (F.col(f"b.{value}"), F.col(f"a.{value}")) if group == "right" else (F.col(f"a.{value}"), F.col(f"b.{value}"))
+    x, y = x.cast("double"), y.cast("double")
+    if op == "/":
+        result = F.when(y != 0, x / y).when(x == 0, F.lit(float("nan"))).when(x > 0, F.lit(float("inf"))).when(
+            x < 0, F.lit(float("-inf")))
+    else:
+        result = {"+": x + y, "-": x - y, "*": x * y}[op]
+    checks = [F.col(f"{s}._{n}_n") for s, n in (("a", "r" if group == "right" else "l"), ("b", "l" if group == "right" else "r"))]
+    guarded = F.when(checks[0].isNotNull() & checks[1].isNotNull(), result)
+    return joined.select(*[F.col(f"a.{k}").alias(k) for k in dict.fromkeys(kept)], guarded.alias(value))
+
+
 # --- gauges -------------------------------------------------------------------
 
 def consumer_lag(offsets, by=("grp", "topic")):

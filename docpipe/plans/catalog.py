@@ -455,6 +455,35 @@ def latency_quantiles(spark, sf):
     return found.select("event_type", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
+def _by_component(spark, sf):
+    """Events per 6-hour window as counts by component (user_id % 3) and event type."""
+    events = _events(spark, sf).select(
+        F.window("ts", "6 hours")["start"].alias("start"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("component"),
+        "event_type")
+    return _us(events, "start")
+
+
+@query
+def label_ratio(spark, sf):
+    """Share of each event type in its component: many types per component, matched on(component)."""
+    rows = _by_component(spark, sf)
+    parts = rows.groupBy("start_us", "component", "event_type").agg(F.count("*").alias("value"))
+    wholes = rows.groupBy("start_us", "component").agg(F.count("*").alias("value"))
+    share = M.vector_match(parts, wholes, ["component", "event_type"], at=["start_us"], on=["component"], group="left")
+    return share.select("start_us", "component", "event_type", F.round("value", 9).alias("share"))
+
+
+@query
+def label_error_ratio(spark, sf):
+    """Errors over all events per component: status='error' on the left, matched ignoring(status)."""
+    rows = _by_component(spark, sf)
+    errors = rows.where("event_type = 'error'").groupBy("start_us", "component").agg(F.count("*").alias("value")).withColumn(
+        "status", F.lit("error"))
+    totals = rows.groupBy("start_us", "component").agg(F.count("*").alias("value")).withColumn("status", F.lit("any"))
+    found = M.vector_match(errors, totals, ["component", "status"], at=["start_us"], ignoring=["status"])
+    return found.select("start_us", "component", F.round("value", 9).alias("ratio"))
+
+
 @query
 def latency_sketch(spark, sf):
     """Quantiles per event type from KLL sketches per 10 minutes, merged over the whole

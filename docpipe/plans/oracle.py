@@ -393,6 +393,16 @@ ORACLE = {
     "requests_by_status": """SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
         count(*) AS n FROM events GROUP BY 1""",
     "latency_histogram": f"WITH {_SECONDS} {_histogram('seconds', 'v', _LATENCY, ['event_type'])}",
+    "label_ratio": """WITH r AS (
+          SELECT epoch_us(time_bucket(INTERVAL '6 hours', ts)) AS start_us, 'c' || CAST(user_id % 3 AS VARCHAR) AS component, event_type FROM events),
+        p AS (SELECT start_us, component, event_type, count(*) AS v FROM r GROUP BY ALL),
+        w AS (SELECT start_us, component, count(*) AS v FROM r GROUP BY ALL)
+        SELECT start_us, component, event_type, round(p.v / w.v, 9) AS share FROM p JOIN w USING (start_us, component)""",
+    "label_error_ratio": """WITH r AS (
+          SELECT epoch_us(time_bucket(INTERVAL '6 hours', ts)) AS start_us, 'c' || CAST(user_id % 3 AS VARCHAR) AS component, event_type FROM events),
+        e AS (SELECT start_us, component, count(*) AS v FROM r WHERE event_type = 'error' GROUP BY ALL),
+        w AS (SELECT start_us, component, count(*) AS v FROM r GROUP BY ALL)
+        SELECT start_us, component, round(e.v / w.v, 9) AS ratio FROM e JOIN w USING (start_us, component)""",
     "latency_sketch": """WITH groups AS (
           SELECT event_type, NULL::VARCHAR AS day, count(value) AS n FROM events GROUP BY 1
           UNION ALL SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR), count(value) FROM events GROUP BY 1, 2)

@@ -122,3 +122,19 @@ def test_batches_of_32(spark, rows, segments):
 def test_series_key_ignores_label_order(spark):
     df = spark.createDataFrame([({"b": "1", "a": "2"},), ({"a": "2", "b": "1"},)], "labels map<string,string>")
     assert {r.series for r in M.as_series(df).collect()} == {"a=2,b=1"}
+
+
+def test_vector_match_rules(spark):
+    import math
+
+    import pytest
+
+    left = spark.createDataFrame([("a", "x", 2.0), ("a", "y", 0.0), ("b", "x", 1.0), (None, "x", 3.0)], "c string, t string, value double")
+    right = spark.createDataFrame([("a", 4.0), ("b", 0.0), (None, 6.0), ("z", 1.0)], "c string, value double")
+    got = {(r.c, r.t): r.value for r in M.vector_match(left, right, ["c", "t"], on=["c"], group="left").collect()}
+    assert got[("a", "x")] == 0.5 and got[("a", "y")] == 0.0 and got[(None, "x")] == 0.5
+    assert math.isinf(got[("b", "x")]) and len(got) == 4
+    nan = M.vector_match(spark.createDataFrame([("b", 0.0)], "c string, value double"), right, ["c"]).collect()
+    assert math.isnan(nan[0].value)
+    with pytest.raises(Exception, match="many-to-many"):
+        M.vector_match(right, left, ["c", "t"], on=["c"]).collect()
