@@ -80,6 +80,33 @@ def crawl_outcomes(pages, seen):
     return known.withColumn("outcome", outcome).drop("seen_hash")
 
 
+def _counters():
+    o = F.col("outcome")
+    return [
+        F.count(F.lit(1)).alias("urls_found"),
+        F.count_if(o != "fetch_error").alias("crawled"),
+        F.count_if(o == "emitted").alias("emitted"),
+        F.count_if(o.isin("empty", "unchanged")).alias("skipped"),
+        F.count_if(o == "fetch_error").alias("errored_fetch"),
+        F.count_if(o == "parse_error").alias("errored_parse"),
+    ]
+
+
+def observed_report(outcomes, write):
+    """The run counters of `crawl_report`, gathered while `write` stores the emitted pages.
+
+    The counters are observed on the rows as they stream to the writer, before the
+    filter that keeps emitted pages, so the run is read once. `write` takes a DataFrame
+    and runs one action on it; the counters are a dict, available once it returns.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation("crawl")
+    watched = outcomes.observe(seen, *_counters())
+    write(watched.where(F.col("outcome") == "emitted").drop("outcome"))
+    return seen.get
+
+
 def crawl_report(outcomes):
     """The run counters, in one row."""
     o = F.col("outcome")

@@ -173,6 +173,16 @@ def crawl_report(spark, sf):
     return changes.crawl_report(changes.crawl_outcomes(pages, _seen(pages)))
 
 
+@query
+def crawl_report_observed(spark, sf):
+    """crawl_report from the counters observed while the emitted pages are written: one pass."""
+    pages = _crawled(spark, sf)
+    out = scratch_dir(spark, "emitted")
+    counters = changes.observed_report(changes.crawl_outcomes(pages, _seen(pages)), lambda df: df.write.parquet(out))
+    names = ["urls_found", "crawled", "emitted", "skipped", "errored_fetch", "errored_parse"]
+    return spark.createDataFrame([tuple(int(counters[n]) for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
 @query
 def skip_ratio(spark, sf):
     pages = _crawled(spark, sf)

@@ -324,6 +324,10 @@ ORACLE = {
         FROM extracted e JOIN seen s ON e.url = s.url AND content_hash = seen_hash WHERE text <> ''""",
     "page_versions": f"WITH {_VERSIONS} SELECT url, doc_id, content_hash FROM compared WHERE content_hash IS DISTINCT FROM before",
     "crawl_outcomes": f"WITH {_CRAWL} SELECT page_id, url, outcome FROM outcomes",
+    "crawl_report_observed": f"""WITH {_CRAWL} SELECT count(*) AS urls_found, count(*) FILTER (outcome <> 'fetch_error') AS crawled,
+        count(*) FILTER (outcome = 'emitted') AS emitted,
+        count(*) FILTER (outcome IN ('empty', 'unchanged')) AS skipped,
+        count(*) FILTER (outcome = 'fetch_error') AS errored_fetch, CAST(0 AS BIGINT) AS errored_parse FROM outcomes""",
     "crawl_report": f"""WITH {_CRAWL} SELECT count(*) AS urls_found, count(*) FILTER (outcome <> 'fetch_error') AS crawled,
         count(*) FILTER (outcome = 'emitted') AS emitted,
         count(*) FILTER (outcome IN ('empty', 'unchanged')) AS skipped,

@@ -62,3 +62,21 @@ def test_failed_and_empty_pages_are_never_emitted(spark, rows):
     assert rows(changes.changed_pages(pages, seen).select("url")) == [("u4",)]
     outcomes = changes.crawl_outcomes(pages.withColumn("parse_error", F.when(F.col("text").isNotNull(), F.lit(False))), seen)
     assert rows(outcomes.where("outcome = 'emitted'").select("url")) == [("u4",)]
+
+
+def test_observed_counters_equal_the_report_in_one_pass(spark, tmp_path):
+    from docpipe.operators import changes as C
+
+    outcomes = spark.createDataFrame(
+        [(f"u{k}", o) for k, o in enumerate(["emitted", "emitted", "empty", "unchanged", "fetch_error", "parse_error", "emitted"])],
+        "url string, outcome string")
+    written = []
+
+    def write(df):
+        df.write.parquet(str(tmp_path / "out"))
+        written.append(df.columns)
+
+    counters = C.observed_report(outcomes, write)
+    report = C.crawl_report(outcomes).first().asDict()
+    assert {k: int(v) for k, v in counters.items()} == {k: int(v) for k, v in report.items()}
+    assert written == [["url"]] and spark.read.parquet(str(tmp_path / "out")).count() == 3
