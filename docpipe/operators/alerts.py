@@ -7,34 +7,35 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docpipe.operators import metrics as M
-from docpipe.operators.ordered import epoch_micros
+from docpipe.operators.ordered import Ordered, epoch_micros
 
 
-def alert_states(checks, series, hold_seconds, step_seconds, ts="ts", active="active"):
+def alert_states(checks, series, hold_seconds, step_seconds, ts="ts", active="active", segments=None):
     """Add active_since and state (inactive, pending, firing) to rule evaluations.
 
     checks: one row per series and evaluation time with a boolean. A time missing
     for longer than `step_seconds` ends the alert. Evaluations are aggregates on
     a time grid, so a series has one row per grid step however many samples
     went into it.
+
+    A long series is not held in one task: its rows are dealt out by range cuts of
+    (series, time); the row before each one comes with a carry from the cut before,
+    and the start of the current streak is a running maximum of the streak starts
+    so far, carried across cuts by the maximum of each cut.
     """
     us = epoch_micros(F.col(ts), checks.schema[ts].dataType)
-    order = Window.partitionBy(*series).orderBy("_us")
     on = F.coalesce(F.col(active), F.lit(False))
-    rows = (
-        checks.withColumn("_us", us).withColumn("_on", on)
-        .withColumn("_before", F.lag("_on").over(order))
-        .withColumn("_gap", F.col("_us") - F.lag("_us").over(order))
-    )
+    rows = checks.withColumn("_us", us).withColumn("_on", on)
+    rows = Ordered(rows, list(series), ["_us"], segments).previous(["_on", "_us"])
     starts = F.col("_on") & (
-        F.col("_before").isNull() | ~F.col("_before") | (F.col("_gap") > step_seconds * 1_000_000)
+        F.col("prev__on").isNull() | ~F.col("prev__on") | ((F.col("_us") - F.col("prev__us")) > step_seconds * 1_000_000)
     )
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_since", F.max(F.when(starts, F.col("_us"))).over(so_far))
-    rows = rows.withColumn("active_since", F.when(F.col("_on"), F.max(F.when(starts, F.col(ts))).over(so_far)))
-    held = (F.col("_us") - F.col("_since")) >= hold_seconds * 1_000_000
+    rows = rows.withColumn("_start", F.when(starts, F.struct(F.col("_us").alias("us"), F.col(ts).alias("at"))))
+    rows = Ordered(rows, list(series), ["_us"], segments).running_max("_start", "_since")
+    rows = rows.withColumn("active_since", F.when(F.col("_on"), F.col("_since.at")))
+    held = (F.col("_us") - F.col("_since.us")) >= hold_seconds * 1_000_000
     state = F.when(~F.col("_on"), "inactive").when(held, "firing").otherwise("pending")
-    return rows.withColumn("state", state).drop("_us", "_on", "_before", "_gap", "_since")
+    return rows.withColumn("state", state).drop("_us", "_on", "prev__on", "prev__us", "_start", "_since")
 
 
 @dataclass(frozen=True)

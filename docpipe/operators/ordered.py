@@ -88,3 +88,16 @@ class Ordered:
         joined = self._join_carry(rows, carry)
         return joined.select(*self.df.columns, (F.coalesce("_n", F.lit(0)) + F.coalesce("_carry", F.lit(0))).alias(name))
 
+    def running_max(self, column, name="running_max"):
+        """Add the largest value of `column` over the rows of the key up to this one, itself included
+        (nulls ignored; null while there is none)."""
+        upto = self.inner.rowsBetween(Window.unboundedPreceding, 0)
+        rows = self.cut.withColumn("_m", F.max(column).over(upto))
+        tops = self.cut.groupBy(*self.keys, "_seg").agg(F.max(column).alias("_top"))
+        carry = (
+            tops.withColumn("_carry", F.max("_top").over(self.before))
+            .where(F.col("_carry").isNotNull()).drop("_top")
+        )
+        joined = self._join_carry(rows, carry)
+        return joined.select(*self.df.columns, F.greatest("_m", "_carry").alias(name))
+

@@ -31,6 +31,28 @@ def test_zero_hold_fires_at_once(spark):
     assert states(spark, [1, 0], 0) == list("fi")
 
 
+def test_a_long_series_across_range_cuts_equals_a_walk(spark):
+    """The series is cut into many ranges; streak starts and gaps carry across the cuts."""
+    import random
+
+    rng = random.Random(4)
+    active = [rng.random() < 0.8 for _ in range(600)]
+    missing = {k for k in range(600) if rng.random() < 0.03}
+    out = A.alert_states(checks(spark, active, missing), ["series"], 90, 30, segments=13)
+    got = [r.state[0] for r in out.orderBy("ts").collect()]
+    want, since, last = [], None, None
+    for i, a in enumerate(active):
+        if i in missing:
+            continue
+        if not a:
+            since = None
+        elif since is None or last is None or i - last > 1 or not active[last]:
+            since = i
+        last = i
+        want.append("i" if not a else "f" if (i - since) * 30 >= 90 else "p")
+    assert got == want
+
+
 def metric(name, points, **labels):
     return [(T0 + timedelta(seconds=t), name, labels, float(v)) for t, v in points]
 
