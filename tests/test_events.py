@@ -121,3 +121,28 @@ def test_only_one_row_per_key_is_shuffled(spark):
     df = spark.createDataFrame([("c", "u", "h", 1, 0)], SCHEMA)
     plan = upsert.newest_per_key(df)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_untouched_rows_pass_without_a_shuffle(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from docpipe.operators import upsert
+
+    current = spark.range(5000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"),
+                                       F.concat(F.lit("u"), (F.col("id") % 500).cast("string")).alias("url"),
+                                       F.lit("h").alias("content_hash"), F.lit(1).alias("created_at"), F.lit(0).alias("batch_id"))
+    current.write.parquet(str(tmp_path / "current"))
+    stored = spark.read.parquet(str(tmp_path / "current"))
+    incoming = spark.createDataFrame([("n1", "u7", "h2", 2, 1), ("n2", "new", "h3", 2, 1)],
+                                     "chunk_id string, url string, content_hash string, created_at int, batch_id int")
+    maybe, surely = upsert.split_by_filter(stored, upsert.url_filter(incoming.select("url")))
+    assert surely.count() + maybe.count() == 5000 and maybe.where("url = 'u7'").count() == 10
+    assert surely.where("url = 'u7'").count() == 0
+    assert maybe.count() < 100
+    plan = surely._jdf.queryExecution().executedPlan().treeString()
+    # the one exchange builds the bitmap from the incoming urls; the stored rows are not shuffled
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and all("_groupingexpression" in line for line in exchanges)
+    merged = upsert.replace_pages(stored, incoming)
+    rows = {r.chunk_id for r in merged.collect()}
+    assert "n1" in rows and "n2" in rows and not any(r.startswith("c") and int(r[1:]) % 500 == 7 for r in rows) and len(rows) == 5000 - 10 + 2
