@@ -232,6 +232,19 @@ def constraint_violations(spark, sf):
     return quality.constraint_violations(rows)
 
 
+@query
+def errors_by_reason(spark, sf):
+    """Failure counters by stage and reason: failed fetches of the crawl, messages set apart by
+    the consumer, and chunks that break a constraint. Stages without failures give no row."""
+    pages = _crawled(spark, sf)
+    crawl = changes.crawl_outcomes(pages, _seen(pages)).where(F.col("outcome").isin("fetch_error", "parse_error")).select(
+        F.lit("crawler").alias("stage"), F.col("outcome").alias("reason"))
+    _, bad = E.read_events(_messages(spark, sf), PAGE_EVENT)
+    dead = bad.select(F.lit("consumer").alias("stage"), "reason")
+    broken = constraint_violations(spark, sf).select(F.lit("chunker").alias("stage"), F.col("violation").alias("reason"))
+    return M.count_by(crawl.unionByName(dead).unionByName(broken), "stage", "reason")
+
+
 # --- chunks -----------------------------------------------------------------------
 
 def _windows(spark, sf, size, overlap):

@@ -323,6 +323,15 @@ ORACLE = {
     "unchanged_pages": f"""WITH {_CRAWL} SELECT page_id, e.url, content_hash
         FROM extracted e JOIN seen s ON e.url = s.url AND content_hash = seen_hash WHERE text <> ''""",
     "page_versions": f"WITH {_VERSIONS} SELECT url, doc_id, content_hash FROM compared WHERE content_hash IS DISTINCT FROM before",
+    "errors_by_reason": f"""SELECT stage, reason, count(*) AS n FROM (
+          SELECT 'crawler' AS stage, outcome AS reason FROM (WITH {_CRAWL} SELECT outcome FROM outcomes)
+            WHERE outcome IN ('fetch_error', 'parse_error')
+          UNION ALL SELECT 'consumer', 'malformed' FROM conversations
+          UNION ALL SELECT 'chunker', violation FROM (WITH {_CHUNKS}, hashed AS (SELECT sha256(text) AS chunk_id, * EXCLUDE (chunk_id) FROM chunk)
+            SELECT chunk_id, 'url_too_long' AS violation FROM hashed WHERE strlen(url) > 2048
+            UNION ALL SELECT chunk_id, 'title_too_long' FROM hashed WHERE strlen(title) > 512
+            UNION ALL SELECT chunk_id, 'text_too_long' FROM hashed WHERE strlen(text) > 4096
+            UNION ALL SELECT chunk_id, 'chunk_id_duplicate' FROM hashed GROUP BY chunk_id HAVING count(*) > 1)) GROUP BY ALL""",
     "crawl_outcomes": f"WITH {_CRAWL} SELECT page_id, url, outcome FROM outcomes",
     "crawl_report_observed": f"""WITH {_CRAWL} SELECT count(*) AS urls_found, count(*) FILTER (outcome <> 'fetch_error') AS crawled,
         count(*) FILTER (outcome = 'emitted') AS emitted,
