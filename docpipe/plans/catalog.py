@@ -10,7 +10,7 @@ from docpipe.functions.text import iso_utc
 from docpipe.operators import alerts, batches, changes, chunks, embed, extract, frontier, index, quality, search, sketches, upsert
 from docpipe.operators import metrics as M
 from docpipe.operators.ordered import epoch_micros
-from docpipe.schemas import BUCKETS, PAGE_EVENT
+from docpipe.schemas import BUCKETS, CHUNK_EVENT, PAGE_EVENT
 from docpipe.session import materialize, scratch_dir
 from docpipe.sources import events as E
 from docpipe.sources.bucketed_state import BucketedSeen
@@ -207,6 +207,22 @@ def chunk_events_json(spark, sf):
     return E.chunk_messages(_document_chunks(spark, sf))
 
 
+@query
+def chunk_events_read(spark, sf):
+    """Chunk events as the embedding consumer reads them: every third chunk's message lacks
+    url and title (defaults fill them), every seventh from index 5 lacks its text (dead letter
+    `missing_text`), and chat texts are no JSON (dead letter `malformed`)."""
+    rows = _document_chunks(spark, sf)
+    third, seventh = F.col("chunk_index") % 3 == 1, F.col("chunk_index") % 7 == 5
+    thinned = rows.withColumns({"url": F.when(~third, F.col("url")), "title": F.when(~third, F.col("title")),
+                                "text": F.when(~seventh, F.col("text"))})
+    raw = E.chunk_messages(thinned).select("value").unionByName(read_table(spark, sf, "conversations").select(F.col("text").alias("value")))
+    parsed = E.parse_events(raw, CHUNK_EVENT, mandatory=("chunk_id", "text"))
+    good = quality.with_event_defaults(parsed.where("reason is null"), now=F.lit(0))
+    both = good.unionByName(parsed.where("reason is not null"))
+    return both.select("chunk_id", "url", "title", F.col("chunk_index").cast("bigint").alias("chunk_index"), "reason")
+
+
 def _messages(spark, sf):
     """Page events mixed with chat texts, which are no JSON."""
     good = page_events_json(spark, sf).select("value")

@@ -351,6 +351,13 @@ ORACLE = {
         content_hash := content_hash, created_at := created_at))::VARCHAR AS value FROM chunk""",
     "json_events": f"""WITH {_PAGES} SELECT url, title, text, '2024-01-31T00:00:00.000000+00:00' AS crawled_at,
         content_hash FROM extracted""",
+    "chunk_events_read": f"""WITH {_CHUNKS}
+        SELECT chunk_id, coalesce(CASE WHEN chunk_index % 3 = 1 THEN NULL ELSE url END, '') AS url,
+          coalesce(CASE WHEN chunk_index % 3 = 1 THEN NULL ELSE title END, '') AS title, CAST(chunk_index AS BIGINT) AS chunk_index,
+          CAST(NULL AS VARCHAR) AS reason FROM chunk WHERE chunk_index % 7 <> 5
+        UNION ALL SELECT chunk_id, CASE WHEN chunk_index % 3 = 1 THEN NULL ELSE url END, CASE WHEN chunk_index % 3 = 1 THEN NULL ELSE title END,
+          CAST(chunk_index AS BIGINT), 'missing_text' FROM chunk WHERE chunk_index % 7 = 5
+        UNION ALL SELECT NULL, NULL, NULL, NULL, 'malformed' FROM conversations""",
     "malformed_events": "SELECT text AS value, 'malformed' AS reason FROM conversations",
     "constraint_violations": f"""WITH {_CHUNKS}, hashed AS (SELECT sha256(text) AS chunk_id, * EXCLUDE (chunk_id) FROM chunk)
         SELECT chunk_id, 'url_too_long' AS violation FROM hashed WHERE strlen(url) > 2048
