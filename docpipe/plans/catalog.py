@@ -771,3 +771,20 @@ def stream_recrawl(spark, sf):
     crawl = F.when(F.col("crawled_at") == F.timestamp_seconds(F.lit(CRAWLED_AT)), 1).otherwise(2).cast("bigint")
     return handed.select("url", "content_hash", crawl.alias("crawl"))
 
+
+@query
+def stream_redelivery(spark, sf):
+    """Crawled pages delivered twice, the second time in a later micro-batch (every other url),
+    through the stream that drops repeats within the retention time: each page once."""
+    out = scratch_dir(spark, "redelivery")
+    pages = extract.nonempty(_extracted(spark, sf)).select(
+        "page_id", "url", "content_hash", F.timestamp_seconds(F.lit(CRAWLED_AT)).alias("crawled_at"))
+    pages.drop("page_id").write.parquet(f"{out}/source/first")
+    pages.where(F.col("page_id") % 2 == 0).drop("page_id").coalesce(1).write.parquet(f"{out}/source/again")
+    schema = pages.drop("page_id").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").parquet(f"{out}/source")
+    kept = jobs.without_redelivery(stream)
+    (kept.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+     .start(f"{out}/sink").awaitTermination())
+    return spark.read.schema(schema).parquet(f"{out}/sink").select("url", "content_hash")
+

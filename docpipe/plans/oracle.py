@@ -358,6 +358,7 @@ ORACLE = {
         UNION ALL SELECT chunk_id, CASE WHEN chunk_index % 3 = 1 THEN NULL ELSE url END, CASE WHEN chunk_index % 3 = 1 THEN NULL ELSE title END,
           CAST(chunk_index AS BIGINT), 'missing_text' FROM chunk WHERE chunk_index % 7 = 5
         UNION ALL SELECT NULL, NULL, NULL, NULL, 'malformed' FROM conversations""",
+    "stream_redelivery": f"WITH {_PAGES} SELECT url, content_hash FROM extracted WHERE text <> ''",
     "malformed_events": "SELECT text AS value, 'malformed' AS reason FROM conversations",
     "constraint_violations": f"""WITH {_CHUNKS}, hashed AS (SELECT sha256(text) AS chunk_id, * EXCLUDE (chunk_id) FROM chunk)
         SELECT chunk_id, 'url_too_long' AS violation FROM hashed WHERE strlen(url) > 2048
