@@ -43,25 +43,30 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def word_pieces(docs):
-    """(lang, pick, words): one row per piece with a word; pick in [0, 1) chooses the sample."""
+    """(lang, pick, words, w): one row per distinct piece with a word and its number w of
+    occurrences; pick in [0, 1) chooses the sample. Copies of a piece are counted once, with
+    their weight, in every later pass."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
     cut = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-                      F.posexplode(F.split(text, PIECE, -1)).alias("pos", "piece"))
+                      F.explode(F.split(text, PIECE, -1)).alias("piece"))
+    distinct = cut.groupBy("lang", "piece").agg(F.count("*").alias("w"))
     words = F.filter(F.split("piece", SPACE, -1), lambda w: w != "")
     pick = (F.pmod(F.xxhash64("lang", "piece"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    return cut.select("lang", pick.alias("pick"), words.alias("words")).where(F.size("words") > 0)
+    return distinct.select("lang", pick.alias("pick"), words.alias("words"), "w").where(F.size("words") > 0)
 
 
 def grams(pieces, k):
-    """(lang, phrase, left, right): every k-word phrase, with its first and last k-1 words."""
+    """(lang, phrase, left, right, w): every k-word phrase, with its first and last k-1 words,
+    and the weight of its piece."""
     w = F.col("words")
     shifted = [F.slice(w, i + 1, F.size(w) - k + 1) for i in range(k)]
-    g = pieces.where(F.size("words") >= k).select("lang", F.explode(F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])).alias("g"))
+    g = pieces.where(F.size("words") >= k).select(
+        "lang", "w", F.explode(F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])).alias("g"))
     parts = [F.col(f"g.w{i}") for i in range(k)]
     if k == 1:
-        return g.select("lang", parts[0].alias("phrase"), parts[0].alias("left"), parts[0].alias("right"))
+        return g.select("lang", parts[0].alias("phrase"), parts[0].alias("left"), parts[0].alias("right"), "w")
     return g.select("lang", F.concat_ws(" ", *parts).alias("phrase"), F.concat_ws(" ", *parts[:-1]).alias("left"),
-                    F.concat_ws(" ", *parts[1:]).alias("right"))
+                    F.concat_ws(" ", *parts[1:]).alias("right"), "w")
 
 
 def _slot(*columns):
@@ -103,7 +108,7 @@ def count_border(pieces, k, inside, new=None, min_count=MIN_COUNT):
     if new is not None:
         fresh = bitmap(new)
         occ = flagged(flagged(occ, fresh, "left", "_nl"), fresh, "right", "_nr").where("_nl or _nr")
-    counts = _sides(occ.groupBy("lang", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= min_count), k)
+    counts = _sides(occ.groupBy("lang", "phrase").agg(F.sum("w").alias("f")).where(F.col("f") >= min_count), k)
     sides = inside.select("lang", "phrase")
     counts = counts.join(sides.withColumnRenamed("phrase", "left"), ["lang", "left"], "left_semi")
     counts = counts.join(sides.withColumnRenamed("phrase", "right"), ["lang", "right"], "left_semi")
@@ -127,12 +132,13 @@ def frequent_phrases(pieces, min_count=MIN_COUNT, rate=SAMPLE_RATE, lowered=LOWE
     """
     support = max(1, int(lowered * min_count * rate))
     sample = pieces.where(F.col("pick") < rate)
-    counted = grams(pieces, 1).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
+    counted = grams(pieces, 1).groupBy("lang", "phrase").agg(F.sum("w").alias("f"))
     words = store(counted, "colloc-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     words = words.where(F.col("f") >= min_count)
     frequent = words.select("lang", "phrase")
-    s2 = store(grams(sample, 2).groupBy("lang", "phrase").count().where(F.col("count") >= support).select("lang", "phrase"), "colloc-s2")
+    s2 = store(grams(sample, 2).groupBy("lang", "phrase").agg(F.sum("w").alias("count")).where(F.col("count") >= support)
+               .select("lang", "phrase"), "colloc-s2")
     bigrams = store(count_border(pieces, 2, frequent, min_count=min_count), "colloc-bigrams")
     trigrams = store(count_border(pieces, 3, s2, min_count=min_count), "colloc-trigrams")
     passes = 1
