@@ -5,9 +5,10 @@ its own `top_k` rows, ranked from 1. Queries are stored once with a row number.
 
 Exact search keeps the corpus in place: the queries are written in parts of about
 `query_block_rows` rows, one folder each, below the shared folder; every task of the
-corpus scan holds its own split (bounded by the scan's split size) and takes the
-stored parts one after another against it, scoring with matrix products and keeping
-the best k rows per query. Only those rows are shuffled, by query row, and ranked.
+corpus scan reads its split in stretches of about `_HELD_BYTES` and takes the stored
+parts one after another against each, scoring with matrix products and keeping the
+best k rows per query, so a task's memory does not follow its split. Only those
+rows are shuffled, by query row, and ranked.
 The corpus vectors never pass through an exchange, and no query goes through the driver.
 
 Search by cells joins the stored corpus, partitioned by cell, with the probed cells
@@ -29,6 +30,8 @@ from docpipe.schemas import HIT_COLUMNS
 from docpipe.session import materialize, scratch_dir
 
 _CELLS_PER_SLICE = 4_000_000  # scores held at once by a task
+_FLOATS_PER_SLICE = 1_000_000  # vector components made double at once
+_HELD_BYTES = 32 << 20  # corpus vectors held at once by a task
 
 
 def valid_queries(queries, settings=DEFAULTS):
@@ -171,25 +174,42 @@ def _in_place(rows, queries, id_col, vector, block_rows):
         stored.setdefault(name.rsplit("/", 2)[-2], []).append(name)
     by_part = [sorted(files) for _, files in sorted(stored.items())]
 
+    corpus = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
+    return corpus.mapInArrow(_score_stretches(by_part, id_col), _hit_schema(queries, rows, id_col))
+
+
+def _score_stretches(by_part, id_col):
+    """Function over a task's corpus batches -> the best rows per query of each stretch of them."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.parquet as pq
 
-        held = [b for b in batches if b.num_rows]  # this task's split
-        if not held:
-            return
-        for files in by_part:
-            table = pa.concat_tables([_read_parquet(f, pq) for f in files])
-            if not table.num_rows:
-                continue
-            lists = table["asked"].combine_chunks()
-            score = _scorer(table["row"].combine_chunks(), table["query_id"].combine_chunks(), _unit_rows(lists, len(lists[0])),
-                            table["top_k"].fill_null(0).to_numpy().astype(np.int64), id_col)
-            yield from score(iter(held))
+        for held in _stretches(batches):
+            for files in by_part:
+                table = pa.concat_tables([_read_parquet(f, pq) for f in files])
+                if not table.num_rows:
+                    continue
+                lists = table["asked"].combine_chunks()
+                score = _scorer(table["row"].combine_chunks(), table["query_id"].combine_chunks(), _unit_rows(lists, len(lists[0])),
+                                table["top_k"].fill_null(0).to_numpy().astype(np.int64), id_col)
+                yield from score(iter(held))
 
-    corpus = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
-    return corpus.mapInArrow(run, _hit_schema(queries, rows, id_col))
+    return run
+
+
+def _stretches(batches):
+    """Lists of batches of about `_HELD_BYTES` together; a single larger batch stays whole."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > _HELD_BYTES:
+            yield held
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield held
 
 
 def _read_parquet(name, pq):
@@ -283,7 +303,7 @@ def _scorer(row_ids, query_ids, matrix, limits, id_col):
 
     n_queries, dim = matrix.shape
     k = max(1, int(limits.max()))
-    slice_rows = max(1, _CELLS_PER_SLICE // n_queries)
+    slice_rows = max(1, min(_CELLS_PER_SLICE // n_queries, _FLOATS_PER_SLICE // dim))
     flush_rows = max(2 * n_queries * k, 100_000)
 
     def best(table, pa):

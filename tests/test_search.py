@@ -197,3 +197,34 @@ def test_corpus_is_scored_where_it_lies(spark, data, tmp_path):
             break
         below.append(line)
     assert below and not any("Exchange" in line for line in below)
+
+
+def test_a_task_holds_a_stretch_of_its_split(data, monkeypatch, tmp_path):
+    """Hits of the first rows come out while later rows of the split are still unread."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(5)
+    asked = pa.table({"row": [0, 1], "query_id": [7, 8], "top_k": pa.array([2, 3], pa.int32()),
+                      "asked": pa.array(rng.normal(size=(2, DIM)).tolist(), pa.list_(pa.float32()))})
+    pq.write_table(asked, tmp_path / "part.parquet")
+    vectors = pa.array(rng.normal(size=(400, DIM)).tolist(), pa.list_(pa.float32()))
+    whole = pa.RecordBatch.from_arrays([pa.array([f"c{i:03d}" for i in range(400)]), vectors], names=["id", "vector"])
+    read = []
+
+    def batches():
+        for start in range(0, 400, 20):
+            read.append(start)
+            yield whole.slice(start, 20)
+
+    monkeypatch.setattr(search, "_HELD_BYTES", 3 * whole.slice(0, 20).nbytes)
+    run = search._score_stretches([[str(tmp_path / "part.parquet")]], "chunk_id")
+    out = run(batches())
+    first = next(out)
+    assert len(read) <= 4 and first.num_rows == 5
+    assert sum(b.num_rows for b in out) + 5 == 5 * -(-20 // 3)
+    corpus, queries, truth = data
+    monkeypatch.setattr(search, "_HELD_BYTES", 2000)
+    monkeypatch.setattr(search, "_FLOATS_PER_SLICE", 10 * DIM)
+    found = hits(search.exact_search(corpus, queries))
+    assert all(found[q] == truth[q][:1 + q % 9] for q in truth)
