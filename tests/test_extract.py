@@ -64,3 +64,9 @@ def test_unclosed_tags_stay_linear(spark):
     started = time.time()
     assert extract_pages(pages).first().text == " ".join("x" * 40_000)
     assert time.time() - started < 15
+
+
+def test_pages_pass_in_small_batches(spark):
+    pages = spark.createDataFrame([("u", "<body>x</body>")], "url string, html string")
+    plan = extract_pages(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
