@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from docpipe.config import DEFAULTS
 from docpipe.functions.text import words
 
+PAIRS_PER_TASK = 2_000_000  # (key, bucket) pairs a task of sparse_buckets adds up
+
 
 def word_bucket(word, dim):
     """Hash bucket of a word: the first 32 bits of its MD5, modulo `dim`."""
@@ -24,14 +26,18 @@ class HashEmbedder:
     def __init__(self, dim=DEFAULTS.embedding_dim):
         self.dim = dim
 
-    def transform(self, df, text="text", out="embedding"):
+    def counts(self, df, text="text", out="_counts"):
+        """`df` with the words per bucket as a sparse vector."""
         buckets = F.transform(words(F.col(text)), lambda w: word_bucket(w, self.dim).cast("string"))
         hashed = df.withColumn("_buckets", F.coalesce(buckets, F.array().cast("array<string>")))
         counter = CountVectorizerModel.from_vocabulary(
-            [str(i) for i in range(self.dim)], inputCol="_buckets", outputCol="_counts"
+            [str(i) for i in range(self.dim)], inputCol="_buckets", outputCol=out
         )
-        scaled = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counter.transform(hashed))
-        return scaled.withColumn(out, vector_to_array("_unit", "float32")).drop("_buckets", "_counts", "_unit")
+        return counter.transform(hashed).drop("_buckets")
+
+    def transform(self, df, text="text", out="embedding"):
+        scaled = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(self.counts(df, text))
+        return scaled.withColumn(out, vector_to_array("_unit", "float32")).drop("_counts", "_unit")
 
 
 class ModelEmbedder:
@@ -69,13 +75,17 @@ class ModelEmbedder:
 def sparse_buckets(df, key, text="text", dim=DEFAULTS.embedding_dim):
     """(key, bucket, n): the counts behind HashEmbedder, one row per bucket.
 
-    Counts are combined on the map side, so a hot key costs at most `dim` rows
-    per map task.
+    Words are counted inside their row; rows of one key meet by key and bucket, so a
+    hot key spreads over up to `dim` tasks. The number of tasks follows the number of rows, so
+    that a task adds up PAIRS_PER_TASK pairs at most on average; rows are counted first.
     """
-    # Outer explode: an inner one would make the optimizer split each text twice.
-    exploded = df.select(key, F.explode_outer(words(F.col(text))).alias("word"))
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(slots, -(-df.count() * dim // PAIRS_PER_TASK))
+    counts = HashEmbedder(dim).counts(df.select(key, text), text, "_counts")
+    pairs = counts.select(key, F.posexplode(vector_to_array("_counts")).alias("bucket", "n")).where("n > 0")
     return (
-        exploded.where(F.col("word").isNotNull())
-        .groupBy(key, word_bucket(F.col("word"), dim).alias("bucket"))
-        .agg(F.count("*").alias("n"))
+        pairs.select(key, F.col("bucket").cast("bigint").alias("bucket"), F.col("n").cast("bigint").alias("n"))
+        .repartition(tasks, key, "bucket")
+        .groupBy(key, "bucket")
+        .agg(F.sum("n").alias("n"))
     )

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +230,17 @@ def test_a_task_holds_a_stretch_of_its_split(data, monkeypatch, tmp_path):
     monkeypatch.setattr(search, "_FLOATS_PER_SLICE", 10 * DIM)
     found = hits(search.exact_search(corpus, queries))
     assert all(found[q] == truth[q][:1 + q % 9] for q in truth)
+
+
+def test_sparse_buckets_take_more_tasks_for_more_rows(spark, monkeypatch):
+    texts = [(1, "a b a"), (1, "b c"), (None, "a"), (None, "a a"), (2, ""), (3, None), (4, " ".join("xyz") * 50)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = {}
+    for key, text in texts:
+        for word in (text or "").split():
+            bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16
+            want[key, bucket] = want.get((key, bucket), 0) + 1
+    monkeypatch.setattr(embed, "PAIRS_PER_TASK", 8)
+    got = embed.sparse_buckets(docs, "doc_id", dim=16)
+    assert {(r.doc_id, r.bucket): r.n for r in got.collect()} == want and got.count() == len(want)
+    assert got.rdd.getNumPartitions() == len(texts) * 16 // 8
