@@ -30,7 +30,7 @@ def suffix_array(symbols):
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(fresh)
         steps.append(step)
-        ranks.append(rank)
+        ranks.append(rank.astype(np.int32) if n < 1 << 31 else rank)  # one array a round is kept
         if rank[order[-1]] == n - 1 or step >= n:
             break
         key = rank * (n + 1)

@@ -37,11 +37,13 @@ from docpipe.llm.common import pieces, possibly_in, store
 LENGTH = 50
 GRAM = 20
 SIDE = (LENGTH - GRAM) // 2  # equal windows with equal anchors also agree on that many bytes before or behind it
-BUCKET_BYTES = 32 << 20      # text whose anchors share a bucket
-FLUSH_BYTES = 24 << 20       # text a task settles at a time
+BUCKET_BYTES = 16 << 20      # text whose anchors share a bucket
+SETTLE_BYTES = 4 << 20       # entries of a bucket settled at a time
+FLUSH_BYTES = 8 << 20        # text a task settles at a time
+PIECE_BYTES = 2 << 20        # Arrow data made Python strings at a time
 CHUNK = 1 << 16              # bytes hashed at a time
 CONTEXTS = 64                # contexts of one anchor that a task posts; with more, the anchor is known to be open
-SUFFIX_BYTES = 1 << 20       # context bytes per suffix array
+SUFFIX_BYTES = 1 << 19       # context bytes per suffix array
 
 
 def _pair(x, y):
@@ -191,7 +193,8 @@ def _pack(ids, marks, columns):
     return b"".join([*parts, own.astype("<u2" if len(used) <= 65536 else "<u4").tobytes()])
 
 
-def _unpack(blob, kinds):
+def _unpack(blob, kinds, part=0, parts=1):
+    """The columns of a blob; of `parts` shares by hash (the first column) only one."""
     import numpy as np
 
     n, used = np.frombuffer(blob, dtype="<u4", count=2)
@@ -203,7 +206,10 @@ def _unpack(blob, kinds):
     for kind in kinds:
         out.append(np.frombuffer(blob, kind, n, at))
         at += out[-1].nbytes
-    own = np.frombuffer(blob, "<u2" if used <= 65536 else "<u4", n, at).astype(np.int64)
+    own = np.frombuffer(blob, "<u2" if used <= 65536 else "<u4", n, at)
+    if parts > 1:
+        take = np.flatnonzero(out[0] % out[0].dtype.type(parts) == part)
+        own, out = own[take], [c[take] for c in out]
     return [ids[own], marks[own], *out]
 
 
@@ -280,13 +286,18 @@ def _posted(task, settle, kinds):
         import pyarrow.compute  # noqa: F401
 
         own = table.filter(pa.compute.is_valid(table["doc_id"])).select(["doc_id", "mark", "kind", "blob"])
-        blobs = table.filter(pa.compute.is_null(table["doc_id"]))["blob"].to_pylist()
+        # Buffers of the table itself, and one share of the hashes after another: equal ones share it.
+        blobs = [b.as_buffer() for b in table.filter(pa.compute.is_null(table["doc_id"]))["blob"]]
         if not blobs:
             return own
         import numpy as np
 
-        columns = [np.concatenate(c) for c in zip(*(_unpack(b, kinds) for b in blobs), strict=True)]
-        return pa.concat_tables([own, _found(settle(*columns))])
+        parts = 1 + sum(b.size for b in blobs) // SETTLE_BYTES
+        found = [own]
+        for part in range(parts):
+            columns = [np.concatenate(c) for c in zip(*(_unpack(b, kinds, part, parts) for b in blobs), strict=True)]
+            found.append(_found(settle(*columns)))
+        return pa.concat_tables(found)
 
     return task.groupBy("bucket").applyInArrow(close, FOUND)
 
@@ -371,7 +382,7 @@ def _find_anchors(docs, buckets):
     def run(batches):
         batch = _Batch()
         for arrow in batches:
-            for piece in pieces(arrow):
+            for piece in pieces(arrow, PIECE_BYTES):
                 for doc_id, mark, text in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
                     batch.add(doc_id, mark, text)
                 if batch.bytes > FLUSH_BYTES:
@@ -473,7 +484,7 @@ def _settle_contexts(rows, buckets):
     def run(batches):
         parts, size = [], 0
         for arrow in batches:
-            for piece in pieces(arrow):
+            for piece in pieces(arrow, PIECE_BYTES):
                 for doc_id, mark, text, blobs in zip(*(piece.column(i).to_pylist() for i in range(4)), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
                     for a, b, pos in segments(raw, blobs):
@@ -496,7 +507,7 @@ def _cut(rows):
         import pyarrow as pa
 
         for arrow in batches:
-            for piece in pieces(arrow):
+            for piece in pieces(arrow, PIECE_BYTES):
                 out = []
                 for text, anchors, windows in zip(*(piece.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")

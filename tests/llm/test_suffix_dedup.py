@@ -102,3 +102,22 @@ def test_odd_rows(odd_documents, no_documents):
     assert by[2].n_removed == by[2].n_bytes and by[1].n_removed == 0 and by[8].n_removed == by[8].n_bytes
     assert all(r.n_removed == 0 for r in rows if r.doc_id is None)
     assert D.remove_repeats(no_documents).count() == 0
+
+
+def test_buckets_are_settled_in_shares(spark, corpus, monkeypatch):
+    """A bucket larger than SETTLE_BYTES gives the same spans, settled in shares of at most about that size."""
+    monkeypatch.setattr(D, "SETTLE_BYTES", 1000)
+    assert result(spark.createDataFrame(corpus, "doc_id bigint, text string").repartition(3)) == plain(corpus)
+
+
+def test_a_share_holds_all_entries_of_its_hashes():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    code, doc = rng.integers(0, 300, 2000).astype("<u4"), np.sort(rng.integers(0, 50, 2000))
+    ids, marks, pos = np.arange(50) * 3, np.arange(50) * 7, np.arange(2000, dtype="<i4")
+    blob = D._pack(ids, marks, [code, pos, doc])
+    shares = [D._unpack(blob, ("<u4", "<i4"), k, 5) for k in range(5)]
+    assert all((s[2] % 5 == k).all() for k, s in enumerate(shares))
+    assert sorted(np.concatenate([s[3] for s in shares]).tolist()) == pos.tolist()
+    assert all((s[0] == ids[doc[s[3]]]).all() and (s[1] == marks[doc[s[3]]]).all() and (s[2] == code[s[3]]).all() for s in shares)
