@@ -51,7 +51,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def encode(spark, docs, sf_dir):
     """Token ids of every document and the digest of what they decode to."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded=True)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded=True, keep=False)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -256,11 +256,19 @@ def strings_for(path):
     return TokenStrings(path)
 
 
-def encode(df, path=None, text="text", decoded=False):
+def forget():
+    """Drop the tables of this Python worker."""
+    codec_for.cache_clear()
+    strings_for.cache_clear()
+
+
+def encode(df, path=None, text="text", decoded=False, keep=True):
     """`df` with ids array<int>, n_tokens long and ids_sha256 (of the ids as
     little-endian unsigned 32-bit integers) of the column `text`.
 
     decoded: also `decoded`, what the ids decode to, by the same Python worker.
+    keep: idle workers keep the vocabulary (about 50 MB each) for their next task;
+    without, they give it back, for jobs that go on with other work.
     """
     path = path or default_path()
 
@@ -284,7 +292,7 @@ def encode(df, path=None, text="text", decoded=False):
                 out.append(pa.array([strings.decode(np.frombuffer(c, dtype="<u4")).decode() for c in coded], pa.string()))
             return out
 
-        run.close = codec.cache.clear  # an idle worker holds no words
+        run.close = codec.cache.clear if keep else forget  # an idle worker holds no words
         return run
 
     return add_columns(df, make, [text], [

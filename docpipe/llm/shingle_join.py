@@ -44,7 +44,9 @@ SKETCH = 1 << 18          # counters of token frequency
 TABLES, ROWS = 8, 3       # min-hash keys, and hashes per key
 BLOCK = 32                # members per block of a group
 POSTINGS = 500_000        # postings per bucket
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
+PIECE_BYTES = 1 << 20     # Arrow data split into words at a time
+POST_ROWS = 200_000       # postings a task gathers before it deals them to buckets
 
 
 class _WordHashes(dict):
@@ -124,7 +126,7 @@ def _summaries(docs):
         counts = np.zeros(SKETCH, dtype=np.int64)
         shift = np.uint64(64 - SKETCH.bit_length() + 1)
         for batch in batches:
-            for piece in pieces(batch, 4 << 20):
+            for piece in pieces(batch, PIECE_BYTES):
                 sets = shingle_sets(piece.column(1).to_pylist())
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
@@ -178,12 +180,25 @@ def _postings(docs, counts, buckets, hot):
         import numpy as np
         import pyarrow as pa
 
-        seen = set()
+        seen, parts, size = set(), [], 0
         shift = np.uint64(64 - SKETCH.bit_length() + 1)
         turn = 0
+
+        def dealt():
+            rows = np.concatenate([p for p, _ in parts])
+            frequent = np.concatenate([f for _, f in parts])
+            bucket = (rows["token"] % np.uint64(buckets)).astype(np.int32)
+            bucket[frequent] = -1 - (hash((int(rows["cls"][0]), turn)) % buckets)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(rows)]
+            return pa.RecordBatch.from_arrays([
+                pa.array([bucket[a] for a in cuts[:-1]], pa.int32()),
+                pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+            ], names=["bucket", "blob"])
+
         for batch in batches:
-            for piece in pieces(batch, 4 << 20):
-                parts = []
+            for piece in pieces(batch, PIECE_BYTES):
                 for s in shingle_sets(piece.column(0).to_pylist()):
                     if not len(s):
                         continue
@@ -198,27 +213,22 @@ def _postings(docs, counts, buckets, hot):
                     part = np.empty(len(take), dtype=[("token", "<u8"), ("cls", "<i8"), ("pos", "<i4")])
                     part["token"], part["cls"], part["pos"] = s[take], cls, np.arange(len(take))
                     parts.append((part, often[take] > hot))
-                if not parts:
-                    continue
-                rows = np.concatenate([p for p, _ in parts])
-                frequent = np.concatenate([f for _, f in parts])
-                bucket = (rows["token"] % np.uint64(buckets)).astype(np.int32)
-                turn += 1
-                bucket[frequent] = -1 - (hash((int(rows["cls"][0]), turn)) % buckets)
-                order = np.argsort(bucket, kind="stable")
-                rows, bucket = rows[order], bucket[order]
-                cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(rows)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([bucket[a] for a in cuts[:-1]], pa.int32()),
-                    pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                ], names=["bucket", "blob"])
+                    size += len(take)
+                if size > POST_ROWS:
+                    turn += 1
+                    yield dealt()
+                    parts, size = [], 0
+        if parts:
+            turn += 1
+            yield dealt()
         _words.clear()
 
     def shared(key, table):
         import numpy as np
         import pyarrow as pa
 
-        rows = np.frombuffer(b"".join(table["blob"].to_pylist()), dtype=[("token", "<u8"), ("cls", "<i8"), ("pos", "<i4")])
+        kind = [("token", "<u8"), ("cls", "<i8"), ("pos", "<i4")]
+        rows = np.concatenate([np.frombuffer(b.as_buffer(), dtype=kind) for b in table["blob"]])
         if key[0].as_py() >= 0:
             rows = rows[np.lexsort((rows["cls"], rows["token"]))]
             token, cls = rows["token"], rows["cls"]
@@ -247,7 +257,7 @@ def _token_sets(docs):
         import pyarrow as pa
 
         for batch in batches:
-            for piece in pieces(batch, 4 << 20):
+            for piece in pieces(batch, PIECE_BYTES):
                 blobs = [s.tobytes() for s in shingle_sets(piece.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "tokens"])
         _words.clear()

@@ -58,3 +58,13 @@ def test_frames(spark, odd_documents, no_documents, library):
     assert bpe.digests(no_documents).count() == 0
     unknown = spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")
     assert bpe.decode(unknown).first().decoded == ""
+
+
+def test_a_worker_gives_its_tables_back():
+    import gc
+    import weakref
+
+    held = weakref.ref(bpe.codec_for(bpe.default_path()))
+    bpe.forget()
+    gc.collect()
+    assert held() is None and bpe.codec_for.cache_info().currsize == 0
